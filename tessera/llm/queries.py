@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe_transducer
+from . import bpe_transducer, simhash, token_shards
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,7 +27,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = token_shards.tokenized(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op8_simhash": op8_simhash,
+    "op10_token_shards": op10_token_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
