@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe_transducer, simhash, token_shards
+from . import bpe_transducer, decontaminate, deobfuscate, mixing, quality_ftrl, simhash, tiff_pages, token_shards
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,11 +27,89 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
+    stored = tiff_pages.as_media(docs).select(
+        "doc_id",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.octet_length("content").cast("long").alias("media_bytes"),
+        F.sha2("content", 256).alias("media_sha256"),
+        "content",
+    )
+    pages = tiff_pages.tiff_pages(stored)  # a payload is one page
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("page.pixels").cast("long").alias("payload_bytes"),
+        F.sha2("page.pixels", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(page.pixels, -64)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        tiff_pages.page_features("page.pixels").alias("feature"),
+    )
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def remainder_of_key(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+#: Labelled rows that a classifier is fitted on, at most.
+LABELLED_ROWS = 16_384
+
+
+def fitted_toxicity(spark: SparkSession, sf_dir: str, docs: DataFrame):
+    """Character model of all docs, and the weights learned from labelled ones of the folds that may be learned from."""
+    model = deobfuscate.character_model(docs)
+    sample = quality_ftrl.labelled_sample(docs.select("doc_id", "text"), labels(spark, sf_dir), "toxic", "doc_id", remainder_of_key(4) != 2, LABELLED_ROWS)
+    return model, deobfuscate.fit_toxicity(sample, model)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
+    scored = deobfuscate.toxicity_scores(docs, *fitted_toxicity(spark, sf_dir, docs))
+    return scored.select("doc_id", (remainder_of_key(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
+    sample = quality_ftrl.labelled_sample(docs, labels(spark, sf_dir), "quality", "doc_id", remainder_of_key(5) != 0, LABELLED_ROWS)
+    scored = quality_ftrl.quality_scores(docs, quality_ftrl.fit_quality(sample))
+    return scored.select("doc_id", (remainder_of_key(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Shares of the domains in the mix.
+MIX = {"clean": 0.85, "toxic": 0.03, "low": 0.12}
+
+
+def domain_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> mixing.DomainModel:
+    """Domains of the labelled table: toxic, else low quality, else clean; fitted on LABELLED_ROWS labelled rows at most."""
+    domain = F.expr("case when toxic = 1 then 'toxic' when quality = 0 then 'low' else 'clean' end")
+    chosen = labels(spark, sf_dir).where("doc_id is not null and (toxic is not null or quality is not null)").groupBy("doc_id").agg(F.max(domain).alias("domain"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+    return mixing.fit_domains(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = domain_model(spark, sf_dir, docs)
+    found = mixing.mixed(docs, model, MIX)
+    shares = [F.get("posterior", F.lit(i)).alias(f"p_{name}") for i, name in enumerate(model.domains)]
+    return found.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = token_shards.tokenized(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -39,7 +117,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_tiff_pages": op3_tiff_pages,
+    "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
+    "op9_mixing": op9_mixing,
     "op10_token_shards": op10_token_shards,
 }
 ORACLE_SQL: dict[str, str] = {}
