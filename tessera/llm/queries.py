@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe_transducer, decontaminate, deobfuscate, mixing, quality_ftrl, simhash, tiff_pages, token_shards
+from . import bpe_transducer, decontaminate, deobfuscate, hmm_lm, line_dedup, mixing, quality_ftrl, simhash, tiff_pages, token_shards
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,11 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"), "deleted", "runs", "text")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
     counted = bpe_transducer.token_counts(docs, tokenizer_path("byte_bpe_50k.json"))
@@ -57,6 +62,10 @@ def remainder_of_key(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.hmm_scores(documents(spark, sf_dir), remainder_of_key(7) == 2)
+
+
 #: Labelled rows that a classifier is fitted on, at most.
 LABELLED_ROWS = 16_384
 
@@ -116,8 +125,10 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_tiff_pages": op3_tiff_pages,
+    "op4_hmm_scores": op4_hmm_scores,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality": op7_quality,
