@@ -1,12 +1,75 @@
-"""Corpus pipeline over documents: STAGES in order, run, and ORACLE_SQL."""
+"""Corpus pipeline: documents to token shards in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept;
+all but the last return the columns of documents.  run writes every stage's rows as a table of
+the shared folder and reads them again for the next one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.llm import decontaminate, deobfuscate, mixing, queries, simhash, token_shards
+from tessera.llm.shared import new_path, written
+
+#: Token shares of the mix; as many tokens as leave the clean domain what it has.
+MIX = {"clean": 0.95, "low": 0.05}
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that score 0.3 or more."""
+    scored = deobfuscate.toxicity_scores(docs, *queries.fitted_toxicity(spark, sf_dir, docs), out="_score")
+    return scored.where("_score < 0.3").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of every group of linked fingerprints; documents without an id stay."""
+    found = simhash.near_duplicates(docs)
+    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
+    once = docs.join(kept.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
+    if not kept.where("_n > 1").isEmpty():  # rows that share an id: one of them stays
+        once = once.unionByName(docs.join(kept.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item within its edit budget."""
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats each document by its whole copies: about once if it is clean, less if it is of low quality."""
+    labels = queries.labels(spark, sf_dir).where("doc_id is not null and quality is not null")
+    chosen = labels.groupBy("doc_id").agg(F.max(F.expr("case when quality = 0 then 'low' else 'clean' end")).alias("domain"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(queries.LABELLED_ROWS)
+    model = mixing.fit_domains(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    mixed = mixing.mixed(docs, model, MIX, total_of="clean", carry=docs.columns)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")
+    return mixed.where("copies > 0").select(*docs.columns, copies).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token shards and returns, read back from them, doc_id, start, n_tokens and ids_crc32."""
+    read = token_shards.tokenized(docs, queries.tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+    ("token_output", token_output),
+]
 
-STAGES: list = []
+#: The classifiers, the restoring decoder and the tokenizer have no SQL; tests/llm/test_pipeline.py checks the stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = new_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

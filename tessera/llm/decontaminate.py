@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -119,6 +120,32 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items with a key and a text in blocks of ITEMS_AT_ONCE; one empty block if there are none."""
+    rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator()
+    blocks = iter(lambda: [(int(r[0]), r[1]) for r in itertools.islice(rows, ITEMS_AT_ONCE)], [])
+    return itertools.chain([next(blocks, [])], blocks)
+
+
+def holds_none(sent):
+    """A filter for texts without any item of a broadcast (items, rate)."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(*sent.value)
+        for texts in batches:
+            yield pd.Series([not matcher.matches(t) for t in texts], dtype=bool)
+
+    return clean
+
+
+def uncontaminated(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
+    """The rows of df whose whole text holds no test item within its budget (see contaminated); null and empty texts stay."""
+    for block in item_blocks(items, item_key, item_text):
+        df = df.where(holds_none(df.sparkSession.sparkContext.broadcast((block, rate)))(F.col(text).cast("string")))
+    return df
+
+
 def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
     """(key, item_id, distance, begin, end): the best occurrence of every test item in every whole text, within rate edits a character.
 
@@ -128,10 +155,8 @@ def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """
     spark = df.sparkSession
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator()
     found = None
-    blocks = iter(lambda: [(int(r[0]), r[1]) for r in itertools.islice(rows, ITEMS_AT_ONCE)], [])
-    for block in itertools.chain([next(blocks, [])], blocks):
+    for block in item_blocks(items, item_key, item_text):
         sent = spark.sparkContext.broadcast((block, rate))
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
