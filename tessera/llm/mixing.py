@@ -22,32 +22,38 @@ from .shared import written
 BUCKETS = 8192
 SHRINK = 4.0  # tokens of the overall mix added to every bucket of every domain
 REPEAT = 3  # how often a measure's bin counts among the words
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SCALE = 256  # evidence is added up in steps of 1 / SCALE
+WHITE = " \t\n\u000B\f\r"
+MARKS, CAPITALS = "[!-/:-@\\[-`{-~]", "[A-Z]"
 
 
-def buckets(text: Column) -> Column:
-    """Bucket numbers (1 on) of a whole text's lower-cased words and of its bins of punctuation, capitals and repetition."""
-    words = F.filter(F.split(F.lower(text), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+def hashes(text: Column) -> Column:
+    """Hashes of a whole text's lower-cased words, then of its bins of punctuation, capitals and repetition."""
+    plain = F.lower(F.btrim(text, F.lit(WHITE)))
+    words = F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: F.xxhash64(w)))
     length = F.greatest(F.length(text), F.lit(1))
 
     def bin_of(name: str, share: Column) -> Column:
-        return F.array_repeat(F.concat(F.lit(f"\u0001{name}="), F.floor(F.sqrt(share) * 20).cast("string")), REPEAT)
+        return F.array_repeat(F.xxhash64(F.concat(F.lit(f"\u0001{name}="), F.floor(F.sqrt(share) * 20).cast("string"))), REPEAT)
 
-    marks = bin_of("marks", (F.length(text) - F.length(F.translate(text, PUNCTUATION, ""))) / length)
-    capitals = bin_of("capitals", (F.length(text) - F.length(F.translate(text, CAPITALS, ""))) / length)
+    marks = bin_of("marks", (F.length(text) - F.length(F.regexp_replace(text, MARKS, ""))) / length)
+    capitals = bin_of("capitals", (F.length(text) - F.length(F.regexp_replace(text, CAPITALS, ""))) / length)
     fresh = bin_of("fresh", F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)))
-    return F.transform(F.concat(words, marks, capitals, fresh), lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
+    return F.concat(words, marks, capitals, fresh)
 
 
-def constant_array(values: list[float]) -> Column:
-    """An array of doubles as one literal; the optimizer folds it."""
-    return F.split(F.lit(",".join(f"{v:.4g}" for v in values)), ",").cast("array<double>")
+def bucket(hashed: Column) -> Column:
+    return F.pmod(hashed, F.lit(BUCKETS)).cast("int")
 
 
-def summed(at: Column, weights: Column) -> Column:
-    """Sum of the weights at the numbers of an array."""
-    return F.aggregate(at, F.lit(0.0), lambda total, i: total + F.get(weights, i - 1))
+def constant_array(values: list[int]) -> Column:
+    """An array of longs as one literal; the optimizer folds it."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def summed(hashed: Column, weights: Column) -> Column:
+    """Sum of the weights of an array's hashes."""
+    return F.aggregate(hashed, F.lit(0).cast("bigint"), lambda total, h: total + F.get(weights, bucket(h)))
 
 
 @dataclass
@@ -58,14 +64,22 @@ class DomainModel:
     prior: list[float]
     ratios: list[list[float]]
 
-    def posteriors(self, at: Column, temper: float) -> Column:
-        """array<double> in the order of domains, from a column of bucket numbers; the words' evidence is divided by temper."""
-        if len(self.domains) < 2:
-            return F.array(*[F.lit(1.0) for _ in self.domains])
-        logits = []
-        for prior, ratios in zip(self.prior, self.ratios, strict=True):
-            logits.append(F.lit(prior) + summed(at, constant_array(ratios)) / temper)
-        return F.array(*logits)
+    def logits(self, hashed: Column, temper: float) -> list[Column]:
+        """Of each domain over the first, from a column of hashes; the words' evidence is divided by temper.
+
+        Two domains' evidence, in whole steps, shares one long, so that one pass over the
+        words adds up both.
+        """
+        steps = [[round((x - y) * SCALE) for x, y in zip(r, self.ratios[0], strict=True)] for r in self.ratios]
+        out = [F.lit(0.0)]
+        for i in range(1, len(self.domains), 2):
+            pair = i + 1 < len(self.domains)
+            total = summed(hashed, constant_array([a + (b << 32) for a, b in zip(steps[i], steps[i + 1] if pair else [0] * BUCKETS, strict=True)]))
+            low = F.pmod(total + (1 << 31), F.lit(1 << 32)) - (1 << 31)
+            out.append(F.lit(self.prior[i] - self.prior[0]) + low / (SCALE * temper))
+            if pair:
+                out.append(F.lit(self.prior[i + 1] - self.prior[0]) + F.shiftright(total - low, 32) / (SCALE * temper))
+        return out
 
 
 def softmax(logits: Column) -> Column:
@@ -83,14 +97,14 @@ def fit_domains(sample: DataFrame, text: str = "text", domain: str = "domain") -
     sizes = {r.d: r.n for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     counts: dict[str, dict[int, int]] = {d: {} for d in domains}
-    for r in rows.select("d", F.explode(buckets(F.col("t"))).alias("b")).groupBy("d", "b").agg(F.count("*").alias("n")).collect():
+    for r in rows.select("d", F.explode(hashes(F.col("t"))).alias("h")).groupBy("d", bucket(F.col("h")).alias("b")).agg(F.count("*").alias("n")).collect():
         counts[r.d][r.b] = r.n
-    every = [sum(counts[d].get(b, 0) for d in domains) for b in range(1, BUCKETS + 1)]
+    every = [sum(counts[d].get(b, 0) for d in domains) for b in range(BUCKETS)]
     total = max(1, sum(every))
     ratios = []
     for d in domains:
         own = max(1, sum(counts[d].values()))
-        ratios.append([math.log((counts[d].get(b + 1, 0) + SHRINK) / (own * every[b] / total + SHRINK)) for b in range(BUCKETS)])
+        ratios.append([math.log((counts[d].get(b, 0) + SHRINK) / (own * every[b] / total + SHRINK)) for b in range(BUCKETS)])
     docs = sum(sizes.values())
     return DomainModel(domains, [math.log((sizes[d] + 1) / (docs + len(domains))) for d in domains], ratios)
 
@@ -161,9 +175,10 @@ def memberships(df: DataFrame, model: DomainModel, key: str = "doc_id", text: st
     if clash := {"n_tokens", "posterior", "rate", "copies"} & set(carry):
         raise ValueError(f"df already has the columns {sorted(clash)}")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    at = df.select(*carry, buckets(whole).alias("posterior"))  # bucket numbers until the next line
-    logits = at.select(*carry, (F.size("posterior") - 3 * REPEAT).cast("long").alias("n_tokens"), model.posteriors(F.col("posterior"), temper).alias("posterior"))
-    return written(logits.select(*carry, "n_tokens", softmax(F.col("posterior")).alias("posterior")), "memberships")
+    hashed = df.select(*carry, hashes(whole).alias("posterior"))  # hashes until the next line
+    logits = F.array(*model.logits(F.col("posterior"), temper)) if model.domains else F.array().cast("array<double>")
+    table = hashed.select(*carry, (F.size("posterior") - 3 * REPEAT).cast("long").alias("n_tokens"), logits.alias("posterior"))
+    return written(table.select(*carry, "n_tokens", softmax(F.col("posterior")).alias("posterior")), "memberships")
 
 
 def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, total_of: str | None = None, carry: list[str] | None = None) -> DataFrame:
