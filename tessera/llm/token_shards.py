@@ -34,7 +34,7 @@ from .shared import new_path, written
 SEEK_TABLE_FRAME, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 KEYS_FRAME = 0x184D2A50  # a skippable frame of this format's own: id width, then the keys
 
-PIECES_KEPT = 400_000  # pieces whose ids a worker remembers
+PIECES_KEPT = 600_000  # pieces whose ids a worker remembers
 
 # Texts that the fast path leaves to the library: code points whose case mapping, composition
 # or class could differ between libraries, and the special tokens' first two characters.
@@ -43,11 +43,27 @@ _LETTERS = "a-zªµºß-öø-ɏ"
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\\s0-9²³¹¼-¾{_LETTERS}]+")
 
 
+class Pieces(dict):
+    """Piece -> its packed ids, merged by the library's model when the piece is first met."""
+
+    def __init__(self, model, width: int):
+        self.model, self.form = model, {2: "H", 4: "I"}[width]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}  # the model's sign for each byte
+
+    def __missing__(self, piece: str) -> bytes:
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        ids = [t.id for t in self.model.tokenize(signs)]
+        self[piece] = packed = struct.pack(f"<{len(ids)}{self.form}", *ids)
+        return packed
+
+
 class Encoder:
     """Ids of texts under a lower-casing word BPE, remembered by piece.
 
     The tokenizer cuts a lower-cased text into pieces that are merged alone, so a text's ids
-    are its pieces' ids in order.  Pieces are cut here and each distinct one is encoded once
+    are its pieces' ids in order.  Pieces are cut here and each distinct one is merged once
     by the library; texts with unusual characters go to the library whole.
     """
 
@@ -57,7 +73,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kept: dict[str, bytes] = {}
+        self.kept = Pieces(self.tokenizer.model, self.width)
         with open(path, encoding="utf-8") as f:
             self.by_piece = "\"pattern\":{\"Regex\":\"'s|'t|'re|'ve|'m|'ll|'d|" in re.sub(r"\s", "", f.read())
 
@@ -67,19 +83,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > PIECES_KEPT:
             self.kept.clear()
-        found: list = [None] * len(texts)
-        cut, new = {}, {}
+        of, found = self.kept.__getitem__, [b""] * len(texts)
+        rest = []
         for i, text in enumerate(texts):
             if self.by_piece and not _UNUSUAL.search(text):
-                cut[i] = pieces = _PIECES.findall(text.lower())
-                new.update(dict.fromkeys([p for p in pieces if p not in self.kept]))
-        names = list(new)
-        for at in range(0, len(names), 10_000):
-            part = names[at : at + 10_000]
-            self.kept.update(zip(part, (self.packed(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
-        for i, pieces in cut.items():
-            found[i] = b"".join(map(self.kept.__getitem__, pieces))
-        rest = [i for i in range(len(texts)) if found[i] is None]
+                found[i] = b"".join(map(of, _PIECES.findall(text.lower())))
+            else:
+                rest.append(i)
         for at in range(0, len(rest), 100):
             part = rest[at : at + 100]
             for i, e in zip(part, self.tokenizer.encode_batch([texts[i] for i in part], add_special_tokens=False), strict=True):
