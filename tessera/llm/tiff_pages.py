@@ -1,377 +1,22 @@
 """TIFF media columns: one row for every page of the files in a binary column (operator 3).
 
-The reader walks the chain of image directories of classic and big files in either byte
-order, decodes stored, PackBits, LZW and deflate strips and tiles, undoes horizontal and
-floating-point predictors, and lays the samples out row by row.  The writer makes the files
-that the query stores its payloads in.
+Tasks walk the chain of image directories of classic and big files in either byte order,
+decode stored, PackBits, LZW and deflate strips and tiles, undo horizontal and floating-point
+predictors, and lay the samples out row by row.  The format itself is in sources.tiff_format,
+which the raster tables read with too.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Fixed values of the format.
-NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
-TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-CLEAR, END, FIRST = 256, 257, 258
-
-
-# --- codecs -----------------------------------------------------------------------------
-
-
-def packbits_encode(rows: np.ndarray) -> bytes:
-    """Packs each row of an array of bytes on its own, as the format asks."""
-    width = rows.shape[1]
-    if not rows.size:
-        return b""
-    runs = np.zeros(len(rows), bool)
-    if width > 2:
-        runs = np.any((rows[:, 2:] == rows[:, 1:-1]) & (rows[:, 1:-1] == rows[:, :-2]), axis=1)
-    if width <= 128 and not runs.any():
-        return np.insert(rows, 0, width - 1, axis=1).tobytes()
-    out = []
-    for row, has_runs in zip(rows, runs, strict=True):
-        data, at = row.tobytes(), 0
-        if not has_runs:
-            out += [bytes([len(data[i : i + 128]) - 1]) + data[i : i + 128] for i in range(0, width, 128)]
-            continue
-        cuts = np.flatnonzero(np.diff(row)) + 1
-        for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), width], strict=True):
-            if e - s < 3:
-                continue
-            out += [bytes([len(data[i : min(i + 128, s)]) - 1]) + data[i : min(i + 128, s)] for i in range(at, s, 128)]
-            for i in range(s, e, 128):
-                n = min(128, e - i)
-                out.append(bytes([257 - n if n > 1 else 0, data[s]]))
-            at = e
-        out += [bytes([len(data[i : i + 128]) - 1]) + data[i : i + 128] for i in range(at, width, 128)]
-    return b"".join(out)
-
-
-def packbits_decode(data: bytes, size: int) -> bytes:
-    out, at, got = [], 0, 0
-    while at < len(data) and got < size:
-        n = data[at]
-        if n < 128:
-            part, at = data[at + 1 : at + 2 + n], at + 2 + n
-        elif n > 128:
-            part, at = data[at + 1 : at + 2] * (257 - n), at + 2
-        else:
-            part, at = b"", at + 1
-        out.append(part)
-        got += len(part)
-    return b"".join(out)
-
-
-def _code_width(position: np.ndarray) -> np.ndarray:
-    """Bits of the codes by their number since the last clear; the decoder's table holds FIRST + position - 1 entries then."""
-    entries = FIRST - 1 + position
-    return 9 + (entries >= 511).astype(np.int64) + (entries >= 1023) + (entries >= 2047)
-
-
-_BLOCK = np.arange(4096 - FIRST + 2)  # no table block has more codes than this
-_WIDTHS = _code_width(_BLOCK)
-_OFFSETS = np.concatenate([[0], np.cumsum(_WIDTHS)])
-
-
-def lzw_encode(data: bytes) -> bytes:
-    """Most significant bit first, codes of 9 to 12 bits, the width changing one code early."""
-    codes, widths = [[CLEAR]], [np.array([9])]
-    at, n = 0, len(data)
-    while at < n:
-        table: dict[int, int] = {}
-        free, now, block = FIRST, data[at], []
-        at += 1
-        find, put = table.get, block.append
-        for at in range(at, n):
-            b = data[at]
-            key = now << 8 | b
-            to = find(key)
-            if to is None:
-                put(now)
-                table[key] = free
-                free += 1
-                now = b
-                if free == 4094:
-                    break
-            else:
-                now = to
-        else:
-            at = n
-        if at < n:  # table full: the pending byte starts the next block
-            put(CLEAR)
-        else:
-            put(now)
-        codes.append(block)
-        widths.append(_WIDTHS[: len(block)])
-    tail = _WIDTHS[len(codes[-1])] if len(codes) > 1 else 9
-    codes.append([END])
-    widths.append(np.array([tail]))
-    every, width = np.fromiter((c for b in codes for c in b), np.uint16), np.concatenate(widths)
-    bits = np.unpackbits(every.astype(">u2").view(np.uint8).reshape(-1, 2), axis=1)
-    return np.packbits(bits[np.arange(16) >= 16 - width[:, None]]).tobytes()
-
-
-def lzw_decode(data: bytes, size: int) -> bytes:
-    """Decodes up to the end code or size bytes."""
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    bit, total = 0, len(data) * 8
-    out: list[bytes] = []
-    got = 0
-    singles = [bytes([i]) for i in range(256)] + [b"", b""]
-    while bit < total and got < size:
-        count = int(np.searchsorted(_OFFSETS, total - bit, side="right")) - 1
-        count = min(count, len(_BLOCK))
-        if count <= 0:
-            break
-        at = bit + _OFFSETS[:count]
-        byte, shift = at >> 3, (at & 7).astype(np.uint32)
-        window = raw[byte] << np.uint32(16) | raw[byte + 1] << np.uint32(8) | raw[byte + 2]
-        width = _WIDTHS[:count].astype(np.uint32)
-        codes = (window >> (np.uint32(24) - shift - width)) & ((np.uint32(1) << width) - np.uint32(1))
-        stops = np.flatnonzero((codes == CLEAR) | (codes == END))
-        stop = int(stops[0]) if stops.size else count
-        table, last = singles.copy(), b""
-        add, emit = table.append, out.append
-        for code in codes[:stop].tolist():
-            if code < len(table):
-                entry = table[code]
-                if last:
-                    add(last + entry[:1])
-            elif code == len(table) and last:
-                entry = last + last[:1]
-                add(entry)
-            else:
-                raise ValueError("LZW code out of range")
-            emit(entry)
-            got += len(entry)
-            last = entry
-        if not stops.size or codes[stop] == END:
-            break
-        bit += int(_OFFSETS[stop + 1])
-    return b"".join(out)
-
-
-def decode_segment(data: bytes, compression: int, size: int) -> bytes:
-    if compression == NONE:
-        plain = data
-    elif compression == LZW:
-        plain = lzw_decode(data, size)
-    elif compression in (DEFLATE, OLD_DEFLATE):
-        plain = zlib.decompressobj().decompress(data, max(1, size))
-    elif compression == PACKBITS:
-        plain = packbits_decode(data, size)
-    else:
-        raise ValueError(f"compression {compression} isn't supported")
-    if len(plain) < size:
-        raise ValueError("a strip or tile is too short")
-    return plain[:size]
-
-
-def undo_predictor(block: np.ndarray, predictor: int, order: str) -> np.ndarray:
-    """block: rows x columns x samples, as stored."""
-    if predictor == 1:
-        return block
-    if predictor == 2 and block.dtype.kind in "ui":
-        return np.cumsum(block.astype(block.dtype.newbyteorder("=")), axis=1, dtype=block.dtype.newbyteorder("="))
-    if predictor == 3 and block.dtype.kind == "f":
-        rows, columns, samples = block.shape
-        size = block.dtype.itemsize
-        flat = np.frombuffer(block.tobytes(), np.uint8).reshape(rows, -1, samples)
-        planes = np.cumsum(flat, axis=1, dtype=np.uint8).reshape(rows, size, columns * samples)
-        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, columns, samples).astype(f"<f{size}")
-    raise ValueError(f"predictor {predictor} isn't supported for {block.dtype}")
-
-
-def apply_predictor(block: np.ndarray, predictor: int) -> np.ndarray:
-    if predictor == 1:
-        return block
-    out = block.copy()
-    out[:, 1:] -= block[:, :-1]
-    return out
-
-
-# --- reader -----------------------------------------------------------------------------
-
-
-@dataclass
-class Page:
-    index: int
-    width: int = 0
-    height: int = 0
-    samples: int = 1
-    bits: int = 8
-    sample_format: int = 1
-    compression: int = 1
-    predictor: int = 1
-    tiled: bool = False
-    segments: int = 0
-    pixels: bytes | None = None
-    error: str | None = None
-
-
-def directories(data: bytes) -> Iterator[dict[int, tuple]]:
-    """Tags of each image directory in the order of the chain; a chain that turns back ends."""
-    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    version = struct.unpack_from(f"{order}H", data, 2)[0] if order and len(data) >= 8 else 0
-    if version not in (42, 43):
-        raise ValueError("not a TIFF file")
-    big = version == 43
-    count_at, entry_at, offset = ("Q", "HHQ8s", "Q") if big else ("H", "HHI4s", "I")
-    at = struct.unpack_from(order + offset, data, 8 if big else 4)[0]
-    seen: set[int] = set()
-    while at and at not in seen:
-        seen.add(at)
-        count = struct.unpack_from(order + count_at, data, at)[0]
-        at += struct.calcsize("<" + count_at)
-        size = struct.calcsize("<" + entry_at)
-        if at + count * size > len(data):
-            raise ValueError("an image directory is cut off")
-        tags: dict[int, tuple] = {0: (order,)}
-        for tag, kind, n, inline in struct.iter_unpack(order + entry_at, data[at : at + count * size]):
-            if kind not in TYPES:
-                continue
-            length = n * struct.calcsize("<" + TYPES[kind])
-            if length <= len(inline):
-                raw = inline[:length]
-            else:
-                where = struct.unpack(order + offset, inline)[0]
-                raw = data[where : where + length]
-            if len(raw) < length:
-                raise ValueError(f"tag {tag} is cut off")
-            tags[tag] = struct.unpack(f"{order}{n}{TYPES[kind]}", raw)
-        yield tags
-        at = struct.unpack_from(order + offset, data, at + count * size)[0]
-
-
-def read_page(data: bytes, tags: dict[int, tuple], index: int) -> Page:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    order, bits = tags[0][0], tags.get(BITS, (1,))
-    page = Page(index, one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), bits[0], one(SAMPLE_FORMAT, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_OFFSETS in tags)
-    kind = {1: "u", 2: "i", 3: "f"}.get(page.sample_format)
-    if len(set(bits)) > 1 or page.bits not in (8, 16, 32, 64) or kind is None or kind == "f" and page.bits == 8:
-        raise ValueError(f"samples of {bits} bits and format {page.sample_format} aren't supported")
-    stored = np.dtype(f"{order}{kind}{page.bits // 8}")
-    if page.tiled:
-        w, h, at, sizes = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags[TILE_COUNTS]
-    else:
-        w, h, at, sizes = page.width, min(one(ROWS_PER_STRIP, page.height), page.height), tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ())
-    page.segments = len(at)
-    planes = page.samples if one(PLANAR, 1) == 2 else 1
-    deep = page.samples // planes
-    if page.width * page.height and not w * h:
-        raise ValueError("strips or tiles without area")
-    across, down = (-(-page.width // w), -(-page.height // h)) if w and h else (0, 0)
-    if len(at) < across * down * planes or len(sizes) < len(at):
-        raise ValueError("strips or tiles are missing")
-    if not page.tiled and planes == deep == 1 and page.predictor == 1 and stored == np.uint8:  # strips are whole rows
-        page.pixels = b"".join(decode_segment(data[at[r] : at[r] + sizes[r]], page.compression, w * min(h, page.height - r * h)) for r in range(down))
-        return page
-    image = np.zeros((page.height, page.width, page.samples), stored.newbyteorder("<"))
-    for n in range(across * down * planes):
-        plane, rest = divmod(n, across * down)
-        r, c = divmod(rest, across)
-        rows = h if page.tiled else min(h, page.height - r * h)
-        plain = decode_segment(data[at[n] : at[n] + sizes[n]], page.compression, rows * w * deep * stored.itemsize)
-        block = undo_predictor(np.frombuffer(plain, stored).reshape(rows, w, deep), page.predictor, order)
-        target = image[r * h : r * h + rows, c * w : c * w + w, plane * deep : (plane + 1) * deep]
-        target[:] = block[: target.shape[0], : target.shape[1]]
-    page.pixels = image.tobytes()
-    return page
-
-
-def read_pages(data: bytes) -> Iterator[Page]:
-    """Pages of a file; a damaged page has an error instead of pixels, a damaged chain ends with such a page."""
-    index = 0
-    try:
-        for index, tags in enumerate(directories(data)):  # noqa: B020
-            try:
-                yield read_page(data, tags, index)
-            except (ValueError, KeyError, struct.error, zlib.error, OverflowError) as e:
-                yield Page(index, error=str(e) or type(e).__name__)
-            index += 1
-    except (ValueError, struct.error) as e:
-        yield Page(index, error=str(e))
-
-
-# --- writer -----------------------------------------------------------------------------
-
-
-@dataclass
-class Layout:
-    compression: int = DEFLATE
-    predictor: int = 1
-    tile: tuple[int, int] | None = None  # width, height; else strips
-    strip_rows: int = 256
-    order: str = "<"
-    extra: dict[int, tuple] = field(default_factory=dict)
-
-
-def encode_segment(block: np.ndarray, layout: Layout) -> bytes:
-    stored = apply_predictor(block, layout.predictor)
-    stored = stored.astype(stored.dtype.newbyteorder(layout.order))
-    if layout.compression == PACKBITS:
-        return packbits_encode(np.frombuffer(stored.tobytes(), np.uint8).reshape(len(stored), -1))
-    plain = stored.tobytes()
-    return {NONE: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, OLD_DEFLATE: zlib.compress}[layout.compression](plain)
-
-
-def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:
-    """A classic file of pages (rows x columns [x samples] of unsigned or signed integers or floats)."""
-    order = pages[0][1].order if pages else "<"
-    out = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0))
-    link = 4
-    for image, layout in pages:
-        image = image if image.ndim == 3 else image[:, :, None]
-        height, width, samples = image.shape
-        if layout.tile:
-            w, h = layout.tile
-            padded = np.pad(image, ((0, -height % h), (0, -width % w), (0, 0)))
-            blocks = [padded[r : r + h, c : c + w] for r in range(0, height, h) for c in range(0, width, w)]
-        else:
-            blocks = [image[r : r + layout.strip_rows] for r in range(0, height, layout.strip_rows)]
-        offsets, counts = [], []
-        for block in blocks:
-            part = encode_segment(block, layout)
-            offsets.append(len(out))
-            counts.append(len(part))
-            out += part
-        bits = image.dtype.itemsize * 8
-        tags = {
-            WIDTH: ("I", (width,)), HEIGHT: ("I", (height,)), BITS: ("H", (bits,) * samples), COMPRESSION: ("H", (layout.compression,)), PHOTOMETRIC: ("H", (1,)),
-            SAMPLES: ("H", (samples,)), PLANAR: ("H", (1,)), PREDICTOR: ("H", (layout.predictor,)), SAMPLE_FORMAT: ("H", ({"u": 1, "i": 2, "f": 3}[image.dtype.kind],) * samples),
-        }
-        if layout.tile:
-            tags |= {TILE_WIDTH: ("I", (w,)), TILE_HEIGHT: ("I", (h,)), TILE_OFFSETS: ("I", tuple(offsets)), TILE_COUNTS: ("I", tuple(counts))}
-        else:
-            tags |= {ROWS_PER_STRIP: ("I", (layout.strip_rows,)), STRIP_OFFSETS: ("I", tuple(offsets)), STRIP_COUNTS: ("I", tuple(counts))}
-        entries, kinds = [], {"H": 3, "I": 4}
-        for tag, (kind, values) in sorted(tags.items()):
-            raw = struct.pack(f"{order}{len(values)}{kind}", *values)
-            if len(raw) > 4:
-                out += b"\0" * (len(out) % 2)
-                raw, where = struct.pack(f"{order}I", len(out)), raw
-                out += where
-            entries.append(struct.pack(f"{order}HHI4s", tag, kinds[kind], len(values), raw))
-        out += b"\0" * (len(out) % 2)
-        struct.pack_into(f"{order}I", out, link, len(out))
-        out += struct.pack(f"{order}H", len(entries)) + b"".join(entries)
-        link = len(out)
-        out += b"\0\0\0\0"
-    return bytes(out)
-
-
-# --- Spark ------------------------------------------------------------------------------
+from ..sources.tiff_format import DEFLATE, LZW, PACKBITS, Layout, Page, read_pages, write_tiff
 
 _PAGE = [("index", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("sample_format", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("segments", pa.int32()), ("pixels", pa.binary()), ("error", pa.string())]
 _PAGE_DDL = "struct<index:int,width:bigint,height:bigint,samples:int,bits:int,sample_format:int,compression:int,predictor:int,tiled:boolean,segments:int,pixels:binary,error:string>"

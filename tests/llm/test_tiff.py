@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
-from tessera.llm import queries, tiff_pages as T
+from tessera.llm import queries, tiff_pages
+from tessera.sources import tiff_format as T
 
 RNG = np.random.default_rng(1)
 TEXT = ("the of and to in " * 3000).encode() + b"aaaa" * 500 + bytes(range(256)) * 20
@@ -66,11 +67,11 @@ def test_damaged_and_hard_files(spark):
     short[8 : 8 + 65 * 64] = b"\x80" * (65 * 64)  # packets that say nothing
     rows = [(1, good, 0), (2, None, 0), (3, b"", 0), (4, b"hello world", 0), (5, bytes(loop), 0), (6, good[:-20], 0), (1, good, 0), (None, bytes(short), 0)]
     df = spark.createDataFrame(rows, "k int, content binary, pixels int")
-    found = T.tiff_pages(df).collect()
+    found = tiff_pages.tiff_pages(df).collect()
     assert sorted((str(r.k), r.page.error is None) for r in found) == [("1", True), ("1", True), ("3", False), ("4", False), ("5", True), ("6", False), ("None", False)]
-    assert T.tiff_pages(df.limit(0)).count() == 0
+    assert tiff_pages.tiff_pages(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        T.tiff_pages(df.withColumnRenamed("pixels", "page"))
+        tiff_pages.tiff_pages(df.withColumnRenamed("pixels", "page"))
 
 
 def test_query_stores_every_text(spark, sf):
@@ -81,6 +82,6 @@ def test_query_stores_every_text(spark, sf):
         raw = docs[r.doc_id].encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        media = T.payload_page(payload)
+        media = tiff_pages.payload_page(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
-    assert {p.error for p in T.read_pages(T.payload_page(b"\0" * 64))} == {None}
+    assert {p.error for p in T.read_pages(tiff_pages.payload_page(b"\0" * 64))} == {None}
