@@ -86,3 +86,14 @@ def test_hard_tables(spark, sf):
     assert L.deduplicated_lines(df.limit(0)).count() == 0
     found = queries.op1_line_dedup(spark, sf)
     assert found.count() == 200 and found.agg(F.sum("n_deleted")).first()[0] > 0
+
+
+def test_query_matches_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duckdb.sql(queries.OP1_SQL)
+    found = queries.op1_line_dedup(spark, sf)
+    assert found.columns == want.columns
+    assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
