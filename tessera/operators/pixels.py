@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .sizes import bounded
+
 #: Least and largest value of each integer sample type.
 INTEGER_LIMITS = {"Byte": (0, 255), "Int8": (-128, 127), "UInt16": (0, 65535), "Int16": (-32768, 32767), "UInt32": (0, 4294967295), "Int32": (-2147483648, 2147483647)}
 #: Largest finite value of each float type.
@@ -36,9 +38,9 @@ def nodata_mask(px: DataFrame, nodata: Column, place: list[str], band: str = "ba
     Bands without a nodata pixel don't count; without any such band all is valid.
     """
     flagged = px.withColumn("_none", F.coalesce(nodata, F.lit(False)))
-    with_nodata = flagged.groupBy(band).agg(F.bool_or("_none").alias("_has")).where("_has").select(band)  # a row for each band
-    hidden = flagged.join(F.broadcast(with_nodata), band).groupBy(*place).agg(F.bool_and("_none").alias("_all"))
-    return px.select(*place).distinct().join(hidden, place, "left").select(*place, F.when(F.col("_all"), 0).otherwise(255).alias("mask"))
+    counting = bounded(flagged.groupBy(band).agg(F.bool_or("_none").alias("_counts")))  # a row for each band
+    hidden = F.bool_and(F.when(F.col("_counts"), F.col("_none")))
+    return flagged.join(counting, band).groupBy(*place).agg(hidden.alias("_all")).select(*place, F.when(F.col("_all"), 0).otherwise(255).alias("mask"))
 
 
 def nodata_fits(nodata: Column, dtype: Column, compat: bool = False) -> Column:

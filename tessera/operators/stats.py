@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .sizes import bounded
+
 MOST_BINS = 100
 
 
@@ -34,6 +36,37 @@ def band_statistics(px: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def quantiles_by_refinement(px: DataFrame, probabilities: list[float], *keys: str, bins: int = 1024, passes: int = 3) -> DataFrame:
+    """A03 beyond memory: (keys, p, quantile), equal to percentile(value, p) over valid pixels.
+
+    percentile holds a count for every distinct value of a group.  Here each pass counts, by a
+    partial aggregate, the values of bins of the interval that holds a wanted rank and goes on
+    with that bin; after passes rounds only the values of a bins ** passes-th of the range are
+    grouped by value.  For bands whose pixels have too many different values to hold.
+    """
+    valid_px = px.where(valid(F.col("value"))).select(*keys, "value")
+    by = [*keys, "rank"]
+    base = valid_px.groupBy(*keys).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    place = (F.col("n") - 1) * F.col("p")
+    wanted = base.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    ranks = bounded(wanted.select(*keys, "p", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("rank"), "n", "lo", "hi"))
+    spans = bounded(ranks.select(*by, "lo", "hi", F.lit(0).cast("long").alias("below")).distinct())
+    for _ in range(passes):
+        width = (F.col("hi") - F.col("lo")) / bins
+        inside = valid_px.join(spans, list(keys)).where(F.col("value").between(F.col("lo"), F.col("hi")))
+        slot = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width))).otherwise(0)
+        counted = inside.groupBy(*by, slot.alias("slot")).agg(F.count("*").alias("m"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.first("below").alias("below"))
+        upto = F.sum("m").over(Window.partitionBy(*by).orderBy("slot"))  # bins rows at most in a group
+        spans = bounded(counted.withColumn("upto", F.col("below") + upto).where("rank < upto and rank >= upto - m").select(*by, "lo", "hi", (F.col("upto") - F.col("m")).alias("below")))
+    last = valid_px.join(spans, list(keys)).where(F.col("value").between(F.col("lo"), F.col("hi")))
+    values = last.groupBy(*by, "value").agg(F.count("*").alias("m"), F.first("below").alias("below"))
+    upto = F.col("below") + F.sum("m").over(Window.partitionBy(*by).orderBy("value"))
+    found = values.withColumn("upto", upto).where("rank < upto and rank >= upto - m").select(*by, "value")
+    both = ranks.join(found, by).groupBy(*keys, "p").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.first("n").alias("n"))
+    part = place - F.floor(place)
+    return both.select(*keys, "p", F.when(part == 0, F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part).alias("quantile"))
+
+
 def histogram_plan(px: DataFrame, *keys: str) -> DataFrame:
     """Bins of each band (A04): 256 on [0, 256] for byte data, else by the Freedman-Diaconis width, at most MOST_BINS."""
     v = F.when(valid(F.col("value")), F.col("value"))
@@ -54,6 +87,7 @@ def histogram(px: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
 
     plan has one row for each band; bins come out of a partial aggregate, so no band meets in a task.
     """
+    plan = bounded(plan)
     at = px.where(valid(F.col("value"))).join(plan, list(keys)).where(F.col("value").between(F.col("lo"), F.col("hi")))
     guess = F.greatest(F.lit(0), F.least(F.col("bins") - 1, F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / F.col("bins")))))
     at = at.withColumn("g", guess.cast("int"))

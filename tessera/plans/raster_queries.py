@@ -23,6 +23,11 @@ def a01_band_statistics_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.band_statistics(V.pixels(spark, sf_dir), "file_id", "band")
 
 
+def refined_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = S.quantiles_by_refinement(V.pixels(spark, sf_dir), [0.25, 0.5, 0.75, 0.999], "band")
+    return q.select("band", "p", F.round("quantile", 6).alias("quantile"))
+
+
 def _fd(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = V.pixels(spark, sf_dir)
     return S.histogram(px, S.histogram_plan(px, "band"), "band")
@@ -193,6 +198,7 @@ _BLOCK_ERRORS = f"""{V.BLOCKS_SQL}, seen_b AS (SELECT file_id, block, "offset",
 QUERIES = {
     "a01_band_statistics": (a01_band_statistics, f"WITH {V.PIXELS_SQL} SELECT band, band_name, {STATS_SQL} FROM px GROUP BY band, band_name"),
     "a01_band_statistics_by_file": (a01_band_statistics_by_file, f"WITH {V.PIXELS_SQL} SELECT file_id, band, {STATS_SQL} FROM px GROUP BY file_id, band"),
+    "a03_refined_quantiles": (refined_quantiles, f"WITH {V.PIXELS_SQL}, q AS (SELECT band, unnest([0.25, 0.5, 0.75, 0.999]::DOUBLE[]) AS p, unnest(quantile_cont(value, [0.25, 0.5, 0.75, 0.999])) AS quantile FROM px WHERE {VALID} GROUP BY band) SELECT band, p, round(quantile, 6) AS quantile FROM q"),
     "a04_hist_fd": (hist_fd, _HIST_FD + ' SELECT band, bin, round("left", 6) AS "left", round("right", 6) AS "right", count FROM hist'),
     "a04_hist_byte": (hist_byte, _bins_sql(_BYTE_PLAN, "v") + ' SELECT band, bin, "left", "right", count FROM hist'),
     "a05_hist_pam": (hist_pam, _bins_sql(_PAM_PLAN, "v") + " SELECT band, string_agg(CAST(count AS VARCHAR), '|' ORDER BY bin) AS counts FROM hist GROUP BY band"),
