@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import records as R
+from ..functions import crs as C, numbers as N, records as R
 from ..operators import stats as S
 from ..sources import views as V
 
@@ -59,7 +59,51 @@ def carried_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(";", F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))).alias("metadata"), F.length(wrapped).alias("wrapped"), R.without_marks(wrapped).alias("plain"), R.jpeg_tables(F.concat(F.lit(b"\xff\xd8\xff\xdb"), F.col("s_name").cast("binary"))).alias("tables"))
 
 
+def corners_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in UTM zones to degrees."""
+    k = F.col("c_custkey")
+    code = F.when(k % 2 == 0, 32601 + k % 60).otherwise(32701 + k % 60)
+    lon, lat = C.utm_to_lonlat(C.utm_zone(code), F.lit(300000.0) + k % 1000 * 400, F.lit(1000000.0) + k % 700 * 10000)
+    return V.table(spark, sf_dir, "customer").select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+def _series(names: tuple[float, ...], term: str) -> str:
+    return " + ".join(f"{b!r}::DOUBLE * {term.format(j=2 * j)}" for j, b in enumerate(names, 1))
+
+
+_LONLAT_SQL = f"""WITH k AS (SELECT c_custkey, c_custkey % 60 + 1 AS zone, c_custkey % 2 <> 0 AS south, 300000.0::DOUBLE + c_custkey % 1000 * 400 AS x, 1000000.0::DOUBLE + c_custkey % 700 * 10000 AS y FROM customer),
+a AS (SELECT *, (y - CASE WHEN south THEN {C.SOUTH} ELSE 0 END) / ({C.SCALE}::DOUBLE * {C.RADIUS!r}::DOUBLE) AS xi, (x - 500000) / ({C.SCALE}::DOUBLE * {C.RADIUS!r}::DOUBLE) AS eta FROM k),
+b AS (SELECT *, xi - ({_series(C.BETA, "sin({j} * xi) * cosh({j} * eta)")}) AS xi1, eta - ({_series(C.BETA, "cos({j} * xi) * sinh({j} * eta)")}) AS eta1 FROM a), c AS (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM b)
+SELECT c_custkey, round(degrees(atan2(sinh(eta1), cos(xi1))) + zone * 6 - 183, 6) AS lon, round(degrees(chi + {_series(C.DELTA, "sin({j} * chi)")}), 6) AS lat FROM c"""
+
+
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of turned images, with heights where they have one band."""
+    c = V.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
+    corners = c.select(F.col("c_custkey").alias("file_id"), F.inline(N.corners((100.0, 2.0, 0.5, 50.0, -0.25, -2.0), F.col("c_custkey") % 91, F.col("c_nationkey"))))
+    stats = V.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("file_id"), F.col("o_totalprice").alias("minimum"), (F.col("o_totalprice") + 1).alias("maximum"))
+    return C.with_heights(C.extents(corners, "file_id"), stats, "file_id")
+
+
+_BOXES_SQL = """WITH c AS (SELECT c_custkey AS file_id, c_custkey % 91 AS w, c_nationkey AS h FROM customer WHERE c_custkey % 10 = 0), p AS (SELECT file_id, w, h, unnest([0, 1, 1, 0, 0.5]::DOUBLE[]) AS a, unnest([0, 0, 1, 1, 0.5]::DOUBLE[]) AS b FROM c),
+x AS (SELECT file_id, 100 + a * w * 2 + b * h * 0.5::DOUBLE AS x, 50 + a * w * -0.25::DOUBLE + b * h * -2 AS y FROM p), e AS (SELECT file_id, min(x) AS west, min(y) AS south, max(x) AS east, max(y) AS north FROM x GROUP BY file_id),
+s AS (SELECT o_custkey AS file_id, min(o_totalprice) AS bottom, max(o_totalprice + 1) AS top FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1 HAVING count(*) = 1) SELECT e.*, bottom, top FROM e LEFT JOIN s USING (file_id)"""
+
+
+def crs_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P41, P47."""
+    k = F.col("c_custkey")
+    product = F.get(F.array(*[F.lit(x) for x in ("dem", "image", "error")]), (k % 3).cast("int"))
+    nodata = F.when(k % 7 == 0, float("nan")).otherwise(F.lit(-9999.0))
+    target = C.target_nodata(product, F.when(k % 2 == 0, "LERC").otherwise("LZW"), nodata, F.when(k % 11 == 0, F.lit(0.0)))
+    return V.table(spark, sf_dir, "customer").select("c_custkey", C.chosen_crs(product, F.col("c_name"), F.when(k % 2 == 0, F.lit("EGM96")), F.when(k % 5 == 0, F.lit("EGM2008"))).alias("crs"), F.when(F.isnan(target), None).otherwise(target).alias("nodata"))
+
+
 QUERIES = {
+    "p16_corners_lonlat": (corners_lonlat, _LONLAT_SQL),
+    "p20_boxes": (boxes, _BOXES_SQL),
+    "p47_crs_choice": (crs_choice, """SELECT c_custkey, CASE WHEN c_custkey % 3 = 1 OR (c_custkey % 5 <> 0 AND c_custkey % 2 <> 0) THEN c_name ELSE c_name || ' + ' || CASE WHEN c_custkey % 5 = 0 THEN 'EGM2008' ELSE 'EGM96' END END AS crs,
+CASE WHEN c_custkey % 11 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 7 <> 0 THEN -9999.0::DOUBLE WHEN c_custkey % 2 = 0 THEN -32767.0::DOUBLE END AS nodata FROM customer"""),
     "p31_affine_helpers": (affine_helpers, "SELECT c_custkey, c_custkey % 6 = 0 AS north_up, CASE WHEN c_custkey % 3 = 0 THEN 3.0::DOUBLE ELSE 5 END AS res_x, CASE WHEN c_custkey % 2 = 0 THEN 3.0::DOUBLE ELSE 5 END AS res_y FROM customer"),
     "p14_ifd_labels": (ifd_labels, _LABELS_SQL),
     "p06_rgba_split": (rgba_split, f"WITH {V.TILE_PIXELS_SQL} SELECT tx, row, col, round(max(value) FILTER (band = 1), 6) AS r, round(max(value) FILTER (band = 2), 6) AS g, round(max(value) FILTER (band = 3), 6) AS b, CASE WHEN max(value) FILTER (band = 4) > 0 THEN 255 ELSE 0 END AS mask FROM tp GROUP BY ALL"),
