@@ -86,6 +86,22 @@ def markdown_reports(spark: SparkSession, path: str, sections: list[str] | None
     return lines.groupBy("path").agg(F.array_join(ordered, "\n").alias("report"))
 
 
+STYLE = "body{font-family:sans-serif}table{border-collapse:collapse}td,th{border:1px solid #999;padding:2px 6px}"
+
+
+def html_reports(spark: SparkSession, path: str, sections: list[str] | None = None) -> DataFrame:
+    """(path, html): the same report as a page with a table for each section and links to them; no scripts or themes."""
+    lines = read_sections(spark, path, sections).where("line_no >= 0 or line_no = -8")
+    cells = lambda line, tag: F.concat(F.lit(f"<tr><{tag}>"), F.replace(F.regexp_replace(X.html_escaped(line), r"^\| | \|$", ""), F.lit(" | "), F.lit(f"</{tag}><{tag}>")), F.lit(f"</{tag}></tr>"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.when(x["line_no"] < 0, cells(x["line"], "th")).otherwise(cells(x["line"], "td")))
+    tables = lines.groupBy("path", "ord", "section").agg(F.array_join(rows, "").alias("rows"))
+    table = F.concat(F.lit('<h2 id="'), X.slug(F.col("section")), F.lit('">'), F.initcap("section"), F.lit("</h2><table>"), F.col("rows"), F.lit("</table>"))
+    link = F.concat(F.lit('<a href="#'), X.slug(F.col("section")), F.lit('">'), F.initcap("section"), F.lit("</a>"))
+    parts = F.array_sort(F.collect_list(F.struct("ord", link.alias("link"), table.alias("table"))))
+    page = F.concat(F.lit(f"<!DOCTYPE html><html><head><style>{STYLE}</style></head><body><nav>"), F.array_join(F.transform(parts, lambda x: x["link"]), " "), F.lit("</nav>"), F.array_join(F.transform(parts, lambda x: x["table"]), ""), F.lit("</body></html>"))
+    return tables.groupBy("path").agg(page.alias("html"))
+
+
 def _summary(spark: SparkSession, path: str, content: DataFrame):
     d = tiff.ifds(content).where("ifd = 0")
     size = content.select("path", F.length("content").alias("size"))

@@ -14,6 +14,8 @@ def test_report(spark, folder):  # noqa: F811
     dem = reports["dem.tif"]
     assert dem.index("## Summary") < dem.index("## Tags") < dem.index("## Statistics")
     assert "| 70 x 60 | 1 | Float32 |" in dem and "Overview" in dem and "ProjectedCRSGeoKey | 32610" in dem and "| 4158 | 42 |" in dem
+    page = {r.path.rsplit("/", 1)[1]: r.html for r in P.html_reports(spark, top, ["summary", "geokeys"]).collect()}["dem.tif"]
+    assert '<a href="#summary">Summary</a> <a href="#geokeys">' in page and "<tr><td>3072</td><td>ProjectedCRSGeoKey</td><td>32610</td></tr>" in page and "<th>Key</th>" in page
     only = {r.section for r in P.read_sections(spark, top, ["tags"]).collect()}
     assert only == {"tags"}
     with pytest.raises(ValueError):
