@@ -28,7 +28,10 @@ WORDS_KEPT = 300_000
 
 # Which letters a sign may stand for, and the separators of spaced-out words.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
-SEPARATORS = " .-_*~/"
+SEPARATORS = " .-_~/"
+HIDDEN = "*#"  # a letter crossed out, most often a vowel, or a separator
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+VOWELS = "aeiou"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…"
 
 SYMBOLS = " abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûü"
@@ -42,7 +45,7 @@ _POINTS[[9, 10, 11, 12, 13]] = 0
 for _c in PUNCTUATION:
     _POINTS[ord(_c)] = 0
 
-SUBSTITUTED, KEPT_SIGN, DROPPED, SHORTENED, SPLIT = -1.0, -6.0, -3.0, -0.5, -2.0  # the channel, in log10 and by judgement
+SUBSTITUTED, KEPT_SIGN, DROPPED, SHORTENED, SPLIT, GUESSED = -1.0, -6.0, -3.0, -0.5, -2.0, -1.0  # the channel, in log10 and by judgement
 
 
 # --- character model --------------------------------------------------------------------
@@ -97,6 +100,11 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         run, last = end - at, end == len(token)
         if c in SEPARATORS:
             options = [("", SHORTENED), (" ", SPLIT)]
+        elif c in INVISIBLE:
+            options = [("", 0.0)]
+        elif c in HIDDEN:
+            inside = at > 0 and not last
+            options = [("", SHORTENED), (" ", SPLIT)] + [(v, GUESSED) for v in VOWELS if inside and run == 1]
         elif c in LEET:
             options = [(x, SUBSTITUTED) for x in LEET[c]] + [(x * 2, SUBSTITUTED + SHORTENED) for x in LEET[c] if run > 1]
             options += [(c * run, KEPT_SIGN)] if c.isdigit() else [("", DROPPED if last or at == 0 else KEPT_SIGN)]
@@ -129,7 +137,7 @@ def viterbi(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     return max(best.values())[1].strip()
 
 
-_DISGUISE = re.compile(r"(?=.*[^\W\d_])(?=.*[0-9@$!|+€(¡£])|([^\W\d_])\1\1")
+_DISGUISE = re.compile(rf"(?=.*[^\W\d_])(?=.*[0-9@$!|+€(¡£{INVISIBLE}])|[^\W\d_][{HIDDEN}]+[^\W\d_]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\s])[^\s](?:[ .\-_*~/][^\s.\-_*~/]){2,}(?![^\s.,;:!?])")
 _SIGN_TAIL = re.compile(r"(?:([^\w\s])\1\1+|[.,;:!?'\")\]}…»]+)$")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
@@ -187,49 +195,47 @@ class Restorer(dict):
         found = {0}
         found.update(*map(self.__getitem__, set(lowered.split())))
         for run in spaced_runs(lowered):
-            for word in viterbi(lattice(run), self.model).split():
-                found.update(word_features(word))
+            # A neighbour of one letter may not belong to the spaced-out word: it is read with and without its ends.
+            for part in (run, run[2:], run[:-2], run[2:-2]):
+                if len(part) > 4:
+                    for word in viterbi(lattice(part), self.model).split():
+                        found.update(word_features(word))
         return np.fromiter(found, np.int64, len(found))
 
 
-_RESTORERS: dict[int, Restorer] = {}
-
-
-def restorer(sent) -> Restorer:
-    """This worker's restorer for a broadcast model; one model is kept at a time."""
-    if sent.id not in _RESTORERS:
-        _RESTORERS.clear()
-        _RESTORERS[sent.id] = Restorer(sent.value)
-    return _RESTORERS[sent.id]
-
-
 class Sent:
-    """A broadcast with an identity that workers can tell apart."""
+    """A broadcast with a number by which workers know it again."""
 
     def __init__(self, spark, value):
         self.broadcast = spark.sparkContext.broadcast(value)
         self.id = self.broadcast._jbroadcast.id()
 
-    def handle(self):
-        return _Handle(self.broadcast, self.id)
-
-
-class _Handle:
-    def __init__(self, broadcast, number: int):
-        self.broadcast, self.id = broadcast, number
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
 
     @property
     def value(self):
         return self.broadcast.value
 
 
-def fit_toxicity(sample: DataFrame, model: np.ndarray, epochs: int = 4, text: str = "text", label: str = "y") -> np.ndarray:
+_RESTORERS: dict[int, Restorer] = {}
+
+
+def restorer(sent: Sent) -> Restorer:
+    """This worker's restorer for a model; one model is kept at a time."""
+    if sent.id not in _RESTORERS:
+        _RESTORERS.clear()
+        _RESTORERS[sent.id] = Restorer(sent.value)
+    return _RESTORERS[sent.id]
+
+
+def fit_toxicity(sample: DataFrame, model: np.ndarray, epochs: int = 8, text: str = "text", label: str = "y") -> np.ndarray:
     """Weights from a bounded labelled sample: texts become positions where they are, one task learns from those."""
-    handle = Sent(sample.sparkSession, model).handle()
+    sent = Sent(sample.sparkSession, model)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [restorer(handle).positions(t or "").astype("<i4") for t in batch["text"]]
+            made = [restorer(sent).positions(t or "").astype("<i4") for t in batch["text"]]
             made = [np.sort(m) for m in made]
             yield pd.DataFrame({"o": [zlib.crc32(m.tobytes()) for m in made], "at": [m.tobytes() for m in made], "y": batch["y"].astype("float64")})
 
@@ -254,11 +260,11 @@ def fit_toxicity(sample: DataFrame, model: np.ndarray, epochs: int = 4, text: st
 def toxicity_scores(df: DataFrame, model: np.ndarray, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """df with the score of every whole restored text: 0 to 1; null texts count as empty and score the bias alone."""
     spark = df.sparkSession
-    handle, sent = Sent(spark, model).handle(), spark.sparkContext.broadcast(weights)
+    sent, learned = Sent(spark, model), spark.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        w, by = sent.value, restorer(handle)
+        w, by = learned.value, restorer(sent)
         dots = np.array([w[by.positions(t or "")].sum(dtype=np.float64) for t in texts], np.float64)
         return pd.Series(1 / (1 + np.exp(-np.clip(dots, -35, 35))))
 
@@ -267,11 +273,11 @@ def toxicity_scores(df: DataFrame, model: np.ndarray, weights: np.ndarray, text:
 
 def restored(df: DataFrame, model: np.ndarray, text: str = "text", out: str = "restored") -> DataFrame:
     """df with every whole text as the decoder reads it (null stays null)."""
-    handle = Sent(df.sparkSession, model).handle()
+    sent = Sent(df.sparkSession, model)
 
     @F.pandas_udf("string")
     def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else restored_text(t, handle.value) for t in texts], dtype=object)
+        return pd.Series([None if t is None else restored_text(t, sent.value) for t in texts], dtype=object)
 
     return df.withColumn(out, read(F.col(text).cast("string")))
 

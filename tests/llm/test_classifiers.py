@@ -69,10 +69,10 @@ def model(spark):
     return D.character_model(docs.select("text").union(spark.createDataFrame([(words * 40,)], "text string")))
 
 
-@pytest.mark.parametrize("written", ["1d10t", "i d i o t", "i-d-i-o-t", "l0s3r", "l o s e r", "looooser", "m0r0n", "$cum", "s c u m", "tr@sh", "p4th3t1c", "5tup1d", "stuuuupid", "cl0wn!!!", "1 d 1 0 t"])
+@pytest.mark.parametrize("written", ["1d10t", "i d i o t", "i-d-i-o-t", "l0s3r", "l o s e r", "looooser", "m0r0n", "$cum", "s c u m", "tr@sh", "p4th3t1c", "5tup1d", "stuuuupid", "cl0wn!!!", "1 d 1 0 t", "st*pid", "sc\u200bum", "m#ron", "l.o.s.e.r", "id!ot"])
 def test_disguises_are_undone(model, written):
-    plain = {"i": "idiot", "1": "idiot", "l": "loser", "m": "moron", "$": "scum", "t": "trash", "p": "pathetic", "5": "stupid", "c": "clown"}
-    want = "scum" if written == "s c u m" else "stupid" if written.startswith("st") else plain[written[0]]
+    plain = {"i": "idiot", "1": "idiot", "l": "loser", "m": "moron", "$": "scum", "t": "trash", "p": "pathetic", "5": "stupid", "c": "clown", "s": "stupid"}
+    want = "scum" if written in ("s c u m", "sc\u200bum") else "stupid" if written.startswith("st") else plain[written[0]]
     assert D.restored_text(f"you {written} there", model).split() == ["you", want, "there"]
 
 
@@ -124,3 +124,10 @@ def test_hard_tables(spark, tmp_path):
     assert queries.op5_toxicity(spark, str(empty)).count() == queries.op7_quality(spark, str(empty)).count() == 0
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text")
     assert D.restored(docs, np.zeros((D.N,) * 3, np.float32)).where(F.col("restored").isNull()).count() == 1
+
+
+def test_neighbours_of_spaced_words(model):
+    by = D.Restorer(model)
+    for text in ("you are a s t u p i d person", "what a l o s e r", "i d i o t y yes"):
+        word = next(w for w in ("stupid", "loser", "idiot") if " ".join(w) in text)
+        assert set(D.word_features(word)) <= set(by.positions(text).tolist())
