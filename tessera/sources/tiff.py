@@ -85,16 +85,11 @@ def geo(df: DataFrame) -> DataFrame:
     def rows(data: bytes) -> Iterator[tuple]:
         for i, t, _ in _walk(data):
             t = t or {}
-            text = lambda tag: b"".join(t[tag]).rstrip(b"\0").decode("utf-8", "replace") if tag in t else None  # noqa: B023, E731
             affine = None
             if MODEL_SCALE in t and TIEPOINTS in t:
                 sx, sy, (px, py, _, x, y, _) = t[MODEL_SCALE][0], t[MODEL_SCALE][1], t[TIEPOINTS][:6]
                 affine = [x - px * sx, sx, 0.0, y + py * sy, 0.0, -sy]
-            try:
-                nodata = float(text(NODATA)) if text(NODATA) else None
-            except ValueError:
-                nodata = None
-            yield i, list(map(int, t[GEO_DIRECTORY])) if GEO_DIRECTORY in t else None, list(map(float, t[GEO_DOUBLES])) if GEO_DOUBLES in t else None, text(GEO_ASCII), affine, nodata
+            yield i, list(map(int, t[GEO_DIRECTORY])) if GEO_DIRECTORY in t else None, list(map(float, t[GEO_DOUBLES])) if GEO_DOUBLES in t else None, _text(t, GEO_ASCII), affine, _nodata(t)
 
     return _table(df, "ifd int, directory array<int>, doubles array<double>, ascii string, affine array<double>, nodata double", rows)
 
@@ -125,13 +120,26 @@ def blocks(df: DataFrame) -> DataFrame:
     return _table(df, "ifd int, band int, bx int, by int, block int, offset long, bytecount long, leader long, trailer_ok boolean", rows)
 
 
-def pixels(df: DataFrame, rows_at_once: int = 64) -> DataFrame:
-    """Bands as rows of samples: (path, ifd, band, row, data array<double>); explode them for pixels."""
+def _text(tags: dict[int, tuple], tag: int) -> str | None:
+    return b"".join(tags[tag]).rstrip(b"\0").decode("utf-8", "replace") if tag in tags else None
+
+
+def _nodata(tags: dict[int, tuple]) -> float | None:
+    try:
+        return float(_text(tags, NODATA) or "")
+    except ValueError:
+        return None
+
+
+def pixels(df: DataFrame) -> DataFrame:
+    """Bands as rows of samples with the file's nodata value: (path, ifd, band, row, nodata, data array<double>)."""
 
     def rows(data: bytes) -> Iterator[tuple]:
+        nodata = None
         for i, t, _ in _walk(data):
             if t is None:
                 continue
+            nodata = _nodata(t) if i == 0 else nodata
             try:
                 page = T.read_page(data, t, i)
             except (ValueError, KeyError, struct.error, zlib.error):
@@ -139,18 +147,25 @@ def pixels(df: DataFrame, rows_at_once: int = 64) -> DataFrame:
             kind = {1: "u", 2: "i", 3: "f"}[page.sample_format]
             image = np.frombuffer(page.pixels, f"<{kind}{page.bits // 8}").reshape(page.height, page.width, page.samples)
             for band in range(page.samples):
-                for row in range(page.height):
-                    yield i, band + 1, row, image[row, :, band].astype(np.float64)
+                for row, values in enumerate(image[:, :, band].astype(np.float64)):
+                    yield i, band + 1, row, nodata, values
 
-    return _table(df, "ifd int, band int, row int, data array<double>", rows)
+    return _table(df, "ifd int, band int, row int, nodata double, data array<double>", rows)
 
 
 def masked_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """The pixel relation that the statistics read: nodata by the file's tag, no mask, no alpha."""
+    """The pixel relation that the statistics read: nodata by the file's tag, no mask, no alpha.
+
+    Few files leave most cores idle after decoding, so their rows are dealt out before they
+    become pixels; with as many files as cores nothing is moved.
+    """
     content = files(spark, path)
-    nodata = geo(content).where("ifd = 0").select("path", "nodata")
-    long = pixels(content).select("path", "ifd", "band", "row", F.posexplode("data").alias("col", "value"))
-    return long.join(nodata, "path", "left").select(F.col("path").alias("file_id"), "ifd", "band", "row", "col", "value", F.coalesce(F.col("value") == F.col("nodata"), F.lit(False)).alias("is_nodata"), F.lit(False).alias("is_masked"), F.lit(False).alias("is_alpha0"))
+    rows, cores = pixels(content), spark.sparkContext.defaultParallelism
+    if content.select("path").count() < cores:
+        rows = rows.repartition(cores)
+    long = rows.select("path", "ifd", "band", "row", "nodata", F.posexplode("data").alias("col", "value"))
+    none = F.coalesce(F.col("value") == F.col("nodata"), F.lit(False))
+    return long.select(F.col("path").alias("file_id"), "ifd", "band", "row", "col", "value", none.alias("is_nodata"), F.lit(False).alias("is_masked"), F.lit(False).alias("is_alpha0"))
 
 
 def encoded(df: DataFrame, width: int, data: str = "data", out: str = "content", layout: T.Layout | None = None, dtype: str = "<f4") -> DataFrame:
