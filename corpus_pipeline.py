@@ -24,12 +24,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of every group of linked fingerprints; documents without an id stay."""
-    found = simhash.near_duplicates(docs)
-    kept = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n")), "kept")
-    once = docs.join(kept.where("_n = 1").select("doc_id"), "doc_id", "left_semi")
-    if not kept.where("_n > 1").isEmpty():  # rows that share an id: one of them stays
-        once = once.unionByName(docs.join(kept.where("_n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    ids = simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+    ids = written(ids.agg(F.bool_or(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n")), "ids")
+    # Merged at every size: the ids that go grow with the corpus, so a broadcast of few would not last.
+    kept = docs.join(ids.where("not stays").select("doc_id").hint("merge"), "doc_id", "left_anti")
+    shared = ids.where("stays and n > 1").select("doc_id")
+    if not shared.isEmpty():  # rows that share an id: one of them stays
+        kept = kept.join(shared, "doc_id", "left_anti").unionByName(kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
