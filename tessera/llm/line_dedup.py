@@ -92,6 +92,7 @@ def later_windows(lines: DataFrame, least: int) -> DataFrame:
         named = here.join(ranks, "at").join(ranks.select(F.col("at").alias("second"), F.col("rank").alias("then")), F.expr(f"at + lines - {depth}") == F.col("second"))
         named = written(named.select("at", "lines", "rank", "then"), "intervals")
         first = named.groupBy("lines", "rank", "then").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        first = written(first, "first")  # both sides of the join have an exchange of their own, so a large interval can be split
         later = named.join(first, ["lines", "rank", "then"]).where("at > first").select("at", "lines")
         found = later if found is None else found.unionByName(later)
         if 2 * depth > least:
