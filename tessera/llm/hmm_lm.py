@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,14 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:2] + word[-2:]) % CLASSES
 
 
+class Classes(dict):
+    """Word -> class, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = class_of(word)
+        return k
+
+
 # --- counts -----------------------------------------------------------------------------
 
 
@@ -148,23 +157,20 @@ def encoded(df: DataFrame, vocab: Vocabulary) -> DataFrame:
         v: Vocabulary = sent.value
         logs = np.log10(v.counts + 1)
         place, own = v.head.get, v.own
-        classes = {}
+        classes = Classes()
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for text in batch.column(0).to_pylist():
                 words = words_of(text)
-                at = np.array([place(w, -1) for w in words] + [0], np.int64)
-                symbols = np.where(at < 0, 0, v.symbols[at])
-                rare: dict[bytes, int] = {}
-                for i in np.flatnonzero(at < 0).tolist():
-                    w = words[i]
-                    rare[w] = rare.get(w, 0) + 1
-                    k = classes.get(w)
-                    if k is None:
-                        if len(classes) > WORDS_HELD:
-                            classes.clear()
-                        k = classes[w] = class_of(w)
-                    symbols[i] = own + k
+                at = np.zeros(len(words) + 1, np.int64)  # the end has place 0
+                at[:-1] = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
+                unknown = at < 0
+                rare_words = list(compress(words, unknown.tolist()))
+                symbols = np.where(unknown, 0, v.symbols[at])
+                symbols[unknown] = np.fromiter(map(classes.__getitem__, rare_words), np.int64, len(rare_words)) + own
+                rare = Counter(rare_words)
+                if len(classes) > WORDS_HELD:
+                    classes.clear()
                 known = at[at >= 0]
                 in_class = symbols[symbols >= own] - own
                 row = (len(at), int((v.counts[known] > 0).sum()), float(logs[known].sum()), float(logs[known[known < own]].sum()), float(v.class_cost[in_class].sum()), symbols.astype("<u2").tobytes(), list(rare), list(rare.values()))
@@ -267,8 +273,8 @@ class Expected:
         inside = np.arange(depth)[:, None] < sizes
         flat, share = grid[inside], ahead[inside]
         self.inside += share.sum(axis=0)
-        for k in range(states):
-            self.signs[:, k] += np.bincount(flat, share[:, k], len(self.signs))
+        for k, column in enumerate(np.ascontiguousarray(share.T)):
+            self.signs[:, k] += np.bincount(flat, column, len(self.signs))
 
 
 def expected_counts(table: DataFrame, model: Model) -> tuple[Expected, int]:
