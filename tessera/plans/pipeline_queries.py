@@ -26,7 +26,7 @@ def optimize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every file under each codec."""
-    grid = [P.Options("DEFLATE", 3, tile=64, overviews=False), P.Options("LZW", 3, tile=64, overviews=False), P.Options("DEFLATE", 1, decimals=1, tile=64, overviews=False)]
+    grid = [P.Options("DEFLATE", 3, tile=64, overviews=False), P.Options("LZW", 3, tile=64, overviews=False), P.Options("DEFLATE", 1, decimals=1, tile=64, overviews=False), P.Options("ZSTD", 3, tile=64, overviews=False)]
     return P.tested(_rows(spark, sf_dir), grid)
 
 

@@ -19,7 +19,8 @@ from ..sources import tiff, tiff_format as TF
 
 SECTIONS = ["summary", "directories", "tags", "geokeys", "statistics", "layout"]
 
-CODECS = {"NONE": TF.NONE, "LZW": TF.LZW, "DEFLATE": TF.DEFLATE, "PACKBITS": TF.PACKBITS}
+CODECS = {"NONE": TF.NONE, "LZW": TF.LZW, "DEFLATE": TF.DEFLATE, "PACKBITS": TF.PACKBITS, "ZSTD": TF.ZSTD}
+LEVELS = {"DEFLATE": range(1, 10), "ZSTD": range(1, 23)}
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ class Options:
     nodata_to: float | None = None
     tile: int = 512
     overviews: bool = True
+    level: int | None = None
 
     def resolved(self, product: str) -> Options:
         """Defaults of a product where nothing was asked for."""
@@ -46,6 +48,8 @@ class Options:
         found = []
         if self.algorithm not in CODECS:
             found.append(f"algorithm {self.algorithm} isn't available")
+        if self.level is not None and self.level not in LEVELS.get(self.algorithm, ()):
+            found.append(f"{self.algorithm} has no level {self.level}")
         if product not in ("dem", "image", "error", "scientific", "thematic"):
             found.append(f"unknown product {product}")
         if product in ("dem", "error") and bands != 1:
@@ -187,7 +191,7 @@ def build_file(rows: pd.DataFrame, options: Options, dtype: str) -> bytes:
     predictor = options.predictor or 1
     if predictor == 3 and image.dtype.kind != "f" or predictor == 2 and image.dtype.kind == "f":
         predictor = 1 if predictor == 3 else 3
-    layout = TF.Layout(CODECS[options.algorithm], predictor, (options.tile, options.tile))
+    layout = TF.Layout(CODECS[options.algorithm], predictor, (options.tile, options.tile), level=options.level)
     pages = [(image, layout)]
     factor = 2
     while options.overviews and max(image.shape[:2]) / factor > options.tile / 2:

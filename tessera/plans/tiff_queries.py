@@ -34,11 +34,11 @@ def tiff_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def codec_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored bytes of every tile under each codec and predictor, added up; sizes are exact, so no times are given."""
-    grid = [(c, p) for c in ("NONE", "LZW", "DEFLATE", "PACKBITS") for p in (1, 3)]
+    grid = [(c, p) for c in ("NONE", "LZW", "DEFLATE", "PACKBITS", "ZSTD") for p in (1, 3)]
 
     @F.pandas_udf("array<long>")
     def sizes(column: pd.Series) -> pd.Series:
-        codes = {"NONE": TF.NONE, "LZW": TF.LZW, "DEFLATE": TF.DEFLATE, "PACKBITS": TF.PACKBITS}
+        codes = {"NONE": TF.NONE, "LZW": TF.LZW, "DEFLATE": TF.DEFLATE, "PACKBITS": TF.PACKBITS, "ZSTD": TF.ZSTD}
         return pd.Series([[len(TF.encode_segment(np.asarray(x, "<f4").reshape(8, 8, 1), TF.Layout(codes[c], p))) for c, p in grid] for x in column])
 
     e = V.table(spark, sf_dir, "embeddings").select(F.posexplode(sizes("embedding")).alias("trial", "size"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A grid of trials for each product: (algorithm, predictor, decimals).
 PRESETS = {
-    "dem": [("DEFLATE", 2, 2), ("DEFLATE", 3, 2), ("LZW", 2, 2), ("LZW", 3, None)],
-    "error": [("DEFLATE", 2, 1), ("LZW", 2, 1)],
-    "scientific": [("DEFLATE", 3, None), ("DEFLATE", 1, 8), ("LZW", 3, None)],
-    "image": [("DEFLATE", 2, None), ("LZW", 2, None), ("PACKBITS", 1, None)],
-    "thematic": [("DEFLATE", 1, None), ("LZW", 1, None), ("PACKBITS", 1, None)],
+    "dem": [("DEFLATE", 2, 2), ("DEFLATE", 3, 2), ("LZW", 2, 2), ("LZW", 3, None), ("ZSTD", 2, 2), ("ZSTD", 3, None)],
+    "error": [("DEFLATE", 2, 1), ("LZW", 2, 1), ("ZSTD", 2, 1)],
+    "scientific": [("DEFLATE", 3, None), ("DEFLATE", 1, 8), ("LZW", 3, None), ("ZSTD", 3, None)],
+    "image": [("DEFLATE", 2, None), ("LZW", 2, None), ("ZSTD", 2, None), ("PACKBITS", 1, None)],
+    "thematic": [("DEFLATE", 1, None), ("LZW", 1, None), ("ZSTD", 1, None), ("PACKBITS", 1, None)],
 }
 PRESETS["gpm"] = PRESETS["error"]
 

@@ -1,7 +1,7 @@
 """TIFF files: codecs, image directories, pages and a writer; plain Python and NumPy for use inside tasks.
 
-Classic and big files in either byte order; stored, PackBits, LZW and deflate strips and tiles;
-horizontal and floating-point predictors.
+Classic and big files in either byte order; stored, PackBits, LZW, deflate and zstandard strips
+and tiles; horizontal and floating-point predictors.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import zstandard
 
 # Fixed values of the format.
-NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 8, 32946, 32773, 50000
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -157,6 +158,14 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)
 
 
+def zstd_decode(data: bytes, size: int) -> bytes:
+    """At most size bytes, whatever size the frame claims."""
+    try:
+        return zstandard.ZstdDecompressor().stream_reader(data).read(size)
+    except zstandard.ZstdError as e:
+        raise ValueError(f"zstandard: {e}") from e
+
+
 def decode_segment(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         plain = data
@@ -166,6 +175,8 @@ def decode_segment(data: bytes, compression: int, size: int) -> bytes:
         plain = zlib.decompressobj().decompress(data, max(1, size))
     elif compression == PACKBITS:
         plain = packbits_decode(data, size)
+    elif compression == ZSTD:
+        plain = zstd_decode(data, size)
     else:
         raise ValueError(f"compression {compression} isn't supported")
     if len(plain) < size:
@@ -315,6 +326,9 @@ def read_pages(data: bytes) -> Iterator[Page]:
 # --- writer -----------------------------------------------------------------------------
 
 
+LEVELS = {DEFLATE: 6, OLD_DEFLATE: 6, ZSTD: 9}  # where none is asked for
+
+
 @dataclass
 class Layout:
     compression: int = DEFLATE
@@ -322,6 +336,7 @@ class Layout:
     tile: tuple[int, int] | None = None  # width, height; else strips
     strip_rows: int = 256
     order: str = "<"
+    level: int | None = None  # of deflate and zstandard; None: LEVELS
     extra: dict[int, tuple[str, tuple]] = field(default_factory=dict)  # tag -> (kind, values), kinds as in struct: H, I, d, s
 
 
@@ -330,8 +345,12 @@ def encode_segment(block: np.ndarray, layout: Layout) -> bytes:
     stored = stored.astype(stored.dtype.newbyteorder(layout.order))
     if layout.compression == PACKBITS:
         return packbits_encode(np.frombuffer(stored.tobytes(), np.uint8).reshape(len(stored), -1))
-    plain = stored.tobytes()
-    return {NONE: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, OLD_DEFLATE: zlib.compress}[layout.compression](plain)
+    plain, level = stored.tobytes(), LEVELS.get(layout.compression) if layout.level is None else layout.level
+    if layout.compression in (DEFLATE, OLD_DEFLATE):
+        return zlib.compress(plain, level)
+    if layout.compression == ZSTD:
+        return zstandard.ZstdCompressor(level=level).compress(plain)
+    return {NONE: bytes, LZW: lzw_encode}[layout.compression](plain)
 
 
 def write_tiff(pages: list[tuple[np.ndarray, Layout]]) -> bytes:

@@ -40,6 +40,8 @@ def test_optimize_and_compare(spark, folder, tmp_path):  # noqa: F811
     assert P.layout_errors(tiff.files(spark, f"{tmp_path}/out")).where(F.col("error").contains("wider")).count() == 0
     with pytest.raises(ValueError):
         P.optimize(spark, str(one), out, "dem", P.Options(algorithm="JXL"))
+    assert P.Options("ZSTD", level=30).problems("dem") == ["ZSTD has no level 30"] and not P.Options("ZSTD", level=22).problems("dem")
+    assert P.Options("LZW", level=6).problems("dem") == ["LZW has no level 6"]
 
 
 def test_trials_and_grid(spark, tmp_path):

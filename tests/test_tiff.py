@@ -70,3 +70,25 @@ def test_histogram_against_numpy(spark, folder):
     bins = min(100, int(np.ceil((good.max() - good.min()) / (2 * (q3 - q1) * len(good) ** (-1 / 3)))))
     counts, _ = np.histogram(good, np.linspace(good.min(), good.max(), bins + 1))
     assert [r["count"] for r in rows] == counts.tolist()
+
+
+@pytest.mark.parametrize("codec", [T.NONE, T.LZW, T.DEFLATE, T.PACKBITS, T.ZSTD])
+@pytest.mark.parametrize("dtype, predictors", [("u1", (1, 2)), ("i2", (1, 2)), ("f4", (1, 3)), ("f8", (1, 3))])
+def test_codecs_round_trip(codec, dtype, predictors):
+    image = np.cumsum(RNG.integers(-3, 4, (37, 29, 2)), axis=1).astype(dtype)
+    for predictor in predictors:
+        for tile in (None, (16, 32)):
+            page = next(T.read_pages(T.write_tiff([(image, T.Layout(codec, predictor, tile, 10))])))
+            assert page.error is None and page.compression == codec and page.pixels == image.astype(f"<{dtype}").tobytes()
+
+
+def test_zstandard_levels_and_damage():
+    image = np.add.outer(np.arange(256), np.arange(256)).astype(np.int32)
+    files = {level: T.write_tiff([(image, T.Layout(T.ZSTD, 2, level=level))]) for level in (None, 1, 9, 19)}
+    assert files[None] == files[9] and len(set(map(len, files.values()))) > 1  # levels matter, if not always in their order
+    assert {next(T.read_pages(f)).pixels for f in files.values()} == {image.astype("<i4").tobytes()}
+    with pytest.raises(ValueError):
+        T.decode_segment(b"no frame at all", T.ZSTD, 10)
+    with pytest.raises(ValueError):
+        T.decode_segment(T.encode_segment(image[:4, :4, None], T.Layout(T.ZSTD)), T.ZSTD, 65)
+    assert len(T.decode_segment(T.encode_segment(image[:, :, None], T.Layout(T.ZSTD)), T.ZSTD, 7)) == 7
