@@ -55,12 +55,6 @@ def jpeg_tables(raw: Column) -> Column:
     return F.concat(F.when(named == "", F.lit("no tables")).otherwise(named), F.lit(" ("), F.octet_length(raw), F.lit(" bytes)"))
 
 
-def exposure(numerator: Column, denominator: Column) -> Column:
-    """An EXIF exposure time: a fraction of a second below one, else seconds."""
-    value = F.try_divide(numerator.cast("double"), denominator)
-    return F.when(value.isNull(), "unknown").when((value > 0) & (value < 1), F.concat(F.lit("1/"), F.rint(1 / value).cast("long"), F.lit(" s"))).otherwise(F.concat(F.rint(value * 10).cast("long") / 10, F.lit(" s")))
-
-
 def wrap_marks(s: Column, every: str = "/") -> Column:
     """Zero-width spaces after a sign, so long texts can wrap."""
     return F.replace(s, F.lit(every), F.lit(every + "​"))

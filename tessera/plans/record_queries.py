@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import crs as C, numbers as N, records as R
+from ..functions import crs as C, exif, numbers as N, records as R
 from ..operators import stats as S
 from ..sources import views as V
 
@@ -20,14 +20,32 @@ def ifd_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = F.when(F.col("compression") == 5, "LZW").when(F.col("compression") == 8, "Deflate").when(F.col("compression") == 50000, "Zstandard").otherwise("other")
     block = F.concat_ws(" x ", F.coalesce("tile_w", "width"), F.coalesce("tile_h", "rows_per_strip"))
     product = F.get(F.array(*[F.lit(x) for x in ("dem", "image", "error")]), (F.col("ifd") % 3).cast("int"))
-    return f.select("ifd", R.predictor_label(F.col("predictor"), codec).alias("predictor"), R.is_tiled(block).alias("tiled"), R.layout_status(F.col("subfile").bitwiseAND(1), F.col("subfile")).alias("status"), R.area_or_point(F.when(F.col("bands") == 1, F.lit("Area")), product).alias("pixel_is"), R.exposure(F.col("width"), F.col("height") * 3).alias("exposure"), R.vertical_differs(F.when(F.col("bands") > 1, F.lit("EGM2008 height")), F.when(F.col("ifd") % 2 == 0, F.lit("egm2008")).otherwise("NAVD88")).alias("differs"))
+    return f.select("ifd", R.predictor_label(F.col("predictor"), codec).alias("predictor"), R.is_tiled(block).alias("tiled"), R.layout_status(F.col("subfile").bitwiseAND(1), F.col("subfile")).alias("status"), R.area_or_point(F.when(F.col("bands") == 1, F.lit("Area")), product).alias("pixel_is"), exif.shown(F.lit(exif.EXPOSURE_TIME), F.array(F.col("width").cast("double")), F.array((F.col("height") * 3).cast("double")), F.lit(None).cast("string")).alias("exposure"), R.vertical_differs(F.when(F.col("bands") > 1, F.lit("EGM2008 height")), F.when(F.col("ifd") % 2 == 0, F.lit("egm2008")).otherwise("NAVD88")).alias("differs"))
 
 
-_LABELS_SQL = f"""WITH {V.IFDS_SQL}, x AS (SELECT *, CASE WHEN compression IN (5, 8, 50000) THEN true ELSE false END AS uses, coalesce(tile_w, width) AS bw, coalesce(tile_h, rows_per_strip) AS bh, width::DOUBLE / (height * 3) AS e FROM ifds)
+_LABELS_SQL = f"""WITH {V.IFDS_SQL}, x AS (SELECT *, CASE WHEN compression IN (5, 8, 50000) THEN true ELSE false END AS uses, coalesce(tile_w, width) AS bw, coalesce(tile_h, rows_per_strip) AS bh FROM ifds)
 SELECT ifd, CASE WHEN NOT uses THEN 'n/a' WHEN predictor = 1 THEN 'None' WHEN predictor = 2 THEN 'Horizontal differencing' WHEN predictor = 3 THEN 'Floating point' ELSE 'Unknown (' || predictor || ')' END AS predictor,
 coalesce(bh > 1 AND bw % 16 = 0, false) AS tiled, CASE WHEN subfile & 1 > 0 THEN 'invalid: ' || (subfile & 1) || ' errors' WHEN subfile > 0 THEN 'valid with ' || subfile || ' warnings' ELSE 'valid' END AS status,
 CASE WHEN bands = 1 THEN 'Area' WHEN ifd % 3 IN (0, 2) THEN 'Point' ELSE 'Area' END AS pixel_is,
-CASE WHEN e > 0 AND e < 1 THEN '1/' || CAST(round_even(1 / e, 0) AS BIGINT) || ' s' ELSE (CAST(round_even(e * 10, 0) AS BIGINT) / 10) || ' s' END AS exposure, bands > 1 AND ifd % 2 <> 0 AS differs FROM x"""
+width || '/' || (height * 3) AS exposure, bands > 1 AND ifd % 2 <> 0 AS differs FROM x"""
+
+
+def exif_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as camera tags: a rational or a number each, by the tag that the key chooses."""
+    c = F.col
+    codes = [exif.EXPOSURE_TIME, exif.F_NUMBER, exif.FOCAL_LENGTH, exif.SHUTTER, 41486, exif.PROGRAM, exif.METERING, exif.FLASH]
+    code = F.get(F.array(*map(F.lit, codes)), (c("p_partkey") % 8).cast("int"))
+    below = F.when(c("p_partkey") % 8 < 5, F.array(F.floor(c("p_partkey") / 8) % 9).cast("array<double>"))
+    number = F.when(c("p_partkey") % 3 == 0, 1).otherwise(c("p_size") % 12)
+    return V.table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), exif.shown(code, F.array(number.cast("double")), below, F.lit(None).cast("string")).alias("shown"))
+
+
+_EXIF_SQL = """WITH t AS (SELECT p_partkey, [33434, 33437, 37386, 37377, 41486, 34850, 37383, 37385][p_partkey % 8 + 1] AS code, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE p_size % 12 END AS n, p_partkey // 8 % 9 AS d FROM part),
+v AS (SELECT *, CASE WHEN d <> 0 THEN n / d END AS x FROM t)
+SELECT p_partkey, code, CASE code WHEN 33434 THEN n || '/' || d WHEN 33437 THEN 'f/' || printf('%.1f', x) WHEN 37386 THEN printf('%.1f', x) || 'mm' WHEN 37377 THEN printf('%.2f', x) WHEN 41486 THEN printf('%.3f', x)
+WHEN 34850 THEN n || ' (' || coalesce(['Not defined', 'Manual', 'Normal program', 'Aperture priority', 'Shutter priority', 'Creative program', 'Action program', 'Portrait mode', 'Landscape mode'][n + 1], 'Unknown') || ')'
+WHEN 37383 THEN n || ' (' || coalesce(['Unknown', 'Average', 'Center-weighted average', 'Spot', 'Multi-spot', 'Pattern', 'Partial'][n + 1], 'Unknown') || ')'
+ELSE n || CASE WHEN n & 1 = 1 THEN ' (Flash fired)' ELSE ' (Flash did not fire)' END END AS shown FROM v"""
 
 
 def rgba_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +124,7 @@ QUERIES = {
 CASE WHEN c_custkey % 11 = 0 THEN 0.0::DOUBLE WHEN c_custkey % 7 <> 0 THEN -9999.0::DOUBLE WHEN c_custkey % 2 = 0 THEN -32767.0::DOUBLE END AS nodata FROM customer"""),
     "p31_affine_helpers": (affine_helpers, "SELECT c_custkey, c_custkey % 6 = 0 AS north_up, CASE WHEN c_custkey % 3 = 0 THEN 3.0::DOUBLE ELSE 5 END AS res_x, CASE WHEN c_custkey % 2 = 0 THEN 3.0::DOUBLE ELSE 5 END AS res_y FROM customer"),
     "p14_ifd_labels": (ifd_labels, _LABELS_SQL),
+    "x26_exif_values": (exif_values, _EXIF_SQL),
     "p06_rgba_split": (rgba_split, f"WITH {V.TILE_PIXELS_SQL} SELECT tx, row, col, round(max(value) FILTER (band = 1), 6) AS r, round(max(value) FILTER (band = 2), 6) AS g, round(max(value) FILTER (band = 3), 6) AS b, CASE WHEN max(value) FILTER (band = 4) > 0 THEN 255 ELSE 0 END AS mask FROM tp GROUP BY ALL"),
     "j06_band_names": (band_names, f"WITH {V.PIXELS_SQL}, s AS (SELECT band, min(value) AS lo, max(value) AS hi FROM px WHERE NOT (is_nodata OR is_masked OR is_alpha0) GROUP BY band) SELECT band, CASE band WHEN 1 THEN 'quantity' WHEN 2 THEN 'price' WHEN 3 THEN 'discount' ELSE 'Band 4' END AS description, CAST(trunc(lo) AS INT) || ' to ' || CAST(trunc(hi) AS INT) AS range FROM s"),
     "j07_overview_levels": (overview_levels_joined, "WITH o AS (SELECT DISTINCT o_custkey AS file_id, o_orderkey % 6 AS ifd FROM orders) SELECT a.file_id, a.ifd, b.ifd AS level FROM o a JOIN o b ON a.file_id = b.file_id AND a.ifd = b.ifd + 1 WHERE b.ifd < 4"),

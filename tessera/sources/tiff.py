@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import tiff_format as T
 
 MODEL_SCALE, TIEPOINTS, GEO_DIRECTORY, GEO_DOUBLES, GEO_ASCII, NODATA = 33550, 33922, 34735, 34736, 34737, 42113
+XMP, EXIF, GPS = 700, 34665, 34853
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.{tif,tiff,TIF,TIFF}") -> DataFrame:
@@ -63,22 +64,50 @@ def ifds(df: DataFrame) -> DataFrame:
     return _table(df, "ifd int, subfile long, width long, height long, bits int, samples int, sample_format int, compression int, photometric int, predictor int, tile_w long, tile_h long, rows_per_strip long, ifd_offset long, bytecount long, error string", rows)
 
 
+def _shown(code: int, values: tuple) -> str:
+    if code == XMP and values and isinstance(values[0], int):
+        values = (bytes(v & 255 for v in values),)
+    if values and isinstance(values[0], bytes):
+        raw = b"".join(values).rstrip(b"\0")
+        undefined = len(values) == 1 and code not in (XMP, NODATA) and not raw.decode("latin-1").isprintable()
+        return f"{len(raw)} bytes" if undefined else raw.decode("utf-8", "replace")
+    return ", ".join(f"{v[0]}/{v[1]}" if isinstance(v, tuple) else str(v) for v in values)
+
+
 def tags(df: DataFrame) -> DataFrame:
-    """A tag a row; values as text, long arrays whole."""
+    """A tag a row; values as text, long arrays whole, rationals as numerator/denominator, other bytes by their number."""
 
     def rows(data: bytes) -> Iterator[tuple]:
         for i, t, _ in _walk(data):
             for code, values in sorted((t or {}).items()):
                 if code <= 0:
                     continue
-                if values and isinstance(values[0], bytes):
-                    yield i, code, 1, b"".join(values).rstrip(b"\0").decode("utf-8", "replace")
-                else:
-                    yield i, code, len(values), ", ".join(map(str, values))
+                text = _shown(code, values)
+                yield i, code, 1 if values and isinstance(values[0], bytes) or code == XMP else len(values), text
 
     return _table(df, "ifd int, code int, n int, value string", rows)
 
 
+def exif(df: DataFrame) -> DataFrame:
+    """A tag a row of the camera (EXIF) and place (GPS) sub-directories: numbers, denominators of rationals, text.
+
+    functions.exif.shown formats them.  A damaged sub-directory has no rows.
+    """
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for i, t, _ in _walk(data):
+            for part in (EXIF, GPS):
+                for code, values in sorted(T.sub_directory(data, t or {}, part).items()):
+                    if code <= 0 or not values:
+                        continue
+                    pairs = isinstance(values[0], tuple)
+                    text = b"".join(values).rstrip(b"\0").decode("utf-8", "replace") if isinstance(values[0], bytes) else None
+                    numbers = None if text is not None else [float(v[0] if pairs else v) for v in values]
+                    yield i, part, code, numbers, [float(v[1]) for v in values] if pairs else None, text
+
+    return _table(df, "ifd int, part int, code int, numbers array<double>, denominators array<double>, text string", rows)
+
+
 def geo(df: DataFrame) -> DataFrame:
     """S07's input and the georeference (P15, P19): key directory, doubles and text of each directory, affine transform and nodata."""
 

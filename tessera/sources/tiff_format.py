@@ -19,6 +19,7 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 8, 32946, 32773, 50000
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+UNDEFINED, RATIONALS = 7, {5: "I", 10: "i"}  # bytes of any content; numerator and denominator
 CLEAR, END, FIRST = 256, 257, 258
 
 
@@ -234,43 +235,70 @@ class Page:
     error: str | None = None
 
 
-def directories(data: bytes) -> Iterator[dict[int, tuple]]:
-    """Tags of each image directory in the order of the chain; a chain that turns back ends.
-
-    Besides the tags, 0 has the byte order and -1 the directory's offset.
-    """
+def _frame(data: bytes) -> tuple[str, bool]:
+    """Byte order, and whether the file is a big one."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     version = struct.unpack_from(f"{order}H", data, 2)[0] if order and len(data) >= 8 else 0
     if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    big = version == 43
+    return order, version == 43
+
+
+def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tuple], int]:
+    """Tags of the directory at an offset, and where its link to the next one is."""
     count_at, entry_at, offset = ("Q", "HHQ8s", "Q") if big else ("H", "HHI4s", "I")
+    start = at
+    count = struct.unpack_from(order + count_at, data, at)[0]
+    at += struct.calcsize("<" + count_at)
+    size = struct.calcsize("<" + entry_at)
+    if at + count * size > len(data):
+        raise ValueError("an image directory is cut off")
+    tags: dict[int, tuple] = {0: (order,)}
+    for tag, kind, n, inline in struct.iter_unpack(order + entry_at, data[at : at + count * size]):
+        form = f"{n}s" if kind == UNDEFINED else f"{2 * n}{RATIONALS[kind]}" if kind in RATIONALS else f"{n}{TYPES[kind]}" if kind in TYPES else None
+        if form is None:
+            continue
+        length = struct.calcsize("<" + form)
+        if length <= len(inline):
+            raw = inline[:length]
+        else:
+            where = struct.unpack(order + offset, inline)[0]
+            raw = data[where : where + length]
+        if len(raw) < length:
+            if kind not in TYPES:  # no such tag is needed to read pixels
+                continue
+            raise ValueError(f"tag {tag} is cut off")
+        values = struct.unpack(order + form, raw)
+        tags[tag] = tuple(zip(values[::2], values[1::2], strict=True)) if kind in RATIONALS else values
+    tags[-1] = (start,)
+    return tags, at + count * size
+
+
+def directories(data: bytes) -> Iterator[dict[int, tuple]]:
+    """Tags of each image directory in the order of the chain; a chain that turns back ends.
+
+    Besides the tags, 0 has the byte order and -1 the directory's offset.  A rational is a pair,
+    undefined content one value of bytes.
+    """
+    order, big = _frame(data)
+    offset = "Q" if big else "I"
     at = struct.unpack_from(order + offset, data, 8 if big else 4)[0]
     seen: set[int] = set()
     while at and at not in seen:
         seen.add(at)
-        start = at
-        count = struct.unpack_from(order + count_at, data, at)[0]
-        at += struct.calcsize("<" + count_at)
-        size = struct.calcsize("<" + entry_at)
-        if at + count * size > len(data):
-            raise ValueError("an image directory is cut off")
-        tags: dict[int, tuple] = {0: (order,)}
-        for tag, kind, n, inline in struct.iter_unpack(order + entry_at, data[at : at + count * size]):
-            if kind not in TYPES:
-                continue
-            length = n * struct.calcsize("<" + TYPES[kind])
-            if length <= len(inline):
-                raw = inline[:length]
-            else:
-                where = struct.unpack(order + offset, inline)[0]
-                raw = data[where : where + length]
-            if len(raw) < length:
-                raise ValueError(f"tag {tag} is cut off")
-            tags[tag] = struct.unpack(f"{order}{n}{TYPES[kind]}", raw)
-        tags[-1] = (start,)
+        tags, link = _directory(data, at, order, big)
         yield tags
-        at = struct.unpack_from(order + offset, data, at + count * size)[0]
+        at = struct.unpack_from(order + offset, data, link)[0]
+
+
+def sub_directory(data: bytes, tags: dict[int, tuple], tag: int) -> dict[int, tuple]:
+    """Tags of the directory that a tag points to; none if there is no such tag or the directory is damaged."""
+    if tag not in tags or not isinstance(tags[tag][0], int):
+        return {}
+    try:
+        return _directory(data, tags[tag][0], *_frame(data))[0]
+    except (ValueError, struct.error):
+        return {}
 
 
 def read_page(data: bytes, tags: dict[int, tuple], index: int) -> Page:

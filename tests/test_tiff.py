@@ -1,7 +1,10 @@
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import exif
 from tessera.operators import lookup, stats
 from tessera.sources import tiff, tiff_format as T
 
@@ -92,3 +95,51 @@ def test_zstandard_levels_and_damage():
     with pytest.raises(ValueError):
         T.decode_segment(T.encode_segment(image[:4, :4, None], T.Layout(T.ZSTD)), T.ZSTD, 65)
     assert len(T.decode_segment(T.encode_segment(image[:, :, None], T.Layout(T.ZSTD)), T.ZSTD, 7)) == 7
+
+
+def with_sub_directory(entries, order="<"):
+    """A small file whose tag 34665 points to a directory of entries (code, kind, n, packed)."""
+    image = np.zeros((2, 2), np.uint8)
+    make = lambda at: T.write_tiff([(image, T.Layout(T.NONE, order=order, extra={34665: ("I", (at,))}))])
+    at = len(make(0))
+    table, heap = struct.pack(f"{order}H", len(entries)), b""
+    end = at + 2 + 12 * len(entries) + 4
+    for code, kind, n, packed in entries:
+        inline = packed.ljust(4, b"\0") if len(packed) <= 4 else struct.pack(f"{order}I", end + len(heap))
+        heap += packed if len(packed) > 4 else b""
+        table += struct.pack(f"{order}HHI", code, kind, n) + inline
+    return make(at) + table + b"\0\0\0\0" + heap
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_camera_tags(spark, order):
+    pairs = lambda *v: struct.pack(f"{order}{len(v)}I", *v)
+    signed = lambda *v: struct.pack(f"{order}{len(v)}i", *v)
+    short = lambda v: struct.pack(f"{order}H", v)
+    entries = [
+        (33434, 5, 1, pairs(1, 125)), (33437, 5, 1, pairs(28, 10)), (34850, 3, 1, short(3)), (36864, 7, 4, b"0230"), (36867, 2, 20, b"2024:05:06 07:08:09\0"),
+        (37377, 10, 1, signed(-1, 3)), (37380, 10, 1, signed(1, 0)), (37383, 3, 1, short(9)), (37385, 3, 1, short(17)), (37386, 5, 1, pairs(50, 1)), (37396, 3, 3, struct.pack(f"{order}3H", 5, 6, 7)),
+        (41486, 5, 1, pairs(2, 3)), (42034, 5, 4, pairs(24, 1, 70, 1, 28, 10, 0, 0)), (42240, 5, 2, pairs(1, 2, 1, 3)),
+    ]
+    bad = with_sub_directory(entries, order)[:-200]
+    files = spark.createDataFrame([("a", with_sub_directory(entries, order)), ("none", T.write_tiff([(np.zeros((1, 1), np.uint8), T.Layout())])), ("bad", bad)], "path string, content binary")
+    rows = tiff.exif(files).select("path", "part", "code", exif.shown(F.col("code"), F.col("numbers"), F.col("denominators"), F.col("text")).alias("shown")).collect()
+    assert {r.path for r in rows} <= {"a", "bad"} and {r.part for r in rows} == {34665}
+    assert {r.code: r.shown for r in rows if r.path == "a"} == {
+        33434: "1/125", 33437: "f/2.8", 34850: "3 (Aperture priority)", 36864: "0230", 36867: "2024:05:06 07:08:09", 37377: "-0.33", 37380: None, 37383: "9 (Unknown)",
+        37385: "17 (Flash fired)", 37386: "50.0mm", 37396: "5, 6, 7", 41486: "0.667", 42034: "24.0-70.0mm f/2.8-0.0", 42240: "0.500, 0.333",
+    }
+
+
+def test_tags_of_rationals_bytes_and_xmp(spark):
+    extra = {700: ("B", tuple(b"<x:xmpmeta/>"))}
+    data = bytearray(T.write_tiff([(np.zeros((1, 1), np.uint8), T.Layout(T.NONE, extra={282: ("d", (1.5,))}))]))
+    at = data.index(struct.pack("<HHI", 282, 12, 1))
+    data[at : at + 4] = struct.pack("<HH", 282, 5)  # the same eight bytes as a rational
+    a, b = struct.unpack("<II", struct.pack("<d", 1.5))
+    xmp = bytearray(T.write_tiff([(np.zeros((1, 1), np.uint8), T.Layout(T.NONE, extra={700: ("s", extra[700][1]), 34675: ("s", tuple(b"\0\1\2\3\4\xff"))}))]))
+    for code, kind in ((700, 1), (34675, 7)):
+        at = xmp.index(struct.pack("<HH", code, 2))
+        xmp[at : at + 4] = struct.pack("<HH", code, kind)
+    got = {(r.path, r.code): r.value for r in tiff.tags(spark.createDataFrame([("a", bytes(data)), ("b", bytes(xmp))], "path string, content binary")).collect()}
+    assert got["a", 282] == f"{a}/{b}" and got["b", 700] == "<x:xmpmeta/>" and got["b", 34675] == "6 bytes"
