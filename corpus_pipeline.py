@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import decontaminate, deobfuscate, mixing, queries, simhash, token_shards
+from tessera.llm import decontaminate, deobfuscate, mixing, queries, shingles, token_shards
 from tessera.llm.shared import new_path, written
 
 #: Token shares of the mix; as many tokens as leave the clean domain what it has.
@@ -23,15 +23,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of every group of linked fingerprints; documents without an id stay."""
-    ids = simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
-    ids = written(ids.agg(F.bool_or(F.expr("doc_id = component_id")).alias("stays"), F.count("*").alias("n")), "ids")
-    # Merged at every size: the ids that go grow with the corpus, so a broadcast of few would not last.
-    kept = docs.join(ids.where("not stays").select("doc_id").hint("merge"), "doc_id", "left_anti")
-    shared = ids.where("stays and n > 1").select("doc_id")
-    if not shared.isEmpty():  # rows that share an id: one of them stays
-        kept = kept.join(shared, "doc_id", "left_anti").unionByName(kept.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    """Keeps the text with the smallest doc_id of every group linked at five-word similarity 0.8; documents without an id stay."""
+    keep = written(shingles.kept_texts(docs), "keep")
+    # Merged at every size: the texts that stay grow with the corpus, so a broadcast of few would not last.
+    known = docs.where("doc_id is not null").withColumn("text_hash", shingles.text_hash(F.col("text")))
+    kept = known.join(keep.hint("merge"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
