@@ -37,12 +37,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document by its whole copies: about once if it is clean, less if it is of low quality."""
+    """Repeats each document by its copies: once at least if it is clean, so often that the mix is met in expectation if not."""
     labels = queries.labels(spark, sf_dir).where("doc_id is not null and quality is not null")
     chosen = labels.groupBy("doc_id").agg(F.max(F.expr("case when quality = 0 then 'low' else 'clean' end")).alias("domain"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(queries.LABELLED_ROWS)
     model = mixing.fit_domains(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
-    mixed = mixing.mixed(docs, model, MIX, total_of="clean", carry=docs.columns)
+    mixed = mixing.mixed(docs, model, MIX, total_of="clean", carry=docs.columns, whole="clean")
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")
     return mixed.where("copies > 0").select(*docs.columns, copies).select(*docs.columns)
 

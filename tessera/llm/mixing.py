@@ -138,8 +138,11 @@ class Mix:
     steps: int
 
 
-def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], most_steps: int = 25, tolerance: float = 1e-4) -> Mix:
-    """Projected gradient over table (n_tokens, posterior): totals of targets as tokens; domains without a target keep theirs."""
+def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], most_steps: int = 25, tolerance: float = 1e-4, least: Column | None = None) -> Mix:
+    """Projected gradient over table (n_tokens, posterior): totals of targets as tokens; domains without a target keep theirs.
+
+    least: lower bound of a row's rate, at most 1; zero by default.
+    """
     d = range(len(domains))
     p = [F.col("posterior")[i] for i in d]
     n = F.col("n_tokens").cast("double")
@@ -155,35 +158,37 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], m
             break
         step = [sum(inverse[i][j] * error[j] for j in d) for i in d]
         move = sum((F.lit(step[i]) * p[i] for i in d), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = F.greatest(F.lit(0.0) if least is None else least, rate - move)
         sums = table.agg(*[F.sum(rate * n * p[i]).alias(f"t{i}") for i in d]).first()
         totals = [sums[f"t{i}"] or 0.0 for i in d]
     return Mix(table, rate, domains, goal, totals, steps)
 
 
-def copies_of(rate: Column, key: Column, band: float = 0.2) -> Column:
-    """Whole copies for a rate: within band of a whole number that number, else its floor or the next by a hash of the key."""
+def copies_of(rate: Column, key: Column) -> Column:
+    """Whole copies with the rate as expectation: its floor, or the next by a hash of the key."""
     base = F.floor(rate)
-    rest = rate - base
     drawn = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) / 1_000_000
-    return (base + F.when(rest <= band, 0).when(rest >= 1 - band, 1).when(drawn < rest, 1).otherwise(0)).cast("int")
+    return (base + F.when(drawn < rate - base, 1).otherwise(0)).cast("int")
 
 
 def memberships(df: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text", temper: float = 2.0, carry: list[str] | None = None) -> DataFrame:
-    """A written table (carry..., n_tokens, posterior): words of every whole text and its domain posteriors."""
+    """A written table (carry..., drawn_by, n_tokens, posterior): hash of key and text, words of every whole text, its domain posteriors."""
     carry = [key] if carry is None else carry
-    if clash := {"n_tokens", "posterior", "rate", "copies"} & set(carry):
+    if clash := {"n_tokens", "posterior", "rate", "copies", "drawn_by"} & set(carry):
         raise ValueError(f"df already has the columns {sorted(clash)}")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    hashed = df.select(*carry, hashes(whole).alias("posterior"))  # hashes until the next line
+    hashed = df.select(*carry, F.xxhash64(F.col(key), whole).alias("drawn_by"), hashes(whole).alias("posterior"))  # hashes until the next line
     logits = F.array(*model.logits(F.col("posterior"), temper)) if model.domains else F.array().cast("array<double>")
-    table = hashed.select(*carry, (F.size("posterior") - 3 * REPEAT).cast("long").alias("n_tokens"), logits.alias("posterior"))
-    return written(table.select(*carry, "n_tokens", softmax(F.col("posterior")).alias("posterior")), "memberships")
+    table = hashed.select(*carry, "drawn_by", (F.size("posterior") - 3 * REPEAT).cast("long").alias("n_tokens"), logits.alias("posterior"))
+    return written(table.select(*carry, "drawn_by", "n_tokens", softmax(F.col("posterior")).alias("posterior")), "memberships")
 
 
-def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, total_of: str | None = None, carry: list[str] | None = None) -> DataFrame:
+def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, total_of: str | None = None, carry: list[str] | None = None, whole: str | None = None) -> DataFrame:
     """(carry..., n_tokens, posterior, rate, copies) for every row of df.
 
+    Copies have the rate as expectation.  whole: a domain whose rows, those that belong to it
+    more than to all others, have a rate of 1 at least.
+
     weights: share of each domain of the model; domains without one get none.  The mix has
     total tokens; by default as many as df, or as many as leave the domain total_of the
     tokens it has.  Null and empty texts have no tokens, the posterior of their empty
@@ -198,8 +203,9 @@ def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str
         share = {name: weights.get(name, 0.0) / max(1e-12, sum(weights.values())) for name in names}
         if total is None:
             total = have[total_of] / share[total_of] if total_of in have and share[total_of] > 0 else sum(have.values())
-        fitted = fit_rates(table, names, {name: share[name] * total for name in names})
+        least = F.when(F.col("posterior")[names.index(whole)] > 0.5, 1.0).otherwise(0.0) if whole in names else None
+        fitted = fit_rates(table, names, {name: share[name] * total for name in names}, least=least)
         rate = fitted.rate
     else:
         rate = F.lit(1.0)  # nothing is labelled: every document stays as it is
-    return table.withColumn("rate", rate.cast("double")).withColumn("copies", copies_of(F.col("rate"), F.col(key)))
+    return table.withColumn("rate", rate.cast("double")).withColumn("copies", copies_of(F.col("rate"), F.col("drawn_by"))).drop("drawn_by")

@@ -72,3 +72,33 @@ def test_copies_follow_rates(spark):
     assert got[0] == pytest.approx(1.5, abs=0.02) and (got[1], got[2]) == (1, 2)
     near = [(0.95, 1), (1.1, 1), (0.0, 0), (2.0, 2), (0.15, 0), (1.85, 2)]
     assert [r.c for r in spark.createDataFrame(near, "r double, want int").select(M.copies_of(F.col("r"), F.lit(3)).alias("c"), "want").collect()] == [w for _, w in near]
+
+
+def test_copies_meet_targets(spark):
+    """Hard and soft memberships, with rates that are near whole numbers; null keys are drawn apart."""
+    rng = np.random.default_rng(6)
+    text = {"a": "alpha beta gamma", "b": "delta epsilon zeta", "c": "eta theta iota"}
+    rows = [(None if i % 3 else i, " ".join(rng.choice(text[d].split(), rng.integers(20, 60)))) for d, n in (("a", 3000), ("b", 1000), ("c", 1000)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = M.fit_domains(spark.createDataFrame([(t, d) for d, t in text.items() for _ in range(100)], "text string, domain string"))
+    have = {d: sum(len(t.split()) for _, t in rows if t.split()[0] in text[d].split()) for d in text}
+    for rates in ({"a": 1.11, "b": 0.9, "c": 0.1}, {"a": 1.18, "b": 1.9, "c": 0.17}):
+        goal = {d: r * have[d] for d, r in rates.items()}
+        got = M.mixed(docs, model, goal, total=sum(goal.values())).collect()
+        for i, d in enumerate(model.domains):
+            assert sum(r.copies * r.n_tokens * r.posterior[i] for r in got) == pytest.approx(goal[d], rel=0.02 if rates[d] > 0.5 else 0.25)
+            assert sum(r.rate * r.n_tokens * r.posterior[i] for r in got) == pytest.approx(goal[d], rel=0.01)
+
+
+def test_whole_domain_and_small_share(spark):
+    """Clean rows all stay, and the low ones meet their small share though they are many."""
+    rows = [(i, [0.97, 0.03] if i % 7 else [0.6, 0.4], 100) if i < 2000 else (i, [0.02, 0.98], 100) for i in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, posterior array<double>, n_tokens long")
+    clean = sum(p[0] * n for _, p, n in rows)
+    low = 0.15 * clean
+    least = F.when(F.col("posterior")[0] > 0.5, 1.0).otherwise(0.0)
+    mix = M.fit_rates(table, ["clean", "low"], {"clean": clean, "low": low}, least=least)
+    got = table.withColumn("rate", mix.rate).withColumn("copies", M.copies_of(F.col("rate"), F.col("doc_id"))).collect()
+    assert all(r.copies >= 1 for r in got if r.posterior[0] > 0.5)
+    assert sum(r.copies * r.n_tokens * r.posterior[0] for r in got) == pytest.approx(clean, rel=0.02)
+    assert sum(r.copies * r.n_tokens * r.posterior[1] for r in got) == pytest.approx(low, rel=0.1)
