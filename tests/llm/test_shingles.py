@@ -1,8 +1,6 @@
 import itertools
 
 import numpy as np
-import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tessera.llm import shingles as S
@@ -66,3 +64,11 @@ def test_long_and_empty_sets():
     long = S.shingle_set(" ".join(map(str, range(10_000))))
     assert len(long) == 9_996 and len(S.band_keys(long)) == S.BANDS and not len(S.band_keys(S.shingle_set(" ")))
     assert S.alike(long, long, 0.8) and (S.band_keys(long) == S.band_keys(S.shingle_set(" ".join(map(str, range(10_000)))))).all()
+
+
+def test_unlinked_texts_under_one_id_stay(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, two + " more"), (None, two), (None, two)]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], SCHEMA)
+    got = P.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (5, two), (0, two), (0, two)])
