@@ -247,12 +247,17 @@ def optimize(spark: SparkSession, path: str, folder: str, product: str = "dem",
     return stored(optimized(rows, chosen), folder)
 
 
+MOST_TRIALS = 10_000  # rows of a parameter grid; a longer one is refused, never cut
+
+
 def read_grid(spark: SparkSession, path: str) -> list[dict]:
     """A parameter grid from CSV; its header must name the type and the algorithm, and it must have rows."""
     grid = spark.read.csv(path, header=True)
     if missing := {"type", "algorithm"} - set(grid.columns):
         raise ValueError(f"the grid lacks {', '.join(sorted(missing))}")
-    rows = [r.asDict() for r in grid.limit(10_000).collect()]  # a grid is a page of options
+    rows = [r.asDict() for r in grid.limit(MOST_TRIALS + 1).collect()]  # a grid is a page of options
+    if len(rows) > MOST_TRIALS:
+        raise ValueError(f"the grid has more than {MOST_TRIALS} rows")
     if not rows:
         raise ValueError("the grid is empty")
     return rows

@@ -59,3 +59,11 @@ def test_failures_stay_with_their_file(spark):
     rows = spark.createDataFrame([("good", 1, 0, [1.0, 2.0]), ("bad", 1, 0, [1.0]), ("bad", 1, 1, [1.0, 2.0])], "path string, band int, row int, data array<double>")
     got = {r.path: r.error for r in P.optimized(rows, P.Options(tile=16)).collect()}
     assert got["good"] is None and got["bad"]
+
+
+def test_long_grid_is_refused(spark, tmp_path):
+    for n in (10_000, 10_001):
+        (tmp_path / f"{n}.csv").write_text("type,algorithm\n" + "dem,LZW\n" * n)
+    assert len(P.read_grid(spark, f"{tmp_path}/10000.csv")) == 10_000
+    with pytest.raises(ValueError, match="10000"):
+        P.read_grid(spark, f"{tmp_path}/10001.csv")
