@@ -68,7 +68,7 @@ def test_long_and_empty_sets():
 
 def test_unlinked_texts_under_one_id_stay(spark):
     one, two = (" ".join(f"{w}{i}" for i in range(30)) for w in "ab")
-    rows = [(1, one), (5, one), (5, two), (5, two), (6, two + " more"), (None, two), (None, two)]
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, two + " more"), (7, one.upper() + " a b c d e f g h i j k l m n"), (7, two[::-1]), (None, two), (None, two)]
     docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], SCHEMA)
     got = P.near_dedup(spark, docs, "").collect()
-    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (5, two), (0, two), (0, two)])
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (5, two), rows[5], rows[6], (0, two), (0, two)])
