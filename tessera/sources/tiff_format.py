@@ -22,6 +22,9 @@ TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d
 UNDEFINED, RATIONALS = 7, {5: "I", 10: "i"}  # bytes of any content; numerator and denominator
 CLEAR, END, FIRST = 256, 257, 258
 
+#: What reading a damaged file may raise; readers turn each into an error row.
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
+
 
 # --- codecs -----------------------------------------------------------------------------
 
@@ -293,19 +296,21 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
 
 def sub_directory(data: bytes, tags: dict[int, tuple], tag: int) -> dict[int, tuple]:
     """Tags of the directory that a tag points to; none if there is no such tag or the directory is damaged."""
-    if tag not in tags or not isinstance(tags[tag][0], int):
+    if not tags.get(tag) or not isinstance(tags[tag][0], int):
         return {}
     try:
         return _directory(data, tags[tag][0], *_frame(data))[0]
-    except (ValueError, struct.error):
+    except DAMAGE:
         return {}
 
 
 def read_page(data: bytes, tags: dict[int, tuple], index: int) -> Page:
-    one = lambda tag, default: tags.get(tag, (default,))[0]
-    order, bits = tags[0][0], tags.get(BITS, (1,))
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
+    order, bits = tags[0][0], tags.get(BITS) or (1,)
     page = Page(index, one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), bits[0], one(SAMPLE_FORMAT, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_OFFSETS in tags)
     kind = {1: "u", 2: "i", 3: "f"}.get(page.sample_format)
+    if page.samples < 1:
+        raise ValueError("a page without samples")
     if len(set(bits)) > 1 or page.bits not in (8, 16, 32, 64) or kind is None or kind == "f" and page.bits == 8:
         raise ValueError(f"samples of {bits} bits and format {page.sample_format} aren't supported")
     stored = np.dtype(f"{order}{kind}{page.bits // 8}")
@@ -344,11 +349,11 @@ def read_pages(data: bytes) -> Iterator[Page]:
         for index, tags in enumerate(directories(data)):  # noqa: B020
             try:
                 yield read_page(data, tags, index)
-            except (ValueError, KeyError, struct.error, zlib.error, OverflowError) as e:
+            except DAMAGE as e:
                 yield Page(index, error=str(e) or type(e).__name__)
             index += 1
-    except (ValueError, struct.error) as e:
-        yield Page(index, error=str(e))
+    except DAMAGE as e:
+        yield Page(index, error=str(e) or type(e).__name__)
 
 
 # --- writer -----------------------------------------------------------------------------
