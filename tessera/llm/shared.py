@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder of this machine."""
+    """spark.checkpoint.dir of the session; where it is unset and all tasks run on this machine (tests), a folder of it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,3 +35,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """name, or name with underscores before it, so that it is none of taken, whatever the case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name = f"_{name}"
+    return name
+
+
+def local_file(path: str) -> str:
+    """A vocabulary file in a task: path where it exists, else the file of that name among this machine's public tokenizers."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path(os.path.basename(path)))
+
+
+class Sent:
+    """A broadcast with a number by which workers know it again, so that what they build from it is kept from task to task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.broadcast = spark.sparkContext.broadcast(value)
+        self.id = self.broadcast._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"broadcast": self.broadcast, "id": self.id}
+
+    @property
+    def value(self):
+        return self.broadcast.value
