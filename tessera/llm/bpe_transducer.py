@@ -30,6 +30,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import local_file
+
 BLOCK = 256  # characters in a block of the splitter
 LONG_PIECE = 96  # bytes of a piece that run in lockstep; what is longer ends one by one
 STATES_KEPT = 250_000  # compiled merger states a worker keeps before it starts afresh
@@ -284,10 +286,16 @@ class Merger:
         for k in np.flatnonzero(sizes > LONG_PIECE):
             now, total = int(state[k]), 0
             for b in data[starts[k] + LONG_PIECE : starts[k] + sizes[k]].tolist():
-                if self.next[now, self.columns[b]] < 0:
+                if len(self.states) > STATES_KEPT:  # a piece of any length goes on from its state in an empty table
+                    here = self.states[now]
+                    self.reset()
+                    self.stable_pairs.clear()
+                    now = self.intern(here)
+                column = self.column(b)
+                if self.next[now, column] < 0:
                     self.compile(now, b)
-                total += int(self.emit[now, self.columns[b]])
-                now = int(self.next[now, self.columns[b]])
+                total += int(self.emit[now, column])
+                now = int(self.next[now, column])
             totals[k] += total
         result = np.empty_like(totals)
         result[order] = totals
@@ -299,7 +307,7 @@ _MERGERS: dict[str, Merger] = {}
 
 def count_tokens(texts: list[str], tokenizer: str) -> np.ndarray:
     """Tokens of each text, as the tokenizer's own library counts them by default."""
-    merger = _MERGERS.get(tokenizer) or _MERGERS.setdefault(tokenizer, Merger(tokenizer))
+    merger = _MERGERS.get(tokenizer) or _MERGERS.setdefault(tokenizer, Merger(local_file(tokenizer)))
     totals = np.zeros(len(texts), np.int64)
     segments, owners = [], []
     for k, text in enumerate(texts):
@@ -340,10 +348,8 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", out: str = "
 
     A null text counts as the empty text and has no tokens.  Rows are never moved: each
     Arrow batch is cut into blocks of about block_chars characters, which bound the memory
-    of the lockstep runs.  Columns of df keep their names; out must not be one of them.
+    of the lockstep runs.  A column of df with the name out, in any case, is replaced.
     """
-    if out in df.columns:
-        raise ValueError(f"df already has a column {out}")
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,6 +9,10 @@ little-endian unsigned 16- or 32-bit integers.  The last two parts are skippable
 zstandard tool still reads the file.  The seek table lists each frame's compressed size, plain
 size and the low 32 bits of the XXH64 of its plain bytes; its footer holds the number of frames.
 A reader fetches the tail, then only the bytes of the frames it wants.
+
+Shards are ranges of the order by key, cut so that each has about as many bytes of text.  The
+cuts come from a sample that the driver weighs, as Spark's own range partitioning does, but of
+keys, digests and lengths alone, so no text is encoded for it.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from bisect import bisect_left, bisect_right
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,11 +33,16 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import new_path, written
+from .shared import Sent, local_file, new_path, written
 
 # Fixed values of the seekable layout.
 SEEK_TABLE_FRAME, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
-KEYS_FRAME = 0x184D2A50  # a skippable frame of this format's own: id width, then the keys
+KEYS_FRAME = 0x184D2A50  # a skippable frame of this format's own: id width, rows without a key, then the keys
+KEYS_HEAD = struct.Struct("<BQ")
+
+SHARD_BYTES = 32 << 20  # text of a shard, about
+MOST_SHARDS = 16_384  # beyond that shards grow
+SAMPLED = 60  # rows of the sample for each shard
 
 PIECES_KEPT = 600_000  # pieces whose ids a worker remembers
 
@@ -105,7 +115,7 @@ def with_ids(df: DataFrame, tokenizer: str, end_id: int | None, text: str = "tex
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
+        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(local_file(tokenizer)))
         end = b"" if end_id is None else encoder.packed([end_id])
         for batch in batches:
             texts = batch.fillna("").tolist()
@@ -128,16 +138,18 @@ class ShardWriter:
         self.part = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.files.open_output_stream(self.part)
         self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True)
-        self.table, self.keys = [], []
+        self.table, self.keys, self.keyless = [], [], 0
 
-    def add(self, key: int, ids: bytes) -> None:
+    def add(self, key: int | None, ids: bytes) -> None:
+        """Rows without a key come before all others."""
         frame = self.zstd.compress(ids)
         self.out.write(frame)
         self.table.append(struct.pack("<III", len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
-        self.keys.append(key)
+        self.keyless += key is None
+        self.keys.append(key or 0)
 
     def close(self) -> None:
-        keys = struct.pack("<B", self.width) + np.asarray(self.keys, "<i8").tobytes()
+        keys = KEYS_HEAD.pack(self.width, self.keyless) + np.asarray(self.keys, "<i8").tobytes()
         self.out.write(struct.pack("<II", KEYS_FRAME, len(keys)) + keys)
         table = b"".join(self.table) + struct.pack("<IBI", len(self.table), CHECKSUMS, SEEKABLE_MAGIC)
         self.out.write(struct.pack("<II", SEEK_TABLE_FRAME, len(table)) + table)
@@ -157,9 +169,10 @@ class ShardReader:
             raise ValueError("not a seekable shard")
         length = 12 * frames + 9
         self.table = np.frombuffer(self.file.read_at(12 * frames, size - length), "<u4").reshape(-1, 3)
-        at = size - length - 8 - (8 * frames + 1)
-        keys = self.file.read_at(8 * frames + 1, at)
-        self.width, self.keys = keys[0], np.frombuffer(keys, "<i8", offset=1)
+        tail = 8 * frames + KEYS_HEAD.size
+        keys = self.file.read_at(tail, size - length - 8 - tail)
+        self.width, self.keyless = KEYS_HEAD.unpack_from(keys)
+        self.keys = np.frombuffer(keys, "<i8", offset=KEYS_HEAD.size)  # of rows without a key: 0
         self.at = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
         self.tokens = self.table[:, 1].astype(np.int64) // self.width
         self.zstd = zstandard.ZstdDecompressor()
@@ -173,21 +186,66 @@ class ShardReader:
         return np.frombuffer(plain, f"<u{self.width}")
 
 
-def write_shards(df: DataFrame, folder: str, width: int, key: str = "doc_id", ids: str = "ids", docs_per_shard: int = 20_000) -> DataFrame:
-    """Writes df's packed ids into shards in ascending key order; returns (shard, n_docs, n_tokens).
+def shard_cuts(df: DataFrame, key: str = "key", tie: str = "tie", size: str = "size", shard_bytes: int = SHARD_BYTES, seed: int = 5) -> list[tuple[bool, int, int]]:
+    """Places (has a key, key, tie) between the shards of df, in order; a place is repeated where its rows alone fill shards.
+
+    Two passes over the three columns: the sum of sizes, which gives the number of shards, and
+    a sample of SAMPLED rows a shard, whose sizes are halved and quartered by weight.
+    """
+    whole = df.agg(F.count("*").alias("n"), F.sum(F.col(size).cast("double")).alias("bytes")).first()
+    shards = min(MOST_SHARDS, round((whole.bytes or 0) / shard_bytes))
+    if shards < 2:
+        return []
+    rows = df.sample(min(1.0, SAMPLED * shards / whole.n), seed).select(F.col(key).isNotNull().alias("has"), F.coalesce(key, F.lit(0)).alias("k"), F.col(tie).alias("t"), F.coalesce(size, F.lit(0)).alias("s"))
+    places = sorted((r.has, r.k, r.t, r.s) for r in rows.collect())
+    if not places:
+        return []
+    upto = np.cumsum([p[3] + 1.0 for p in places])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)
+    return [places[i][:3] for i in at.tolist()]
+
+
+def placed(cuts: Sent):
+    """The shard of a row (has a key, key, tie): that between the cuts around it.
+
+    Rows that are equal to a repeated cut are alike and may lie in any of the shards that it
+    stands for: each task deals its own out in turn.  How many go where depends on their number
+    alone, so a task that is run again deals as many to each.
+    """
 
-    Shards are key ranges of about docs_per_shard rows, cut at quantiles of the key column
-    alone; all rows of one key share a shard.  Rows without a key come first, under the
-    smallest long.  A shard streams through its task, frame by frame.
+    @F.pandas_udf("int")
+    def shard(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        edges, dealt = cuts.value, {}
+        for has, keys, ties in batches:
+            out = []
+            for place in zip(has.tolist(), keys.tolist(), ties.tolist(), strict=True):
+                low = bisect_left(edges, place)
+                if low < len(edges) and edges[low] == place:
+                    wide = bisect_right(edges, place, low) - low + 1
+                    turn = dealt.get(place, 0)
+                    dealt[place] = turn + 1
+                    low += turn % wide
+                out.append(low)
+            yield pd.Series(out, dtype="int32")
+
+    return shard
+
+
+def write_shards(df: DataFrame, folder: str, width: int, key: str = "doc_id", ids: str = "ids", tie: str | None = None, cuts: list[tuple[bool, int, int]] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes df's packed ids into shards in ascending key order, rows without a key first; returns (shard, n_docs, n_tokens).
+
+    Keys are whole numbers.  tie orders the rows of one key (by default a digest of the ids), so
+    that a key's rows, however many, can be spread over shards; cuts are those of shard_cuts,
+    made from df if not given, which reads its ids twice more.  A shard streams through its
+    task, frame by frame.
     """
-    rows = df.count()
-    shards = max(1, round(rows / docs_per_shard))
-    cuts = sorted(set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / shards for i in range(1, shards)], 0.2 / shards))) if shards > 1 else []
-    place = F.lit(0)
-    if cuts:
-        place = F.coalesce(F.expr(f"size(filter(array({','.join(f'{int(c)}L' for c in cuts)}), c -> c <= `{key}`))"), F.lit(0))
-    dealt = df.select(place.alias("shard"), F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("long").alias("key"), F.col(ids).alias("ids"))
-    dealt = dealt.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "ids")
+    rows = df.select(F.col(key).cast("long").alias("key"), (F.xxhash64(ids) if tie is None else F.col(tie)).alias("tie"), F.col(ids).alias("ids"))
+    if cuts is None:
+        cuts = shard_cuts(rows.select("key", "tie", F.octet_length("ids").alias("size")), shard_bytes=shard_bytes)
+    has = F.col("key").isNotNull()
+    place = placed(Sent(df.sparkSession, cuts))(has, F.coalesce("key", F.lit(0)), F.col("tie")) if cuts else F.lit(0)
+    dealt = rows.select(place.alias("shard"), "key", "tie", "ids").repartitionById(len(cuts) + 1, F.col("shard"))
+    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "tie").drop("tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, tokens = None, None, 0
@@ -215,7 +273,8 @@ def write_shards(df: DataFrame, folder: str, width: int, key: str = "doc_id", id
 def read_shards(shards: DataFrame, folder: str, key: str = "doc_id", wanted: list[int] | None = None) -> DataFrame:
     """(key, start, n_tokens, ids) read back from the files; start: ids of all documents before it.
 
-    With wanted, only the frames of those keys are read and decompressed.
+    With wanted, only the frames of those keys are read and decompressed.  The window is over a
+    row for each shard, of which there are MOST_SHARDS at most.
     """
     first = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     listed = shards.select("shard", first.alias("first")).repartition(max(1, shards.count()))  # a row for each file
@@ -226,22 +285,27 @@ def read_shards(shards: DataFrame, folder: str, key: str = "doc_id", wanted: lis
             for shard, first in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 reader = ShardReader(folder, shard)
                 starts = first + np.cumsum(reader.tokens) - reader.tokens
-                chosen = np.arange(len(reader.keys)) if want is None else np.flatnonzero(np.isin(reader.keys, want))
+                chosen = np.arange(len(reader.keys)) if want is None else np.flatnonzero(np.isin(reader.keys, want) & (np.arange(len(reader.keys)) >= reader.keyless))
                 for at in range(0, len(chosen), 1000):
                     part = chosen[at : at + 1000]
-                    none = reader.keys[part] == -(1 << 63)
+                    none = part < reader.keyless
                     ids = [reader.read(int(i)).astype("<u4").tobytes() for i in part]
                     yield pa.RecordBatch.from_pydict({key: pa.array(reader.keys[part], mask=none), "start": starts[part], "n_tokens": reader.tokens[part], "ids": pa.array(ids, pa.binary()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())})
 
     return listed.mapInArrow(read, f"`{key}` long, start long, n_tokens long, ids binary, ids_crc32 long")
 
 
-def tokenized(df: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text", folder: str | None = None, docs_per_shard: int = 20_000) -> DataFrame:
+def tokenized(df: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc_id", text: str = "text", folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes df's whole texts, writes the shards to folder and reads them back: see read_shards.
 
-    Null and empty texts have the end id alone; an empty df leaves no shard and no rows.
+    df is read more than once and must give the same rows each time, as a table does.  Null and
+    empty texts have the end id alone; an empty df leaves no shard and no rows; rows of one key
+    have each their own frame.  Keys are whole numbers, or texts of such.  Other columns of df
+    don't matter.
     """
     folder = folder or new_path(df.sparkSession, "token-shards")
-    encoded = with_ids(df.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")), tokenizer, end_id, "text").drop("text")
-    shards = write_shards(encoded, folder, id_width(tokenizer), key, "ids", docs_per_shard)
-    return read_shards(shards, folder, key)
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.select(F.col(key).cast("long").alias("key"), whole.alias("text"))
+    cuts = shard_cuts(rows.select("key", F.xxhash64("text").alias("tie"), F.octet_length("text").alias("size")), shard_bytes=shard_bytes)
+    encoded = with_ids(rows.withColumn("tie", F.xxhash64("text")), tokenizer, end_id, "text", "ids").select(F.col("key").alias(key), "tie", "ids")
+    return read_shards(write_shards(encoded, folder, id_width(tokenizer), key, "ids", "tie", cuts), folder, key)

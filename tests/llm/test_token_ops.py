@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe_transducer, queries, token_shards
@@ -22,8 +23,8 @@ def test_counts_match_the_library(spark, sf):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(every)], "doc_id long, text string, n_chars string")
     got = {r.doc_id: r.n_tokens for r in bpe_transducer.token_counts(df, path, block_chars=1000).collect()}
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(every)}
-    with pytest.raises(ValueError):
-        bpe_transducer.token_counts(df, path, out="text")
+    replaced = bpe_transducer.token_counts(df, path, out="N_chars")
+    assert len(replaced.columns) == 3 and {r.doc_id: r.N_chars for r in replaced.collect()} == got
     assert bpe_transducer.token_counts(df.limit(0), path).count() == 0
 
 
@@ -34,13 +35,22 @@ def test_splitter_does_not_depend_on_blocks(monkeypatch):
     assert np.array_equal(whole, bpe_transducer.piece_starts(points))
 
 
+def test_a_piece_of_any_length_keeps_few_states(monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    text = "".join(chr(97 + i) for i in np.random.default_rng(2).integers(0, 26, 60_000).tolist())
+    monkeypatch.setattr(bpe_transducer, "STATES_KEPT", 500)
+    monkeypatch.setattr(bpe_transducer, "_MERGERS", {})
+    assert bpe_transducer.count_tokens([text, "a b"], path).tolist() == [len(Tokenizer.from_file(path).encode(t).ids) for t in (text, "a b")]
+    assert len(bpe_transducer._MERGERS[path].states) <= 502
+
+
 def test_shards_round_trip(spark, sf, tmp_path):
     path = queries.tokenizer_path("word_bpe_49k.json")
     library, every = Tokenizer.from_file(path), texts(spark, sf)
     keyed = [(7 * (len(every) - i), t) for i, t in enumerate(every)]
     df = spark.createDataFrame(keyed, "doc_id long, text string")
     folder = f"file://{tmp_path}/shards"
-    rows = token_shards.tokenized(df, path, 2, folder=folder, docs_per_shard=50).orderBy("doc_id").collect()
+    rows = token_shards.tokenized(df, path, 2, folder=folder, shard_bytes=20_000).orderBy("doc_id").collect()
     start = 0
     for r, (key, text) in zip(rows, sorted(keyed, key=lambda x: x[0]), strict=True):
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -79,3 +89,39 @@ def test_shards_of_hard_tables(spark):
     df = spark.createDataFrame([(None, "a b"), (3, None), (3, "b"), (3, "b")], "doc_id long, text string")
     rows = sorted((r.start, r.doc_id, r.n_tokens) for r in token_shards.tokenized(df, path, 2).collect())
     assert rows == [(0, None, 3), (3, 3, 2), (5, 3, 2), (7, 3, 1)] or rows == [(0, None, 3), (3, 3, 1), (4, 3, 2), (6, 3, 2)]
+
+
+def test_shards_are_cut_by_bytes_and_hot_keys_spread(spark, tmp_path):
+    """A key, no key and one repeated row that hold most of the bytes each fill several shards; the order stays."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    rng = np.random.default_rng(4)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 99, n))
+    rows = [(int(k), say(30)) for k in rng.integers(-(1 << 63), (1 << 63) - 1, 300)] + [(None, say(30)) for _ in range(600)] + [(5, say(30)) for _ in range(400)] + [(7, "the same text over and over again")] * 900 + [(-(1 << 63), "least"), (None, None)]
+    order = rng.permutation(len(rows)).tolist()
+    spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    folder = f"file://{tmp_path}/shards"
+    got = token_shards.tokenized(df, path, 2, folder=folder, shard_bytes=8_000).collect()
+    got.sort(key=lambda r: r.start)
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert len(got) == len(rows) and keys == sorted(keys) and keys.count((True, -(1 << 63))) == 1
+    starts = np.cumsum([r.n_tokens for r in got])
+    assert [r.start for r in got[1:]] == starts[:-1].tolist()
+    library = Tokenizer.from_file(path)
+    want = sorted((k is not None, k or 0, zlib.crc32(np.array([*library.encode(t or "").ids, 2], "<u4").tobytes())) for k, t in rows)
+    assert sorted((*k, r.ids_crc32) for k, r in zip(keys, got)) == want
+    cuts = token_shards.shard_cuts(df.select(df.doc_id.alias("key"), F.xxhash64("text").alias("tie"), F.octet_length("text").alias("size")), shard_bytes=8_000)
+    shards = len(list((tmp_path / "shards").glob("*.zst")))
+    assert shards == len(cuts) + 1 > 10 and len(set(cuts)) < len(cuts) and sum(c[:2] == (True, 5) for c in cuts) > 1 and sum(not c[0] for c in cuts) > 1
+    sizes = [len(token_shards.ShardReader(folder, i).keys) for i in range(shards)]
+    assert max(sizes) < 4 * len(rows) / shards
+
+
+def test_null_keys_are_no_number(tmp_path):
+    folder = f"file://{tmp_path}"
+    writer = token_shards.ShardWriter(folder, 3, 4)
+    for k in (None, None, -(1 << 63), 0):
+        writer.add(k, b"\1\0\0\0")
+    writer.close()
+    reader = token_shards.ShardReader(folder, 3)
+    assert reader.keyless == 2 and reader.keys[2:].tolist() == [-(1 << 63), 0] and reader.read(3).tolist() == [1]
