@@ -60,24 +60,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", whole_text().alias("text"))
-    stored = tiff_pages.as_media(docs).select(
-        "doc_id",
-        F.octet_length("text").cast("long").alias("n_bytes"),
-        F.octet_length("content").cast("long").alias("media_bytes"),
-        F.sha2("content", 256).alias("media_sha256"),
-        "content",
-    )
-    pages = tiff_pages.tiff_pages(stored)  # a payload is one page
+    docs = documents(spark, sf_dir).select("doc_id", F.octet_length(whole_text()).cast("long").alias("n_bytes"), "text")
+    pages = tiff_pages.stored_pages(docs)  # a payload is one page
     return pages.select(
         "doc_id",
         "n_bytes",
         F.octet_length("page.pixels").cast("long").alias("payload_bytes"),
         F.sha2("page.pixels", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(page.pixels, -64)")).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        tiff_pages.page_features("page.pixels").alias("feature"),
+        F.octet_length("content").cast("long").alias("media_bytes"),
+        F.sha2("content", 256).alias("media_sha256"),
+        "page.feature",
     )
 
 

@@ -70,8 +70,41 @@ def test_damaged_and_hard_files(spark):
     found = tiff_pages.tiff_pages(df).collect()
     assert sorted((str(r.k), r.page.error is None) for r in found) == [("1", True), ("1", True), ("3", False), ("4", False), ("5", True), ("6", False), ("None", False)]
     assert tiff_pages.tiff_pages(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        tiff_pages.tiff_pages(df.withColumnRenamed("pixels", "page"))
+    clash = tiff_pages.tiff_pages(df.withColumnRenamed("pixels", "Page"))
+    assert clash.columns == ["k", "page"] and clash.where("page.error is null").count() == 3
+    texts = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "ab" * 9_000_000, "x")], "k int, text string, CONTENT string")
+    stored = tiff_pages.stored_pages(texts)
+    assert stored.columns == ["k", "text", "content", "page"]
+    assert sorted((r.k, len(r.page.pixels)) for r in stored.collect()) == [(1, 64), (2, 64), (3, 18_000_000)]
+
+
+def test_any_damage_is_an_error_row():
+    """Directories with changed bytes, counts of zero and areas without end: pages or error rows, never an exception."""
+    rng = np.random.default_rng(7)
+    files = [T.write_tiff([(rng.integers(0, 255, (40, 30, s)).astype(d), T.Layout(c, p, tile, 16, o)), (np.zeros((5, 5), np.uint8), T.Layout())]) for s, d, c, p, tile, o in ((1, "u1", T.PACKBITS, 1, None, "<"), (3, "u2", T.LZW, 2, (16, 16), ">"), (2, "f4", T.DEFLATE, 3, None, "<"), (1, "u1", T.ZSTD, 1, (32, 16), "<"))]
+    errors = 0
+    for n in range(4000):
+        data = bytearray(files[n % 4])
+        at = struct.unpack_from("<I" if data[:2] == b"II" else ">I", data, 4)[0]
+        for _ in range(int(rng.integers(1, 4))):
+            where = int(rng.integers(0, 8)) if rng.random() < 0.1 else at + int(rng.integers(0, min(180, len(data) - at)))
+            data[where] = int(rng.choice([0, 1, 2, 3, 255, rng.integers(0, 256)]))
+        for page in T.read_pages(bytes(data)):
+            errors += page.error is not None
+            assert (page.pixels is None) == (page.error is not None)
+            assert page.pixels is None or len(page.pixels) == page.width * page.height * page.samples * page.bits // 8
+    assert errors > 1000
+
+
+def test_features_by_plain_formulas():
+    raw = bytes(range(200)) + b"\5" * 56
+    counts = [raw.count(b) for b in set(raw)]
+    mean = sum(raw) / 256
+    std = (sum((b - mean) ** 2 for b in raw) / 256) ** 0.5
+    entropy = -sum(c / 256 * np.log2(c / 256) for c in counts)
+    step = sum(abs(a - b) for a, b in zip(raw, raw[1:])) / 255
+    assert tiff_pages.page_feature(T.Page(0, pixels=raw)) == f"mean={mean:.4f};std={std:.4f};distinct={len(counts)};entropy={entropy:.4f};step={step:.4f}"
+    assert tiff_pages.page_feature(T.Page(0)) is None
 
 
 def test_query_stores_every_text(spark, sf):
