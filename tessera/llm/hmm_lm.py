@@ -3,9 +3,9 @@
 Symbols: the end of a text, the commonest words, and for all other words one of CLASSES
 classes by their first and last two bytes; a word of a class then costs its share of the
 class.  Latent states are trained by Baum-Welch: every round, tasks run the scaled
-forward-backward recursion over their training texts and give their expected counts, which
-are added up across partitions.  A text's probability comes from the scaled forward recursion
-over the whole text, end included.
+forward-backward recursion over their whole training texts and give their expected counts,
+which are added up across partitions.  A text's probability comes from the scaled forward
+recursion over the whole text, end included.
 
 Counts of all words stay in tables.  Only the HEAD commonest words reach every task; the rest
 of a text's words meet their counts in a join, which no common word takes part in.
@@ -13,6 +13,7 @@ of a text's words meet their counts in a join, which no common word takes part i
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -27,18 +28,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .shared import written
 
 HEAD = 65_536  # words that are looked up in the tasks
-HEAD_BYTES = 64  # none of them longer
+WORD_BYTES = 64  # a longer word goes by its digest, so that a common one can be in the head too
 OWN = 4_096  # of those, words with a symbol of their own
 CLASSES = 512
 STATES = 8
-SEGMENT = 128  # training texts are cut into stretches of so many symbols
+SYMBOLS_AT_ONCE = 262_144  # of the texts that run in lockstep
+LONG_TEXT = 2_048  # symbols; longer texts run with each other
+STEPS_KEPT = 32_768  # steps whose forward states are kept; of longer texts they are computed twice
 WORDS_HELD = 300_000
 END = b""  # no word is empty
 
 
 def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased words between the bytes 09-0D and 20."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    """A-Z lower-cased words between the bytes 09-0D and 20; long ones as FF, which is in no text, and a digest of 128 bits."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if words and max(map(len, words)) > WORD_BYTES:
+        words = [w if len(w) <= WORD_BYTES else b"\xff" + hashlib.md5(w, usedforsecurity=False).digest() for w in words]
+    return words
 
 
 def class_of(word: bytes) -> int:
@@ -91,6 +97,7 @@ class Vocabulary:
     counts: np.ndarray  # of the head
     symbols: np.ndarray  # of the head: place, or the class's symbol
     class_cost: np.ndarray  # log10 of a class's tokens + words + 1
+    own: int  # symbols of single words, the end among them; the classes' follow
     total: int
     distinct: int
 
@@ -98,33 +105,46 @@ class Vocabulary:
     def size(self) -> int:
         return self.own + CLASSES
 
-    @property
-    def own(self) -> int:
-        return min(len(self.head), 1 + OWN)
-
 
 def head_of(words: DataFrame) -> list[tuple[bytes, int]]:
-    """The commonest of words (word, n), HEAD at most, in order: those above the least size step that leaves no more than HEAD.
+    """The HEAD commonest of words (word, n), all of them if they are fewer; of equally common ones those with the least hashes.
 
-    A top-k would bring HEAD rows from every partition to the driver; the steps of sizes are a
-    few hundred rows.
+    A top-k would bring HEAD rows from every partition to the driver.  Here the driver gets
+    numbers of words: by steps of sizes, by size within the step that would be too many, by
+    hash within the size that would be, each a few thousand rows; then the words themselves.
     """
+
+    def fitting(rows: DataFrame, by: Column, room: int) -> tuple[int | None, int | None, int]:
+        """Going down from the greatest value of by: the least value that still fits whole, the next one, and the room left."""
+        least = None
+        for r in sorted(rows.groupBy(by.alias("by")).agg(F.count("*").alias("n")).collect(), reverse=True):
+            if r.n > room:
+                return least, r.by, room
+            least, room = r.by, room - r.n
+        return least, None, room
+
     step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r.step, r.n) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    taken, least = 0, None
-    for at, n in sizes:
-        if taken + n > HEAD:
+    turn = -F.shiftrightunsigned(F.xxhash64("word"), 48)
+    taken, room, rest = F.lit(False), HEAD, words
+    for by in (step, F.col("n"), turn):
+        least, over, room = fitting(rest, by, room)
+        within = F.lit(True) if rest is words else inside
+        if least is not None:
+            taken = taken | (within & (by >= least))
+        if over is None:
             break
-        taken, least = taken + n, at
-    if least is None:
-        return []
-    return sorted(((bytes(r.word), r.n) for r in words.where(step >= least).select("word", "n").collect()), key=lambda w: (-w[1], w[0]))
+        inside = within & (by == over)
+        rest = words.where(inside)
+    found = sorted(((bytes(r.word), r.n) for r in words.where(taken).select("word", "n").collect()), key=lambda w: (-w[1], w[0]))
+    if over is not None and room:  # words of one size and nearly one hash
+        found += sorted((bytes(r.word), r.n) for r in rest.select("word", "n").collect())[:room]
+    return found
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Collects HEAD words and CLASSES sums at most."""
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    words = counts.where((F.col("word") != F.lit(END)) & (F.length("word") <= HEAD_BYTES))
+    words = counts.where(F.col("word") != F.lit(END))
     head = head_of(words)
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0
     places = {END: 0} | {w: i for i, (w, _) in enumerate(head, 1)}
@@ -140,7 +160,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             distinct[class_of(word)] -= 1
         elif i:
             symbols[i] = own + class_of(word)
-    return Vocabulary(places, numbers, symbols, np.log10(tokens + distinct + 1), int(sums.n or 0), int(sums.v))
+    return Vocabulary(places, numbers, symbols, np.log10(tokens + distinct + 1), own, int(sums.n or 0), int(sums.v))
 
 
 def encoded(df: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -180,7 +200,7 @@ def encoded(df: DataFrame, vocab: Vocabulary) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *made], names=["key", "held_out", "n_tokens", "n_known", "head_log", "own_log", "class_log", "symbols", "rare", "rare_n"])
 
-    ddl = "key long, held_out boolean, n_tokens long, n_known long, head_log double, own_log double, class_log double, symbols binary, rare array<binary>, rare_n array<int>"
+    ddl = f"key {df.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, head_log double, own_log double, class_log double, symbols binary, rare array<binary>, rare_n array<int>"
     return written(df.select("text", "key", "held_out").mapInArrow(encode, ddl).withColumn("row", F.monotonically_increasing_id()), "encoded")
 
 
@@ -197,7 +217,6 @@ def rare_sums(table: DataFrame, counts: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     first: np.ndarray  # of a text's first symbol's state
-    inside: np.ndarray  # of the state where a stretch within a text begins; for training only
     moves: np.ndarray  # state -> state
     signs: np.ndarray  # symbol x state
 
@@ -207,28 +226,41 @@ def start_model(unigram: np.ndarray, states: int = STATES, seed: int = 11) -> Mo
     signs = (unigram[:, None] + 0.1) * np.exp(rng.normal(0, 1, (len(unigram), states)))
     moves = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(moves, 0.9)
-    even = np.full(states, 1 / states)
-    return Model(even, even, moves / moves.sum(axis=1, keepdims=True), signs / signs.sum(axis=0))
+    return Model(np.full(states, 1 / states), moves / moves.sum(axis=1, keepdims=True), signs / signs.sum(axis=0))
+
+
+class Lockstep:
+    """Sequences side by side, the longest first: at step t the first live[t] of them have a symbol."""
+
+    def __init__(self, texts: list[np.ndarray]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.flat = np.concatenate([texts[i] for i in self.order]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+        self.depth = int(self.sizes[0]) if len(texts) else 0
+        self.live = np.searchsorted(-self.sizes, -np.arange(self.depth), side="left").tolist()
+
+    def symbols(self, t: int) -> np.ndarray:
+        return self.flat[self.starts[: self.live[t]] + t]
+
+    def forward(self, model: Model, begin: int, end: int, state: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(t, scaled states, scales) of the steps from begin on, after the states of the step before it."""
+        for t in range(begin, end):
+            n = self.live[t]
+            state = (model.first if t == 0 else state[:n] @ model.moves) * model.signs[self.symbols(t)]
+            scale = state.sum(axis=1)
+            state = state / scale[:, None]
+            yield t, state, scale
 
 
 def forward_scores(texts: list[np.ndarray], model: Model) -> np.ndarray:
     """Natural log probability of each whole sequence, all of them in lockstep."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    sizes = sizes[order]
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
-    logs = np.zeros(len(texts))
-    state = np.broadcast_to(model.first, (len(texts), len(model.first)))
-    live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), side="left")
-    for t, n in enumerate(live.tolist()):
-        state = state[:n] if t == 0 else state[:n] @ model.moves
-        state = state * model.signs[flat[starts[:n] + t]]
-        scale = state.sum(axis=1)
-        state = state / scale[:, None]
-        logs[:n] += np.log(scale)
+    run, logs = Lockstep(texts), np.zeros(len(texts))
+    for _, _, scale in run.forward(model, 0, run.depth, None):
+        logs[: len(scale)] += np.log(scale)
     out = np.empty_like(logs)
-    out[order] = logs
+    out[run.order] = logs
     return out
 
 
@@ -236,93 +268,79 @@ class Expected:
     """Expected counts of one round."""
 
     def __init__(self, symbols: int, states: int):
-        self.first, self.inside = np.zeros(states), np.zeros(states)
-        self.moves, self.signs, self.log = np.zeros((states, states)), np.zeros((symbols, states)), 0.0
-
-    def add(self, sequences: list[np.ndarray], is_first: np.ndarray, model: Model) -> None:
-        """Scaled forward and backward recursion over sequences of SEGMENT symbols at most, in lockstep."""
-        sizes = np.array([len(s) for s in sequences])
-        order = np.argsort(-sizes, kind="stable")
-        sizes, is_first = sizes[order], is_first[order]
-        depth, lanes, states = int(sizes[0]), len(sizes), len(model.first)
-        grid = np.zeros((depth, lanes), np.int64)
-        for lane, i in enumerate(order):
-            grid[: sizes[lane], lane] = sequences[i]
-        live = np.searchsorted(-sizes, -np.arange(depth), side="left")
-        signs = model.signs[grid]
-        ahead, scales = np.zeros((depth, lanes, states)), np.ones((depth, lanes))
-        state = np.where(is_first[:, None], model.first, model.inside)
-        for t, n in enumerate(live.tolist()):
-            state = (state[:n] if t == 0 else state[:n] @ model.moves) * signs[t, :n]
-            scale = state.sum(axis=1)
-            state = state / scale[:, None]
-            ahead[t, :n], scales[t, :n] = state, scale
-        back = np.ones((lanes, states))
-        self.log += float(np.log(scales).sum())
-        for t in range(depth - 1, -1, -1):
-            n = int(live[t])
-            ahead_t = ahead[t, :n]
-            here = ahead_t * back[:n]
-            if t:
-                step = signs[t, :n] * back[:n] / scales[t, :n, None]
-                self.moves += ahead[t - 1, :n].T @ step
+        self.first, self.moves, self.signs, self.log = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
+
+    def add(self, texts: list[np.ndarray], model: Model, steps_kept: int | None = None) -> None:
+        """Scaled forward and backward recursion over whole sequences, in lockstep.
+
+        Beyond steps_kept (STEPS_KEPT) steps only the states between stretches of so many are
+        kept, and each stretch's are computed again when the backward pass comes to it, so
+        memory doesn't grow with the length of a text.
+        """
+        run, kept = Lockstep(texts), steps_kept or STEPS_KEPT
+        begins, entries = list(range(0, run.depth, kept)), [None]
+        for begin in begins[:-1]:
+            for _, state, _ in run.forward(model, begin, begin + kept, entries[-1]):
+                pass
+            entries.append(state)
+        back = np.ones((len(run.sizes), len(model.first)))
+        for begin, entry in zip(reversed(begins), reversed(entries)):
+            passed = list(run.forward(model, begin, min(begin + kept, run.depth), entry))
+            share = []
+            for t, ahead, scale in reversed(passed):
+                n = run.live[t]
+                share.append(ahead * back[:n])
+                if not t:
+                    self.first += share[-1].sum(axis=0)
+                    break
+                step = model.signs[run.symbols(t)] * back[:n] / scale[:, None]
+                before = passed[t - 1 - begin][1] if t > begin else entry
+                self.moves += before[:n].T @ step
                 back[:n] = step @ model.moves.T
-            else:
-                self.first += here[is_first].sum(axis=0)
-            ahead[t, :n] = here  # from here on the posterior
-        inside = np.arange(depth)[:, None] < sizes
-        flat, share = grid[inside], ahead[inside]
-        self.inside += share.sum(axis=0)
-        for k, column in enumerate(np.ascontiguousarray(share.T)):
-            self.signs[:, k] += np.bincount(flat, column, len(self.signs))
-
-
-def expected_counts(table: DataFrame, model: Model) -> tuple[Expected, int]:
-    """One round over the training texts: counts added up in each task, then across partitions; (symbols + states + 2) rows reach the driver."""
+            self.log += float(sum(np.log(scale).sum() for _, _, scale in passed))
+            flat = np.concatenate([run.symbols(t) for t, _, _ in reversed(passed)])
+            for k, column in enumerate(np.ascontiguousarray(np.concatenate(share).T)):
+                self.signs[:, k] += np.bincount(flat, column, len(self.signs))
+
+
+def expected_counts(table: DataFrame, model: Model) -> Expected:
+    """One round over the whole training texts: counts added up in each task, then across partitions; (symbols + states + 1) rows reach the driver."""
     symbols, states = model.signs.shape
     sent = table.sparkSession.sparkContext.broadcast(model)
 
     def round_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, found = sent.value, Expected(symbols, states)
-        parts: list[np.ndarray] = []
-        first: list[bool] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal held
-            if parts:
-                found.add(parts, np.array(first), model)
-            parts.clear()
-            first.clear()
-            held = 0
-
+        pools: list[list[np.ndarray]] = [[], []]  # texts up to LONG_TEXT symbols, and longer ones
+        held = [0, 0]
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                text = np.frombuffer(raw, "<u2").astype(np.int64)
-                for at in range(0, len(text), SEGMENT):
-                    parts.append(text[at : at + SEGMENT])
-                    first.append(at == 0)
-                    held += SEGMENT
-                    if held >= 1024 * SEGMENT:
-                        flush()
-        flush()
-        rows = np.vstack([found.signs, found.moves * model.moves, found.first[None], found.inside[None]])
+                text = np.frombuffer(raw, "<u2")
+                pool = int(len(text) > LONG_TEXT)
+                pools[pool].append(text)
+                held[pool] += len(text)
+                if held[pool] >= SYMBOLS_AT_ONCE:
+                    found.add(pools[pool], model)
+                    pools[pool], held[pool] = [], 0
+        for pool in pools:
+            if pool:
+                found.add(pool, model)
+        rows = np.vstack([found.signs, found.moves * model.moves, found.first[None]])
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(rows[some, k]) for k in range(states)), pa.array(np.where(some == some[0], found.log, 0.0) if len(some) else np.zeros(0))], names=["at", *(f"s{k}" for k in range(states)), "log"])
 
     sums = table.where("not held_out").select("symbols").mapInArrow(round_, ", ".join(["at int", *(f"s{k} double" for k in range(states)), "log double"]))
-    total, out = np.zeros((symbols + states + 2, states)), Expected(symbols, states)
+    total, out = np.zeros((symbols + states + 1, states)), Expected(symbols, states)
     for r in sums.groupBy("at").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(states)], F.sum("log").alias("log")).collect():
         total[r["at"]] = [r[f"s{k}"] for k in range(states)]
         out.log += r["log"]
-    out.signs, out.moves, out.first, out.inside = total[:symbols], total[symbols : symbols + states], total[-2], total[-1]
-    return out, symbols
+    out.signs, out.moves, out.first = total[:symbols], total[symbols : symbols + states], total[-1]
+    return out
 
 
 def updated(found: Expected) -> Model:
     """The most likely model for the expected counts, each smoothed by a small constant."""
     normal = lambda x, by, axis: (x + by) / (x + by).sum(axis=axis, keepdims=True)
-    return Model(normal(found.first, 0.1, 0), normal(found.inside, 0.1, 0), normal(found.moves, 0.1, 1), normal(found.signs, 0.01, 0))
+    return Model(normal(found.first, 0.1, 0), normal(found.moves, 0.1, 1), normal(found.signs, 0.01, 0))
 
 
 def trained(table: DataFrame, vocab: Vocabulary, rounds: int = 5, states: int = STATES) -> tuple[Model, list[float]]:
@@ -332,7 +350,7 @@ def trained(table: DataFrame, vocab: Vocabulary, rounds: int = 5, states: int =
     unigram[vocab.own :] = 10**vocab.class_cost - 1
     model, logs = start_model(unigram, states), []
     for _ in range(rounds):
-        found, _ = expected_counts(table, model)
+        found = expected_counts(table, model)
         logs.append(found.log / math.log(10))
         model = updated(found)
     return model, logs
@@ -361,8 +379,9 @@ def hmm_scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str =
     n_tokens counts the words and one end; n_known those with a count; base_score is the
     add-one unigram's log10 probability, score the hidden Markov model's.  Null and empty texts
     are an end alone.  Without any training rows every count is zero and all states are alike.
+    The key keeps its type; repeated rows stay, other columns of df don't matter.
     """
-    rows = df.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    rows = df.select(F.col(text).cast("string").alias("text"), F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = word_counts(rows.where("not held_out").select("text"))
     vocab = vocabulary(counts)
     table = encoded(rows, vocab)

@@ -15,7 +15,7 @@ SF01 = "/root/testdata/sf0.01"
 def small_model(states=3, symbols=5, seed=0):
     rng = np.random.default_rng(seed)
     part = lambda *shape: (x := rng.random(shape)) / x.sum(axis=-1, keepdims=True)
-    return H.Model(part(states), part(states), part(states, states), part(states, symbols).T.copy())
+    return H.Model(part(states), part(states, states), part(states, symbols).T.copy())
 
 
 def all_paths(sequence, model, first):
@@ -29,28 +29,36 @@ def all_paths(sequence, model, first):
     return out
 
 
-def test_forward_and_expected_counts_against_all_paths():
+@pytest.mark.parametrize("kept", [None, 1, 2, 3])
+def test_forward_and_expected_counts_against_all_paths(kept):
+    """Counts of whole texts, also where the forward states of kept steps only are held."""
     model = small_model()
-    sequences = [np.array(s) for s in ([1], [0, 2, 4, 4], [3, 3], [4, 0, 1, 2, 3])]
+    sequences = [np.array(s) for s in ([1], [0, 2, 4, 4], [3, 3], [4, 0, 1, 2, 3, 3, 1])]
     scores = H.forward_scores(sequences, model)
     found, want = H.Expected(5, 3), H.Expected(5, 3)
-    first = np.array([True, False, True, True])
-    found.add(sequences, first, model)
-    for s, score, is_first in zip(sequences, scores, first, strict=True):
-        assert math.exp(score) == pytest.approx(sum(all_paths(s, model, model.first).values()))
-        paths = all_paths(s, model, model.first if is_first else model.inside)
+    found.add(sequences, model, kept)
+    for s, score in zip(sequences, scores, strict=True):
+        paths = all_paths(s, model, model.first)
         total = sum(paths.values())
+        assert math.exp(score) == pytest.approx(total)
         want.log += math.log(total)
         for path, p in paths.items():
+            want.first[path[0]] += p / total
             for t, k in enumerate(path):
                 want.signs[s[t], k] += p / total
-                want.inside[k] += p / total
                 if t:
                     want.moves[path[t - 1], k] += p / total
-            if is_first:
-                want.first[path[0]] += p / total
     assert np.allclose(found.signs, want.signs) and np.allclose(found.moves * model.moves, want.moves)
-    assert np.allclose(found.first, want.first) and np.allclose(found.inside, want.inside) and found.log == pytest.approx(want.log)
+    assert np.allclose(found.first, want.first) and found.log == pytest.approx(want.log)
+
+
+def test_a_texts_borders_change_its_counts():
+    """A text's counts are not those of its halves: nothing is cut in training."""
+    model, text = small_model(), np.random.default_rng(3).integers(0, 5, 400)
+    whole, halves = H.Expected(5, 3), H.Expected(5, 3)
+    whole.add([text], model)
+    halves.add([text[:200], text[200:]], model)
+    assert (whole.moves * model.moves).sum() == pytest.approx(399) and (halves.moves * model.moves).sum() == pytest.approx(398)
 
 
 def test_query_counts_and_base(spark):
@@ -74,7 +82,7 @@ def test_query_counts_and_base(spark):
     assert better > 0.8 * sum(held.values())
 
 
-def test_small_head_gives_the_same_counts_and_sums_to_one(spark, monkeypatch):
+def test_small_head_gives_the_same_counts(spark, monkeypatch):
     texts = ["a b c", "a a b", "b d", None, "", "c c c a"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     none = F.lit(False)
@@ -86,6 +94,56 @@ def test_small_head_gives_the_same_counts_and_sums_to_one(spark, monkeypatch):
         assert small[k].base_score == pytest.approx(r.base_score) and small[k].n_known == r.n_known == r.n_tokens
 
 
+@pytest.mark.parametrize("head", [0, 1, 3, 5, 6, 40, 100])
+def test_head_is_full_whatever_the_ties(spark, monkeypatch, head):
+    monkeypatch.setattr(H, "HEAD", head)
+    rows = [(b"w%d" % i, 7 if i < 4 else 6 if i < 6 else 5) for i in range(50)]
+    found = H.head_of(spark.createDataFrame(rows, "word binary, n long"))
+    assert len(found) == len(set(found)) == min(head, 50) and set(found) <= set(rows)
+    assert sorted((n for _, n in found), reverse=True) == sorted((n for _, n in rows), reverse=True)[:head]
+    assert H.head_of(spark.createDataFrame([], "word binary, n long")) == []
+
+
+def plain_score(tokens, vocab, counts, model):
+    """log10 probability of a text by all paths of states; a word of a class has its share of the class."""
+    symbols, shares = [], 0.0
+    for w in tokens:
+        place = vocab.head.get(w)
+        if place is not None and vocab.symbols[place] < vocab.own:
+            symbols.append(int(vocab.symbols[place]))
+            continue
+        k = H.class_of(w)
+        symbols.append(vocab.own + k)
+        own = {x for x, i in vocab.head.items() if vocab.symbols[i] < vocab.own}
+        inside = {x: n for x, n in counts.items() if x not in own and H.class_of(x) == k}
+        shares += math.log10((counts.get(w, 0) + 1) / (sum(inside.values()) + len(inside) + 1))
+    return math.log10(sum(all_paths(np.array(symbols), model, model.first).values())) + shares
+
+
+def test_scores_by_brute_force_and_their_sum(spark, monkeypatch):
+    """score of known, rare, unknown and long words; and the probabilities of all words, first and after a first one, are one."""
+    monkeypatch.setattr(H, "HEAD", 3)
+    monkeypatch.setattr(H, "OWN", 2)
+    train = ["a b c a", "a b long" + "g" * 80, "b a d e", "c a"]
+    words = ["a", "b", "c", "d", "e", "long" + "g" * 80]
+    unknown = {}
+    for i in range(20_000):
+        unknown.setdefault(H.class_of(w := b"%xu%x" % (i, i * 37 % 65536)), w)
+    assert len(unknown) == H.CLASSES
+    asked = [f"{x} {y}" for x in words for y in words] + ["", "a", "a b u1 c", "u1 u2"]
+    df = spark.createDataFrame([(str(i), t, i < 4) for i, t in enumerate([*train, *asked])], "doc_id string, text string, learn boolean")
+    rows = {int(r.doc_id): r for r in H.hmm_scores(df, ~F.col("learn"), rounds=3, states=2).collect()}
+    counts = Counter(w for t in train for w in [*H.words_of(t), H.END])
+    learned = spark.createDataFrame([(t,) for t in train], "text string")
+    vocab = H.vocabulary(H.word_counts(learned))
+    model, _ = H.trained(H.encoded(learned.select("text", F.lit("").alias("key"), F.lit(False).alias("held_out")), vocab), vocab, 3, 2)
+    for i, t in enumerate([*train, *asked]):
+        assert rows[i].score == pytest.approx(plain_score([*H.words_of(t), H.END], vocab, counts, model), abs=1e-6)
+    every = [*(H.words_of(w)[0] for w in words), H.END, *unknown.values()]
+    assert sum(10 ** plain_score([w], vocab, counts, model) for w in every) == pytest.approx(1.0)
+    assert sum(10 ** plain_score([b"a", w], vocab, counts, model) for w in every) == pytest.approx(10 ** plain_score([b"a"], vocab, counts, model))
+
+
 def test_training_raises_the_likelihood(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(300)
     rows = docs.select("text", F.col("doc_id").alias("key"), F.lit(False).alias("held_out"))
