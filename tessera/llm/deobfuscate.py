@@ -22,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality_ftrl import Ftrl
+from .shared import Sent
 
 BITS = 20
 WORDS_KEPT = 300_000
+WORD_KEPT = 64  # characters of a token that is remembered
+UNLABELLED = -4.0  # the bias where nothing is labelled: a text scores 0.018, as nothing is known to be toxic
 
 # Which letters a sign may stand for, and the separators of spaced-out words.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l"}
@@ -118,26 +121,54 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(steps: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The best reading of a lattice as a word, between two word ends."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The best reading of a lattice as a word, between two word ends.
+
+    A state is the last two letters.  Each step notes, for every state, the state before and
+    the letters of its best way there; the reading is put together once, from the end.
+    """
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    ways: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    at, symbol = model.item, _SYMBOL.get
     for options in [*steps, [(" ", 0.0)]]:
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, read) in best.items():
+        if len(best) == len(options) == 1:  # one way on: its cost moves no choice
+            (state,), letters = best, options[0][0]
+            to = (*state, *(symbol(c, OTHER) for c in letters[-2:]))[-2:]
+            best = {to: 0.0}
+            ways.append({to: (state, letters)})
+            continue
+        now: dict[tuple[int, int], float] = {}
+        way: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for state, score in best.items():
             for letters, cost in options:
-                x, y, total = a, b, score + cost
+                (x, y), total = state, score + cost
                 for c in letters:
-                    k = _SYMBOL.get(c, OTHER)
-                    total += float(model[x, y, k])
+                    k = symbol(c, OTHER)
+                    # Each letter costs about one; without this reward the empty reading would always win.
+                    total += at(x, y, k) + 1.0
                     x, y = y, k
-                # Each letter costs about one; without this reward the empty reading would always win.
-                total += 1.0 * len(letters)
-                if (x, y) not in now or now[x, y][0] < total:
-                    now[x, y] = (total, read + letters)
+                to = (x, y)
+                if to not in now or now[to] < total:
+                    now[to] = total
+                    way[to] = (state, letters)
         best = now
-    return max(best.values())[1].strip()
+        ways.append(way)
+    state, read = max(best, key=lambda s: (best[s], s)), []
+    for way in reversed(ways):
+        state, letters = way[state]
+        read.append(letters)
+    return "".join(reversed(read)).strip()
+
+
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(rf"[0-9@$!|+€(¡£{INVISIBLE}]")
+_CROSSED = re.compile(rf"[^\W\d_][{HIDDEN}]+[^\W\d_]|([^\W\d_])\1\1")
+
+
+def disguised(token: str) -> bool:
+    """Whether a token has a letter and a sign that may stand for one, a crossed-out letter or one written three times; one scan each."""
+    return bool(_SIGN.search(token) and _LETTER.search(token) or _CROSSED.search(token))
 
 
-_DISGUISE = re.compile(rf"(?=.*[^\W\d_])(?=.*[0-9@$!|+€(¡£{INVISIBLE}])|[^\W\d_][{HIDDEN}]+[^\W\d_]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<![^\s])[^\s](?:[ .\-_*~/][^\s.\-_*~/]){2,}(?![^\s.,;:!?])")
 _SIGN_TAIL = re.compile(r"(?:([^\w\s])\1\1+|[.,;:!?'\")\]}…»]+)$")
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
@@ -146,7 +177,7 @@ _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 def restore_token(token: str, model: np.ndarray) -> str:
     """The restored reading of one lower-cased token; words inside it are separated by spaces."""
     token = _SIGN_TAIL.sub("", token)
-    if _DISGUISE.search(token):
+    if disguised(token):
         return viterbi(lattice(token), model)
     return token.strip(PUNCTUATION)
 
@@ -167,7 +198,7 @@ def restored_text(text: str, model: np.ndarray) -> str:
 
 
 def hashed(kind: str, word: str) -> int:
-    return zlib.crc32(f"{kind}{word}".encode("utf-8", "surrogatepass")) >> (32 - BITS)
+    return max(1, zlib.crc32(f"{kind}{word}".encode("utf-8", "surrogatepass")) >> (32 - BITS))  # 0 is the bias alone
 
 
 def word_features(word: str) -> tuple[int, int, int]:
@@ -184,7 +215,8 @@ class Restorer(dict):
 
     def __missing__(self, token: str) -> tuple[int, ...]:
         found = tuple(x for w in restore_token(token, self.model).split() or [""] for x in word_features(w))
-        self[token] = found
+        if len(token) <= WORD_KEPT:
+            self[token] = found
         return found
 
     def positions(self, text: str) -> np.ndarray:
@@ -203,21 +235,6 @@ class Restorer(dict):
         return np.fromiter(found, np.int64, len(found))
 
 
-class Sent:
-    """A broadcast with a number by which workers know it again."""
-
-    def __init__(self, spark, value):
-        self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = self.broadcast._jbroadcast.id()
-
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
-
-    @property
-    def value(self):
-        return self.broadcast.value
-
-
 _RESTORERS: dict[int, Restorer] = {}
 
 
@@ -230,7 +247,10 @@ def restorer(sent: Sent) -> Restorer:
 
 
 def fit_toxicity(sample: DataFrame, model: np.ndarray, epochs: int = 8, text: str = "text", label: str = "y") -> np.ndarray:
-    """Weights from a bounded labelled sample: texts become positions where they are, one task learns from those."""
+    """Weights from a bounded labelled sample: texts become positions where they are, one task learns from those.
+
+    Without any labelled row the bias alone has a weight, UNLABELLED, so that no text is called toxic.
+    """
     sent = Sent(sample.sparkSession, model)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,18 +267,24 @@ def fit_toxicity(sample: DataFrame, model: np.ndarray, epochs: int = 8, text: st
                 at, y = read[i]
                 learner.learn(at, np.ones(len(at)), y)
         w = learner.weights().astype("<f4")
-        at = np.flatnonzero(w)
+        at = np.union1d(np.flatnonzero(w), [0])
         yield pd.DataFrame({"at": at, "w": w[at]})
 
     sparse = sample.select(F.col(text).alias("text"), F.col(label).alias("y")).mapInPandas(rows, "o long, at binary, y double")
     weights = np.zeros(1 << BITS, np.float32)
-    for r in sparse.repartition(1).sortWithinPartitions("o", "y").mapInPandas(learn, "at long, w float").collect():  # 2 ** BITS rows at most
+    learned = sparse.repartition(1).sortWithinPartitions("o", "y").mapInPandas(learn, "at long, w float").collect()  # 2 ** BITS rows at most
+    for r in learned:
         weights[r.at] = r.w
+    if not learned:  # no row, so no task
+        weights[0] = UNLABELLED
     return weights
 
 
 def toxicity_scores(df: DataFrame, model: np.ndarray, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
-    """df with the score of every whole restored text: 0 to 1; null texts count as empty and score the bias alone."""
+    """df with the score of every whole restored text: 0 to 1; null texts count as empty and score the bias alone.
+
+    A column of df with the name out, in any case, is replaced.
+    """
     spark = df.sparkSession
     sent, learned = Sent(spark, model), spark.sparkContext.broadcast(weights)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 BITS = 18  # weights: 2 ** BITS
 WORDS_KEPT = 400_000
+WORD_KEPT = 64  # characters of a word that is remembered; longer ones are read anew each time
 MULTIPLIER = np.uint32(0x9E3779B1)  # spreads the products of neighbouring words' hashes
 
 
@@ -74,7 +75,7 @@ class Words(dict):
             self.clear()
         core = word.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
         shape = []
-        for part in _CUT.findall(word[:64]):
+        for part in _CUT.findall(word):
             if part[0].isdigit():
                 shape.append("9")
             elif part[0].isalpha():
@@ -82,7 +83,8 @@ class Words(dict):
             else:
                 shape.append(part)
         packed = zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) << 32 | zlib.crc32("".join(shape).encode("utf-8", "surrogatepass"))
-        self[word] = packed
+        if len(word) <= WORD_KEPT:
+            self[word] = packed
         return packed
 
 
@@ -92,7 +94,8 @@ _WORDS = Words()
 def features(text: str) -> np.ndarray:
     """Hashed positions, with repeats, of the words, word pairs, shapes, shape pairs and echoes of a whole text.
 
-    An echo is a word that equals the one before, or the one two before.  Position 0 is the bias.
+    An echo is a word that equals the one before, or the one two before.  Position 0 is the
+    bias alone; what would hash to it is at 1.
     """
     words = text.split()
     if not words:
@@ -103,14 +106,14 @@ def features(text: str) -> np.ndarray:
     shapes = shape[:-1] * MULTIPLIER ^ shape[1:] ^ np.uint32(0x5BD1E995)
     echo = np.concatenate([np.where(core[1:] == core[:-1], np.uint32(11), np.uint32(12)), np.where(core[2:] == core[:-2], np.uint32(13), np.uint32(14))])
     mixed = np.concatenate([core, pair, shape ^ np.uint32(0xA5A5A5A5), shapes, echo]) * MULTIPLIER
-    return np.append((mixed >> np.uint32(32 - BITS)).astype(np.int64), 0)
+    return np.append(np.maximum((mixed >> np.uint32(32 - BITS)).astype(np.int64), 1), 0)
 
 
 def sparse_row(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct positions and their values: counts over the square root of the number of words, and 1 for the bias."""
     at, counts = np.unique(features(text), return_counts=True)
     x = counts / np.sqrt(max(1, counts.sum() / 5))
-    x[0] = 1.0 if at[0] == 0 else x[0]
+    x[0] = 1.0  # the bias, which every text has
     return at, x
 
 
@@ -127,6 +130,8 @@ def score_text(text: str, weights: np.ndarray) -> float:
 def fit_quality(sample: DataFrame, epochs: int = 3, text: str = "text", label: str = "y") -> np.ndarray:
     """Weights from a bounded labelled sample: rows become sparse rows where they are, one task runs the learner over them.
 
+    Without rows all weights are zero and every text scores 0.5: nothing is known against any.
+
     sample is bounded by the caller (see labelled_sample); it is put in the order of its
     hashed text, so the weights don't depend on how it was partitioned.
     """
@@ -146,7 +151,10 @@ def fit_quality(sample: DataFrame, epochs: int = 3, text: str = "text", label: s
 
 
 def quality_scores(df: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
-    """df with the score of every whole text (0 to 1; null texts count as empty and score the bias alone)."""
+    """df with the score of every whole text (0 to 1; null texts count as empty and score the bias alone).
+
+    A column of df with the name out, in any case, is replaced.
+    """
     sent = df.sparkSession.sparkContext.broadcast(weights)  # 2 ** BITS numbers
 
     @F.pandas_udf("double")

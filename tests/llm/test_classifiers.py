@@ -131,3 +131,31 @@ def test_neighbours_of_spaced_words(model):
     for text in ("you are a s t u p i d person", "what a l o s e r", "i d i o t y yes"):
         word = next(w for w in ("stupid", "loser", "idiot") if " ".join(w) in text)
         assert set(D.word_features(word)) <= set(by.positions(text).tolist())
+
+
+def test_long_tokens_take_linear_time(model):
+    import time
+
+    for token in ("日本語" * 70_000, "id10t-" * 35_000, "a*" * 100_000, "1" * 200_000 + "a"):
+        began = time.time()
+        D.restored_text(token, model)
+        assert time.time() - began < 20
+
+
+def test_bias_has_its_own_position(model):
+    for text in ("", "one two", "ÄÖ x1y " * 50):
+        assert (Q.features(text) == 0).sum() == 1 and Q.features(text)[-1] == 0
+    assert D.hashed("w", "x") > 0 and 0 in D.Restorer(model).positions("")
+
+
+def test_shapes_read_whole_words():
+    base = "a" * 70
+    assert Q._WORDS[base + "B9!"] != Q._WORDS[base + "b"] and Q._WORDS[base + "B"] & 0xFFFFFFFF != Q._WORDS[base + "9"] & 0xFFFFFFFF
+    assert base + "B" not in Q._WORDS
+
+
+def test_without_labels(spark, tmp_path):
+    spark.createDataFrame([(i, f"harmless text {i}") for i in range(10)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {(round(r.score, 3), r.predicted) for r in queries.op5_toxicity(spark, str(tmp_path)).collect()} == {(0.018, 0)}
+    assert {r.score for r in queries.op7_quality(spark, str(tmp_path)).collect()} == {0.5}
