@@ -8,14 +8,17 @@ stretches around hits are verified, by Myers' bit-parallel edit distance.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-ITEMS_AT_ONCE = 10_000  # items of one automaton; more items take more passes over the texts
+from .shared import Sent
+
+ITEMS_AT_ONCE = 10_000  # items of one automaton, and their characters; more take more passes over the texts
+CHARACTERS_AT_ONCE = 8_000_000
 
 
 def normalised(text: str | None) -> str:
@@ -31,7 +34,7 @@ def pieces(item: str, rate: float) -> list[tuple[int, str]]:
     """(offset, piece) of budget + 1 pieces of nearly equal length."""
     n = budget(len(item), rate) + 1
     cuts = [len(item) * i // n for i in range(n + 1)]
-    return [(a, item[a:b]) for a, b in itertools.pairwise(cuts)]
+    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def best_end(pattern: str, text: str) -> tuple[int, int]:
@@ -64,7 +67,7 @@ def best_end(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple], rate: float):
         import ahocorasick
 
         self.items = [(k, t) for k, t in ((k, normalised(t)) for k, t in items) if t]
@@ -78,7 +81,7 @@ class Matcher:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: str | None) -> list[tuple]:
         """(item, distance, begin, end) of the best occurrence of each item within its budget; places are those of the normalised text."""
         if not self.items or not (plain := normalised(text)):
             return []
@@ -120,52 +123,76 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items with a key and a text in blocks of ITEMS_AT_ONCE; one empty block if there are none."""
-    rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator()
-    blocks = iter(lambda: [(int(r[0]), r[1]) for r in itertools.islice(rows, ITEMS_AT_ONCE)], [])
-    return itertools.chain([next(blocks, [])], blocks)
+_MATCHERS: dict[int, Matcher] = {}
+
+
+def matcher(sent: Sent) -> Matcher:
+    """This worker's automaton for a block of items; one is kept at a time."""
+    if sent.id not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[sent.id] = Matcher(*sent.value)
+    return _MATCHERS[sent.id]
+
+
+def item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple]]:
+    """The items with a key and a text in blocks bounded by number and characters; one empty block if there are none."""
+    block, held, blocks = [], 0, 0
+    for key, text in items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator():
+        if block and (len(block) >= ITEMS_AT_ONCE or held + len(text) > CHARACTERS_AT_ONCE):
+            yield block
+            block, held, blocks = [], 0, blocks + 1
+        block.append((key, text))
+        held += len(text)
+    if block or not blocks:
+        yield block
 
 
-def holds_none(sent):
+def holds_none(sent: Sent):
     """A filter for texts without any item of a broadcast (items, rate)."""
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matcher = Matcher(*sent.value)
+        found = matcher(sent)
         for texts in batches:
-            yield pd.Series([not matcher.matches(t) for t in texts], dtype=bool)
+            yield pd.Series([not found.matches(t) for t in texts], dtype=bool)
 
     return clean
 
 
 def uncontaminated(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
-    """The rows of df whose whole text holds no test item within its budget (see contaminated); null and empty texts stay."""
+    """The rows of df, with all their columns, whose whole text holds no test item within its budget (see contaminated); null and empty texts stay."""
     for block in item_blocks(items, item_key, item_text):
-        df = df.where(holds_none(df.sparkSession.sparkContext.broadcast((block, rate)))(F.col(text).cast("string")))
+        df = df.where(holds_none(Sent(df.sparkSession, (block, rate)))(F.col(text).cast("string")))
     return df
 
 
 def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
     """(key, item_id, distance, begin, end): the best occurrence of every test item in every whole text, within rate edits a character.
 
-    Null or empty texts and items match nothing; equal items and repeated rows each have
-    their own rows; rows come back whatever their key, null too.  Items are read in blocks,
-    each of which is matched against all texts; no text is moved.
+    Of an item that a text holds more than once, only the occurrence with the fewest edits, the
+    first of equals, has a row.  begin and end are places of the normalised text.  Keys of texts
+    and items keep their types.  Null or empty texts and items match nothing; equal items and
+    repeated rows each have their own rows; rows come back whatever their key, null too.  Other
+    columns of df don't matter.  Items are read in blocks, each of which is matched against all
+    texts; no text is moved.
     """
     spark = df.sparkSession
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    types = source.schema["key"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     found = None
     for block in item_blocks(items, item_key, item_text):
-        sent = spark.sparkContext.broadcast((block, rate))
+        sent = Sent(spark, (block, rate))
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(*sent.value)
+            by = matcher(sent)
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                out = [(k, *m) for k, t in zip(keys, texts, strict=True) for m in matcher.matches(t)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], names=["key", "item_id", "distance", "begin", "end"])
+                texts = batch.column(1).to_pylist()
+                out = [(i, *m) for i, t in enumerate(texts) for m in by.matches(t)]
+                keys = batch.column(0).take(pa.array([r[0] for r in out], pa.int64()))
+                numbers = [pa.array([r[i] for r in out], pa.int64()) for i in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in out], item_type), *numbers], names=["key", "item_id", "distance", "begin", "end"])
 
-        part = source.mapInArrow(match, "key long, item_id long, distance long, begin long, end long")
+        part = source.mapInArrow(match, f"key {types[0]}, item_id {types[1]}, distance long, begin long, end long")
         found = part if found is None else found.unionByName(part)
     return found.withColumnRenamed("key", key)

@@ -72,3 +72,12 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in C.contaminated(df, bench).collect()) == [(1, 1, 0), (1, 1, 0), (1, 3, 0), (1, 3, 0)]
     assert C.contaminated(df.limit(0), bench).count() == 0
     assert C.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_keys_of_any_type(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "some words about nothing much"), (None, "words about nothing")], "doc_id string, text string")
+    bench = spark.createDataFrame([("i1", "words about nothing"), ("i2", "quite another text")], "item_id string, text string")
+    for most in (8_000_000, 5):
+        monkeypatch.setattr(C, "CHARACTERS_AT_ONCE", most)
+        assert sorted((r.doc_id or "", r.item_id, r.distance) for r in C.contaminated(df, bench).collect()) == [("", "i1", 0), ("a", "i1", 0)]
+        assert C.uncontaminated(df, bench).count() == 0
