@@ -110,10 +110,10 @@ def deduplicated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", m
     (lines end at line feeds; blank lines belong to no run and stay); deleted: the numbers, from
     0, of the deleted lines; runs: (first, last) line number of each maximal deleted run, blank
     lines inside a run aside.  Copies are ordered by key, nulls last, and line; among rows of
-    equal keys one is the earlier.  Null texts stay null and have no lines; lines are equal if
-    all their bytes are.
+    equal keys one is the earlier.  The key may be of any type that sorts.  Null texts stay null
+    and have no lines; lines are equal if all their bytes are.
     """
-    docs = written(df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "docs")
+    docs = written(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "docs")
     order = ranked(docs.select(F.col("key").isNull().alias("none"), "key", "row"), ["none", "key", "row"], "doc").select("row", "doc")
     lines = written(line_rows(docs, min_words).join(order, "row").select((F.col("doc") * LINES + F.col("seq")).alias("at"), "row", "line", "id", "ahead", "back"), "lines")
     gone = later_windows(lines, min_words)
@@ -129,5 +129,13 @@ def deduplicated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", m
 
 
 def kept_lines(text: Column, deleted: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(deleted, i.cast("long")))
-    return F.when(F.size(deleted) == 0, text).otherwise(F.array_join(kept, "\n"))
+    """text without the lines of deleted, which are in order: the stretches between them, so the cost is that of the text."""
+
+    def stretches(lines: Column, gone: Column) -> Column:
+        cuts = F.concat(F.array(F.lit(-1).cast("bigint")), gone, F.array(F.size(lines).cast("bigint")))
+        # Arguments of a lambda are evaluated once; an expression inside it would be for each element.
+        between = F.transform(F.array(F.struct(cuts.alias("cuts"), lines.alias("lines"))), lambda x: F.flatten(F.transform(F.arrays_zip(F.slice(x["cuts"], F.lit(1), F.size(x["cuts"]) - 1), F.slice(x["cuts"], F.lit(2), F.size(x["cuts"]) - 1)), lambda c: F.slice(x["lines"], (c["0"] + 2).cast("int"), (c["1"] - c["0"] - 1).cast("int")))))
+        return F.get(between, F.lit(0))
+
+    bound = F.transform(F.array(F.struct(F.split(text, "\n", -1).alias("lines"), deleted.alias("gone"))), lambda x: stretches(x["lines"], x["gone"]))
+    return F.when(F.size(deleted) == 0, text).otherwise(F.array_join(F.get(bound, F.lit(0)), "\n"))
