@@ -15,15 +15,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import written
 
 BUCKETS = 8192
 SHRINK = 4.0  # tokens of the overall mix added to every bucket of every domain
 REPEAT = 3  # how often a measure's bin counts among the words
+IN_GROUP = 65_536  # rows of a group within which copies are drawn
 SCALE = 256  # evidence is added up in steps of 1 / SCALE
 WHITE = " \t\n\u000B\f\r"
+OWN = ("drawn_by", "n_tokens", "posterior", "rate", "copies", "group_", "upto_")
 MARKS, CAPITALS = "[!-/:-@\\[-`{-~]", "[A-Z]"
 
 
@@ -164,18 +166,32 @@ def fit_rates(table: DataFrame, domains: list[str], targets: dict[str, float], m
     return Mix(table, rate, domains, goal, totals, steps)
 
 
-def copies_of(rate: Column, key: Column) -> Column:
-    """Whole copies with the rate as expectation: its floor, or the next by a hash of the key."""
-    base = F.floor(rate)
-    drawn = F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) / 1_000_000
-    return (base + F.when(drawn < rate - base, 1).otherwise(0)).cast("int")
+def with_copies(table: DataFrame, rows: int) -> DataFrame:
+    """table (n_tokens, posterior, rate, drawn_by, ...) of so many rows with copies: each the rate's floor or the next number, with the rate as expectation.
+
+    Drawn systematically: rows are dealt into groups of about IN_GROUP; within one, ordered by
+    domain and length, copies are the steps of the rates' running sum from a start drawn for
+    the group.  Rows alike make up for each other's fractions, so the totals by domain come
+    out as fitted up to a few documents a group, whereas draws for each row would add up their
+    chances.  Rows, not keys, are dealt, so no key makes a large group; table is read as stored,
+    so a task that is run again deals alike.
+    """
+    groups = max(1, -(-rows // IN_GROUP))
+    dealt = table.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    largest = F.array_position("posterior", F.array_max("posterior"))
+    by = Window.partitionBy("group_").orderBy(largest, "n_tokens", "drawn_by")
+    start = (F.pmod(F.xxhash64(F.col("group_"), F.lit(17)), F.lit(1_000_000)) + 0.5) / 1_000_000
+    upto = dealt.withColumn("upto_", start + F.sum("rate").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.coalesce(F.lag("upto_").over(by), start)
+    return upto.withColumn("copies", (F.floor("upto_") - F.floor(before)).cast("int")).drop("group_", "upto_")
 
 
 def memberships(df: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text", temper: float = 2.0, carry: list[str] | None = None) -> DataFrame:
-    """A written table (carry..., drawn_by, n_tokens, posterior): hash of key and text, words of every whole text, its domain posteriors."""
-    carry = [key] if carry is None else carry
-    if clash := {"n_tokens", "posterior", "rate", "copies", "drawn_by"} & set(carry):
-        raise ValueError(f"df already has the columns {sorted(clash)}")
+    """A written table (carry..., drawn_by, n_tokens, posterior): hash of key and text, words of every whole text, its domain posteriors.
+
+    Columns of carry with one of the names OWN are replaced.
+    """
+    carry = [c for c in ([key] if carry is None else carry) if c.lower() not in OWN]
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     hashed = df.select(*carry, F.xxhash64(F.col(key), whole).alias("drawn_by"), hashes(whole).alias("posterior"))  # hashes until the next line
     logits = F.array(*model.logits(F.col("posterior"), temper)) if model.domains else F.array().cast("array<double>")
@@ -186,7 +202,7 @@ def memberships(df: DataFrame, model: DomainModel, key: str = "doc_id", text: st
 def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, total_of: str | None = None, carry: list[str] | None = None, whole: str | None = None) -> DataFrame:
     """(carry..., n_tokens, posterior, rate, copies) for every row of df.
 
-    Copies have the rate as expectation.  whole: a domain whose rows, those that belong to it
+    Copies have the rate as expectation (see with_copies).  whole: a domain whose rows, those that belong to it
     more than to all others, have a rate of 1 at least.
 
     weights: share of each domain of the model; domains without one get none.  The mix has
@@ -194,18 +210,18 @@ def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str
     tokens it has.  Null and empty texts have no tokens, the posterior of their empty
     evidence, and the rate of that posterior; repeated rows have equal rates.  Targets that no
     rates reach (a domain that no document belongs to) are met as nearly as least squares can.
+    Columns of carry with a name of the result's own are replaced.
     """
     table = memberships(df, model, key, text, carry=carry)
     names = model.domains
     if names:
-        now = table.agg(*[F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(len(names))]).first()
+        now = table.agg(F.count("*").alias("rows"), *[F.sum(F.col("n_tokens") * F.col("posterior")[i]).alias(f"t{i}") for i in range(len(names))]).first()
         have = {name: now[f"t{i}"] or 0.0 for i, name in enumerate(names)}
         share = {name: weights.get(name, 0.0) / max(1e-12, sum(weights.values())) for name in names}
         if total is None:
             total = have[total_of] / share[total_of] if total_of in have and share[total_of] > 0 else sum(have.values())
         least = F.when(F.col("posterior")[names.index(whole)] > 0.5, 1.0).otherwise(0.0) if whole in names else None
         fitted = fit_rates(table, names, {name: share[name] * total for name in names}, least=least)
-        rate = fitted.rate
-    else:
-        rate = F.lit(1.0)  # nothing is labelled: every document stays as it is
-    return table.withColumn("rate", rate.cast("double")).withColumn("copies", copies_of(F.col("rate"), F.col("drawn_by"))).drop("drawn_by")
+        return with_copies(table.withColumn("rate", fitted.rate.cast("double")), now.rows).drop("drawn_by")
+    # nothing is labelled: every document stays as it is
+    return table.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1)).drop("drawn_by")
