@@ -1,9 +1,12 @@
-"""Near-duplicates by exact similarity of word shingles (second stage of the pipeline).
-
-Texts with the same set of shingles are one node.  Candidates share a band of MinHash values
-and are verified on the shingles themselves.  Each band's bucket is first a star around its
-smallest node; after that only pairs of nodes that the stars left in different components are
-compared, all of them, so a dense group of copies costs its size and not its square.
+"""Operator 8 at a similarity of word shingles instead of a radius (second stage of the pipeline).
+
+Texts with the same set of shingles are one node.  Nodes get a SimHash fingerprint, and the
+operator's tiled exact comparison (see simhash) links those within its radius; every link is
+verified on the shingles themselves.  A similarity of 0.8 reaches further than tiles can (such
+fingerprints differ in some ten bits), so further candidates share a band of MinHash values,
+and are verified likewise.  Each band's bucket is first a star around its smallest node; after
+that only pairs of nodes that the links so far left in different components are compared, all
+of them, so a dense group of copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import component_labels
 from .shared import written
+from .simhash import majority_bits, near_links
 
 BANDS, IN_BAND = 24, 5  # a pair at similarity s shares a band with probability 1 - (1 - s**5)**24: 0.9999 at 0.8
 AT_ONCE = 4096  # shingles hashed at a time
@@ -74,31 +78,39 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
     return written(both.where(holds("first", "second")).select("a", "b"), "alike")
 
 
-def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
+def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5, radius: int = 2) -> DataFrame:
     """(key, text_hash) of one text, that with the smallest key, of every group of texts linked by similar pairs.
 
-    Rows with a null key are in no group.  Unlinked texts under one key each have a row.
+    Rows with a null key are in no group.  Unlinked texts under one key each have a row.  Null
+    texts count as empty, and all empty ones are one group.  Other columns of df don't matter.
     """
 
-    @F.pandas_udf("fp long, bands array<bigint>")
+    @F.pandas_udf("fp long, bits long, bands array<bigint>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t or "", shingle_words) for t in texts]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fp, "bands": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"fp": fp, "bits": np.array([majority_bits(s) for s in sets], np.int64), "bands": [band_keys(s) for s in sets]})
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", text_hash(F.col("text")))
-    prints = written(rows.select("key", "text_hash", signed("text").alias("s")).select("key", "text_hash", "s.fp", "s.bands"), "prints")
-    nodes = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("key", "text_hash")).alias("least"), F.first("bands").alias("bands")), "nodes")
+    prints = written(rows.select("key", "text_hash", signed("text").alias("s")).select("key", "text_hash", "s.fp", "s.bits", "s.bands"), "prints")
+    nodes = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("key", "text_hash")).alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+
+    filled = nodes.where(F.size("bands") > 0)  # the empty text is like no other
+    heads = written(filled.groupBy(F.col("bits").alias("fp")).agg(F.min("node").alias("node"), F.count("*").alias("n")), "fingerprints")
+    same = filled.join(heads.where("n > 1").select(F.col("fp").alias("bits"), F.col("node").alias("head")).hint("merge"), "bits").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    tiled = written(near_links(heads.select("fp", "node"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same), "tiles")
 
     dealt = nodes.select("node", F.explode("bands").alias("band"))
     leaders = dealt.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(dealt.join(leaders.hint("merge"), "band"), "buckets")
-    inside = buckets.select("node").distinct().join(nodes.select("node", "least.*"), "node")
+    asked = buckets.select("node").union(tiled.select("a")).union(tiled.select("b")).distinct()
+    inside = asked.join(nodes.select("node", "least.*"), "node")
     found = rows.join(inside.hint("merge"), ["key", "text_hash"]).select("node", F.coalesce("text", F.lit("")).alias("text"))
     texts = written(found.dropDuplicates(["node"]), "texts")
 
-    stars = written(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    stars = written(stars.unionByName(tiled).distinct(), "pairs")
     links = _verified(stars, texts, similarity, shingle_words)
     labels = component_labels(links)
     labelled = buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))

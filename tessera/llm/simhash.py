@@ -37,15 +37,20 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
         hashes = [digest(join(words), 42)]
     else:
         hashes = [digest(join(s), 42) for s in zip(*(words[i:] for i in range(shingle_words)))]
+    return majority_bits(np.array(hashes, np.uint64))
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some hashes, as a signed integer; zero without any."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 50_000):
-        part = np.array(hashes[at : at + 50_000], ">u8")
+        part = hashes[at : at + 50_000].astype(">u8")
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes)).view(">i8")[0])
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", out: str = "fp", shingle_words: int = 3) -> DataFrame:
-    """df with the fingerprint of every whole text as a signed long; null texts count as empty."""
+    """df with the fingerprint of every whole text as a signed long; null texts count as empty, a column with the name out is replaced."""
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -7,7 +8,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from tessera.llm import decontaminate as C, deobfuscate as D, mixing, queries
-from tests.llm.test_simhash import least_labels, plain_print
+from tests.llm.test_shingles import plain_set, similarity
+from tests.llm.test_simhash import least_labels
 
 SF01 = "/root/testdata/sf0.01"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -45,12 +47,11 @@ def test_toxicity_stage(spark, kept):
 
 
 def test_near_dedup_stage(kept):
-    prints = {r.doc_id: plain_print(r.text) for r in kept[1]}
-    known = sorted(prints)
-    values = np.array([prints[d] for d in known], np.uint64)
-    links = [(known[i], known[j]) for i in range(len(known)) for j in np.flatnonzero(np.bitwise_count(values[i] ^ values[i + 1 :]) <= 2) + i + 1]
-    labels = least_labels(known, links)
-    assert sorted(ids(kept[2])) == [d for d in known if labels[d] == d]
+    """All pairs of the stage's input at a similarity of 0.8 on five words."""
+    sets = {r.doc_id: plain_set(r.text) for r in kept[1]}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and similarity(sets[a], sets[b]) >= 0.8]
+    labels = least_labels(sets, links)
+    assert sorted(ids(kept[2])) == sorted(d for d in sets if labels[d] == d)
 
 
 def test_decontamination_stage(spark, kept):
@@ -103,3 +104,28 @@ def test_hard_tables(spark, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
     assert mixing.solved([[2.0, 0.0], [0.0, 4.0]])[1][1] == pytest.approx(0.25)
+
+
+def test_without_labels_nothing_is_toxic(spark, tmp_path):
+    """Empty labels, labels of other documents, and labels without a value reject nothing and change nothing."""
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(60)
+    for i, rows in enumerate(([], [(-5, 1, 1)], [(1, None, None), (2, None, None)])):
+        spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{i}/labels.parquet")
+        assert P.toxicity(spark, docs, f"{tmp_path}/{i}").count() == 60
+        assert P.mix(spark, docs, f"{tmp_path}/{i}").count() == 60
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    names = ["score", "_score", "rate", "Copies", "n_tokens", "posterior", "text_hash", "fp", "doc", "key", "node", "domain", "y", "ids", "shard", "drawn_by"]
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(30)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(i) + F.col("doc_id"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = {r.doc_id: r for r in docs.collect()}
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, SF01)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r == want[r.doc_id] for r in rows), name
+    assert P.token_output(spark, docs, SF01).count() == 30
