@@ -7,6 +7,11 @@ forward-backward recursion over their whole training texts and give their expect
 which are added up across partitions.  A text's probability comes from the scaled forward
 recursion over the whole text, end included.
 
+A long text's stretches run beside each other.  Each stretch's steps, multiplied up, are one
+states x states matrix; by these matrices the states at every border of the text are carried
+forward and backward first, so what a stretch begins and ends with is what the whole text
+says, and nothing is cut.
+
 Counts of all words stay in tables.  Only the HEAD commonest words reach every task; the rest
 of a text's words meet their counts in a join, which no common word takes part in.
 """
@@ -32,9 +37,8 @@ WORD_BYTES = 64  # a longer word goes by its digest, so that a common one can be
 OWN = 4_096  # of those, words with a symbol of their own
 CLASSES = 512
 STATES = 8
-SYMBOLS_AT_ONCE = 262_144  # of the texts that run in lockstep
-LONG_TEXT = 2_048  # symbols; longer texts run with each other
-STEPS_KEPT = 32_768  # steps whose forward states are kept; of longer texts they are computed twice
+STRETCH = 512  # symbols of a long text that run one after another, beside its other stretches
+SYMBOLS_AT_ONCE = 262_144  # of the stretches that run in lockstep
 WORDS_HELD = 300_000
 END = b""  # no word is empty
 
@@ -230,37 +234,109 @@ def start_model(unigram: np.ndarray, states: int = STATES, seed: int = 11) -> Mo
 
 
 class Lockstep:
-    """Sequences side by side, the longest first: at step t the first live[t] of them have a symbol."""
+    """Sequences side by side, the longest first: at step t the first live[t] of them have a symbol, symbols[at[t] : at[t + 1]]."""
 
-    def __init__(self, texts: list[np.ndarray]):
-        sizes = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, parts: list[np.ndarray]):
+        sizes = np.array([len(p) for p in parts], np.int64)
         self.order = np.argsort(-sizes, kind="stable")
-        self.sizes = sizes[self.order]
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.flat = np.concatenate([texts[i] for i in self.order]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        self.depth = int(self.sizes[0]) if len(texts) else 0
-        self.live = np.searchsorted(-self.sizes, -np.arange(self.depth), side="left").tolist()
-
-    def symbols(self, t: int) -> np.ndarray:
-        return self.flat[self.starts[: self.live[t]] + t]
-
-    def forward(self, model: Model, begin: int, end: int, state: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(t, scaled states, scales) of the steps from begin on, after the states of the step before it."""
-        for t in range(begin, end):
-            n = self.live[t]
-            state = (model.first if t == 0 else state[:n] @ model.moves) * model.signs[self.symbols(t)]
-            scale = state.sum(axis=1)
-            state = state / scale[:, None]
-            yield t, state, scale
-
-
-def forward_scores(texts: list[np.ndarray], model: Model) -> np.ndarray:
-    """Natural log probability of each whole sequence, all of them in lockstep."""
-    run, logs = Lockstep(texts), np.zeros(len(texts))
-    for _, _, scale in run.forward(model, 0, run.depth, None):
-        logs[: len(scale)] += np.log(scale)
-    out = np.empty_like(logs)
-    out[run.order] = logs
+        sizes = sizes[self.order]
+        self.depth = int(sizes[0]) if len(sizes) else 0
+        self.live = np.searchsorted(-sizes, -np.arange(self.depth + 1), side="left").tolist()
+        self.at = np.concatenate([[0], np.cumsum(self.live)]).tolist()
+        flat = np.concatenate([parts[i] for i in self.order]).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.symbols = flat[np.argsort(step, kind="stable")]
+
+    def forward(self, model: Model, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of the symbols, scaled states and scales of all steps; entry: expected states at each sequence's first symbol."""
+        signs = model.signs[self.symbols]
+        states, scales, ones = np.empty_like(signs), np.empty(len(signs)), np.ones(signs.shape[1])
+        now = entry[self.order]
+        for t in range(self.depth):
+            a, b = self.at[t], self.at[t + 1]
+            here = states[a:b]
+            if t:
+                np.matmul(now[: b - a], model.moves, out=here)
+                here *= signs[a:b]
+            else:
+                np.multiply(now, signs[a:b], out=here)
+            np.matmul(here, ones, out=scales[a:b])
+            here /= scales[a:b, None]
+            now = here
+        return signs, states, scales
+
+
+def transfers(parts: list[np.ndarray], model: Model) -> np.ndarray:
+    """A matrix for each sequence, up to a factor: the probability of its symbols and its last state, by the state of its first symbol."""
+    run, k = Lockstep(parts), len(model.first)
+    now = np.tile(np.eye(k), (len(parts), 1, 1))
+    for t in range(run.depth):
+        n = run.live[t]
+        here = now[:n]
+        if t:
+            here = (here.reshape(-1, k) @ model.moves).reshape(n, k, k)
+        here = here * model.signs[run.symbols[run.at[t] : run.at[t + 1]], None, :]
+        if t % 8 == 7 or t == run.depth - 1:
+            here /= here.sum(axis=(1, 2), keepdims=True)
+        now[:n] = here
+    out = np.empty_like(now)
+    out[run.order] = now
+    return out
+
+
+class Stretches:
+    """Texts as stretches of STRETCH symbols at most, with what their whole texts say at the borders.
+
+    owner: the text of each; entry: expected states at its first symbol; before: scaled states
+    before it, zero for a text's first; back: relative probability of the rest of the text by
+    its last state.
+    """
+
+    def __init__(self, texts: list[np.ndarray], model: Model, stretch: int | None = None):
+        size = stretch or STRETCH
+        self.parts = [t[i : i + size] for t in texts for i in range(0, len(t), size)]
+        counts = np.array([-(-len(t) // size) for t in texts], np.int64)
+        self.owner = np.repeat(np.arange(len(texts)), counts)
+        n, k = len(self.parts), len(model.first)
+        self.entry, self.before, self.back = np.tile(model.first, (n, 1)), np.zeros((n, k)), np.ones((n, k))
+        self.first = np.ones(n, bool)
+        starts = np.cumsum(counts) - counts
+        cut, at_once = np.flatnonzero(np.repeat(counts, counts) > 1).tolist(), max(1, SYMBOLS_AT_ONCE // size)
+        by = {}  # of all stretches of cut texts, many texts' beside each other
+        for at in range(0, len(cut), at_once):
+            by |= zip(cut[at : at + at_once], transfers([self.parts[i] for i in cut[at : at + at_once]], model))
+        for text in np.flatnonzero(counts > 1).tolist():
+            begin, end = int(starts[text]), int(starts[text] + counts[text])
+            for i in range(begin, end - 1):
+                after = self.entry[i] @ by[i]
+                self.before[i + 1] = after / after.sum()
+                self.entry[i + 1] = self.before[i + 1] @ model.moves
+                self.first[i + 1] = False
+            for i in range(end - 1, begin, -1):
+                rest = model.moves @ (by[i] @ self.back[i])
+                self.back[i - 1] = rest / rest.sum()
+
+    def groups(self) -> Iterator[slice]:
+        """Runs of stretches of about SYMBOLS_AT_ONCE symbols, so memory doesn't grow with a text's length."""
+        begin, held = 0, 0
+        for i, part in enumerate(self.parts):
+            held += len(part)
+            if held >= SYMBOLS_AT_ONCE:
+                yield slice(begin, i + 1)
+                begin, held = i + 1, 0
+        if begin < len(self.parts):
+            yield slice(begin, len(self.parts))
+
+
+def forward_scores(texts: list[np.ndarray], model: Model, stretch: int | None = None) -> np.ndarray:
+    """Natural log probability of each whole sequence."""
+    cut, out = Stretches(texts, model, stretch), np.zeros(len(texts))
+    for some in cut.groups():
+        run = Lockstep(cut.parts[some])
+        scales, logs = run.forward(model, cut.entry[some])[2], np.zeros(some.stop - some.start)
+        for t in range(run.depth):
+            logs[: run.live[t]] += np.log(scales[run.at[t] : run.at[t + 1]])
+        np.add.at(out, cut.owner[some][run.order], logs)
     return out
 
 
@@ -270,37 +346,31 @@ class Expected:
     def __init__(self, symbols: int, states: int):
         self.first, self.moves, self.signs, self.log = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
 
-    def add(self, texts: list[np.ndarray], model: Model, steps_kept: int | None = None) -> None:
-        """Scaled forward and backward recursion over whole sequences, in lockstep.
-
-        Beyond steps_kept (STEPS_KEPT) steps only the states between stretches of so many are
-        kept, and each stretch's are computed again when the backward pass comes to it, so
-        memory doesn't grow with the length of a text.
-        """
-        run, kept = Lockstep(texts), steps_kept or STEPS_KEPT
-        begins, entries = list(range(0, run.depth, kept)), [None]
-        for begin in begins[:-1]:
-            for _, state, _ in run.forward(model, begin, begin + kept, entries[-1]):
-                pass
-            entries.append(state)
-        back = np.ones((len(run.sizes), len(model.first)))
-        for begin, entry in zip(reversed(begins), reversed(entries)):
-            passed = list(run.forward(model, begin, min(begin + kept, run.depth), entry))
-            share = []
-            for t, ahead, scale in reversed(passed):
-                n = run.live[t]
-                share.append(ahead * back[:n])
-                if not t:
-                    self.first += share[-1].sum(axis=0)
-                    break
-                step = model.signs[run.symbols(t)] * back[:n] / scale[:, None]
-                before = passed[t - 1 - begin][1] if t > begin else entry
-                self.moves += before[:n].T @ step
-                back[:n] = step @ model.moves.T
-            self.log += float(sum(np.log(scale).sum() for _, _, scale in passed))
-            flat = np.concatenate([run.symbols(t) for t, _, _ in reversed(passed)])
-            for k, column in enumerate(np.ascontiguousarray(np.concatenate(share).T)):
-                self.signs[:, k] += np.bincount(flat, column, len(self.signs))
+    def add(self, texts: list[np.ndarray], model: Model, stretch: int | None = None) -> None:
+        """Scaled forward and backward recursion over whole sequences."""
+        cut = Stretches(texts, model, stretch)
+        for some in cut.groups():
+            run = Lockstep(cut.parts[some])
+            signs, states, scales = run.forward(model, cut.entry[some])
+            self.log += float(np.log(scales).sum())
+            back = cut.back[some][run.order]
+            signs /= scales[:, None]
+            for t in range(run.depth - 1, -1, -1):
+                a, b, n, go_on = run.at[t], run.at[t + 1], run.live[t], run.live[t + 1]
+                if go_on < n:  # the last symbol of some: the rest of their texts is scaled to their states
+                    back[go_on:n] /= (states[a + go_on : b] * back[go_on:n]).sum(axis=1, keepdims=True)
+                step = signs[a:b]
+                step *= back[:n]
+                states[a:b] *= back[:n]  # from here on the posterior
+                if t:
+                    before = run.at[t - 1]
+                    self.moves += states[before : before + n].T @ step
+                    np.matmul(step, model.moves.T, out=back[:n])
+                else:
+                    self.moves += cut.before[some][run.order].T @ step
+                    self.first += states[a:b][cut.first[some][run.order]].sum(axis=0)
+            for k, column in enumerate(np.ascontiguousarray(states.T)):
+                self.signs[:, k] += np.bincount(run.symbols, column, len(self.signs))
 
 
 def expected_counts(table: DataFrame, model: Model) -> Expected:
@@ -310,20 +380,15 @@ def expected_counts(table: DataFrame, model: Model) -> Expected:
 
     def round_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, found = sent.value, Expected(symbols, states)
-        pools: list[list[np.ndarray]] = [[], []]  # texts up to LONG_TEXT symbols, and longer ones
-        held = [0, 0]
+        pool, held = [], 0
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                text = np.frombuffer(raw, "<u2")
-                pool = int(len(text) > LONG_TEXT)
-                pools[pool].append(text)
-                held[pool] += len(text)
-                if held[pool] >= SYMBOLS_AT_ONCE:
-                    found.add(pools[pool], model)
-                    pools[pool], held[pool] = [], 0
-        for pool in pools:
-            if pool:
-                found.add(pool, model)
+                pool.append(np.frombuffer(raw, "<u2"))
+                held += len(pool[-1])
+                if held >= SYMBOLS_AT_ONCE:
+                    found.add(pool, model)
+                    pool, held = [], 0
+        found.add(pool, model)
         rows = np.vstack([found.signs, found.moves * model.moves, found.first[None]])
         some = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(rows[some, k]) for k in range(states)), pa.array(np.where(some == some[0], found.log, 0.0) if len(some) else np.zeros(0))], names=["at", *(f"s{k}" for k in range(states)), "log"])

@@ -29,14 +29,14 @@ def all_paths(sequence, model, first):
     return out
 
 
-@pytest.mark.parametrize("kept", [None, 1, 2, 3])
-def test_forward_and_expected_counts_against_all_paths(kept):
-    """Counts of whole texts, also where the forward states of kept steps only are held."""
+@pytest.mark.parametrize("stretch", [None, 1, 2, 3])
+def test_forward_and_expected_counts_against_all_paths(stretch):
+    """Probabilities and counts of whole texts, whatever the stretches."""
     model = small_model()
     sequences = [np.array(s) for s in ([1], [0, 2, 4, 4], [3, 3], [4, 0, 1, 2, 3, 3, 1])]
-    scores = H.forward_scores(sequences, model)
+    scores = H.forward_scores(sequences, model, stretch)
     found, want = H.Expected(5, 3), H.Expected(5, 3)
-    found.add(sequences, model, kept)
+    found.add(sequences, model, stretch)
     for s, score in zip(sequences, scores, strict=True):
         paths = all_paths(s, model, model.first)
         total = sum(paths.values())
@@ -61,6 +61,19 @@ def test_a_texts_borders_change_its_counts():
     assert (whole.moves * model.moves).sum() == pytest.approx(399) and (halves.moves * model.moves).sum() == pytest.approx(398)
 
 
+def test_long_texts_in_stretches(monkeypatch):
+    model, rng = small_model(8, 50), np.random.default_rng(5)
+    texts = [rng.integers(0, 50, n) for n in (1, 7, 3000, 40, 999, 1000)]
+    plain = H.Expected(50, 8)
+    plain.add(texts, model, 10_000)
+    monkeypatch.setattr(H, "SYMBOLS_AT_ONCE", 700)
+    for stretch in (64, 100, 333):
+        found = H.Expected(50, 8)
+        found.add(texts, model, stretch)
+        assert np.allclose(H.forward_scores(texts, model, stretch), H.forward_scores(texts, model, 10_000), rtol=1e-12)
+        assert all(np.allclose(getattr(found, x), getattr(plain, x), rtol=1e-9) for x in ("first", "moves", "signs", "log"))
+
+
 def test_query_counts_and_base(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()]
     rows = {r.doc_id: r for r in queries.op4_hmm_scores(spark, SF01).collect()}
