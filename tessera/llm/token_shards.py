@@ -110,12 +110,17 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_of(tokenizer: str) -> Encoder:
+    """This worker's encoder."""
+    return _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(local_file(tokenizer)))
+
+
 def with_ids(df: DataFrame, tokenizer: str, end_id: int | None, text: str = "text", out: str = "ids") -> DataFrame:
     """df with each whole text's ids, and end_id after them, as packed little-endian integers; null texts count as empty."""
 
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(local_file(tokenizer)))
+        encoder = encoder_of(tokenizer)
         end = b"" if end_id is None else encoder.packed([end_id])
         for batch in batches:
             texts = batch.fillna("").tolist()
@@ -205,7 +210,7 @@ def shard_cuts(df: DataFrame, key: str = "key", tie: str = "tie", size: str = "s
     return [places[i][:3] for i in at.tolist()]
 
 
-def placed(cuts: Sent):
+class Placer:
     """The shard of a row (has a key, key, tie): that between the cuts around it.
 
     Rows that are equal to a repeated cut are alike and may lie in any of the shards that it
@@ -213,39 +218,49 @@ def placed(cuts: Sent):
     alone, so a task that is run again deals as many to each.
     """
 
-    @F.pandas_udf("int")
-    def shard(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        edges, dealt = cuts.value, {}
-        for has, keys, ties in batches:
-            out = []
-            for place in zip(has.tolist(), keys.tolist(), ties.tolist(), strict=True):
-                low = bisect_left(edges, place)
-                if low < len(edges) and edges[low] == place:
-                    wide = bisect_right(edges, place, low) - low + 1
-                    turn = dealt.get(place, 0)
-                    dealt[place] = turn + 1
-                    low += turn % wide
-                out.append(low)
-            yield pd.Series(out, dtype="int32")
-
-    return shard
-
-
-def write_shards(df: DataFrame, folder: str, width: int, key: str = "doc_id", ids: str = "ids", tie: str | None = None, cuts: list[tuple[bool, int, int]] | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    def __init__(self, cuts: list[tuple[bool, int, int]]):
+        self.cuts, self.dealt = cuts, {}
+
+    def shard(self, key: int | None, tie: int) -> int:
+        place = (key is not None, key or 0, tie)
+        low = bisect_left(self.cuts, place)
+        if low < len(self.cuts) and self.cuts[low] == place:
+            wide = bisect_right(self.cuts, place, low) - low + 1
+            turn = self.dealt[place] = self.dealt.get(place, -1) + 1
+            low += turn % wide
+        return low
+
+
+def _dealt(rows: DataFrame, cuts: list[tuple[bool, int, int]], make) -> DataFrame:
+    """(shard, key, tie, ids) of rows (key, tie, value) by shard and in order within; make: a list of values to their packed ids."""
+    sent = Sent(rows.sparkSession, cuts)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placer = Placer(sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                shards = [placer.shard(k, t) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                ids = make(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["shard", "key", "tie", "ids"])
+
+    dealt = rows.mapInArrow(deal, "shard int, key long, tie long, ids binary").repartitionById(len(cuts) + 1, F.col("shard"))
+    return dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "tie").drop("tie")
+
+
+def write_shards(df: DataFrame, folder: str, width: int, key: str = "doc_id", ids: str = "ids", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes df's packed ids into shards in ascending key order, rows without a key first; returns (shard, n_docs, n_tokens).
 
-    Keys are whole numbers.  tie orders the rows of one key (by default a digest of the ids), so
-    that a key's rows, however many, can be spread over shards; cuts are those of shard_cuts,
-    made from df if not given, which reads its ids twice more.  A shard streams through its
-    task, frame by frame.
+    Keys are whole numbers.  A digest of the ids orders the rows of one key, so that a key's
+    rows, however many, can be spread over shards.  df is read three times.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), (F.xxhash64(ids) if tie is None else F.col(tie)).alias("tie"), F.col(ids).alias("ids"))
-    if cuts is None:
-        cuts = shard_cuts(rows.select("key", "tie", F.octet_length("ids").alias("size")), shard_bytes=shard_bytes)
-    has = F.col("key").isNotNull()
-    place = placed(Sent(df.sparkSession, cuts))(has, F.coalesce("key", F.lit(0)), F.col("tie")) if cuts else F.lit(0)
-    dealt = rows.select(place.alias("shard"), "key", "tie", "ids").repartitionById(len(cuts) + 1, F.col("shard"))
-    dealt = dealt.sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "tie").drop("tie")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(ids).alias("tie"), F.col(ids).alias("value"))
+    cuts = shard_cuts(rows.select("key", "tie", F.octet_length("value").alias("size")), shard_bytes=shard_bytes)
+    return _shards(_dealt(rows, cuts, lambda values: values), folder, width)
+
+
+def _shards(dealt: DataFrame, folder: str, width: int) -> DataFrame:
+    """Writes rows (shard, key, ids), a shard's together and in order; a shard streams through its task, frame by frame."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, now, tokens = None, None, 0
@@ -307,5 +322,12 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key).cast("long").alias("key"), whole.alias("text"))
     cuts = shard_cuts(rows.select("key", F.xxhash64("text").alias("tie"), F.octet_length("text").alias("size")), shard_bytes=shard_bytes)
-    encoded = with_ids(rows.withColumn("tie", F.xxhash64("text")), tokenizer, end_id, "text", "ids").select(F.col("key").alias(key), "tie", "ids")
-    return read_shards(write_shards(encoded, folder, id_width(tokenizer), key, "ids", "tie", cuts), folder, key)
+    end = None if end_id is None else [end_id]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        encoder = encoder_of(tokenizer)
+        last = b"" if end is None else encoder.packed(end)
+        return [x + last for x in encoder.encode(texts)]
+
+    dealt = _dealt(rows.select("key", F.xxhash64("text").alias("tie"), "text"), cuts, encode)
+    return read_shards(_shards(dealt, folder, id_width(tokenizer)), folder, key)
