@@ -51,13 +51,13 @@ def geokey_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = L.geokeys(directory, F.array(F.lit(0.5), F.round("c_acctbal", 2)), F.concat("c_name", F.lit("|rest|")))
     k = c.select(F.col("c_custkey").alias("file_id"), F.inline(keys))
     meaning = F.when(F.col("id") == 1024, L.looked_up(F.col("value").cast("int"), L.MODEL_TYPES)).when(F.col("id") == 3072, F.concat(F.lit("EPSG:"), F.col("value")))
-    return k.where("id <> 2057").select("file_id", "id", L.looked_up(F.col("id"), L.GEOKEYS).alias("name"), "location", "n", "value", meaning.alias("meaning"))
+    return k.select("file_id", "id", L.looked_up(F.col("id"), L.GEOKEYS).alias("name"), "location", "n", "value", meaning.alias("meaning"))
 
 
-_GEOKEYS_SQL = """WITH k AS (SELECT c_custkey AS file_id, c_name, unnest([1024, 1026, 3072]) AS id, c_custkey FROM customer),
-v AS (SELECT file_id, id, CASE id WHEN 1026 THEN 34737 ELSE 0 END AS location, CASE id WHEN 1026 THEN length(c_name) + 1 ELSE 1 END AS n,
-CASE id WHEN 1024 THEN CAST(c_custkey % 4 + 1 AS VARCHAR) WHEN 1026 THEN c_name ELSE CAST(c_custkey % 60 + 32601 AS VARCHAR) END AS value FROM k)
-SELECT file_id, id, CASE id WHEN 1024 THEN 'GTModelTypeGeoKey' WHEN 1026 THEN 'GTCitationGeoKey' ELSE 'ProjectedCRSGeoKey' END AS name, location, CAST(n AS INT) AS n, value,
+_GEOKEYS_SQL = """WITH k AS (SELECT c_custkey AS file_id, c_name, unnest([1024, 1026, 2057, 3072]) AS id, c_custkey, round(c_acctbal, 2) AS axis FROM customer),
+v AS (SELECT file_id, id, CASE id WHEN 1026 THEN 34737 WHEN 2057 THEN 34736 ELSE 0 END AS location, CASE id WHEN 1026 THEN length(c_name) + 1 ELSE 1 END AS n,
+CASE id WHEN 1024 THEN CAST(c_custkey % 4 + 1 AS VARCHAR) WHEN 1026 THEN c_name WHEN 2057 THEN CAST(axis AS VARCHAR) ELSE CAST(c_custkey % 60 + 32601 AS VARCHAR) END AS value FROM k)
+SELECT file_id, id, CASE id WHEN 1024 THEN 'GTModelTypeGeoKey' WHEN 1026 THEN 'GTCitationGeoKey' WHEN 2057 THEN 'EllipsoidSemiMajorAxisGeoKey' ELSE 'ProjectedCRSGeoKey' END AS name, location, CAST(n AS INT) AS n, value,
 CASE id WHEN 1024 THEN CASE value WHEN '1' THEN 'Projected' WHEN '2' THEN 'Geographic' WHEN '3' THEN 'Geocentric' ELSE 'Unknown' END WHEN 3072 THEN 'EPSG:' || value END AS meaning FROM v"""
 
 
@@ -85,14 +85,14 @@ m AS (SELECT c.path, arg_min(sidecar, priority) AS sidecar FROM c JOIN e ON c.si
 
 
 def lookup_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.table(spark, sf_dir, "part").where("p_size % 2 = 0")
+    p = V.table(spark, sf_dir, "part")
     return L.first_of_each(p.select(F.lower("p_brand").alias("name"), F.col("p_partkey").alias("code")), "name", "code")
 
 
 def lookup_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.table(spark, sf_dir, "nation")
-    base = n.where("n_nationkey < 20").select("n_nationkey", "n_name")
-    fixes = n.where("n_nationkey % 4 = 0").select("n_nationkey", F.lower("n_name").alias("n_name"))
+    base = n.select("n_nationkey", "n_name")
+    fixes = n.select((F.col("n_nationkey") * 4).alias("n_nationkey"), F.lower("n_name").alias("n_name"))
     return L.overlaid(base, fixes, "n_nationkey", "n_name")
 
 
@@ -206,8 +206,8 @@ QUERIES = {
     "j05_epsg_lookup": (epsg_lookup, """WITH a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'OLD_' || n_name WHEN 1 THEN lower(n_name) ELSE n_name || '?' END AS asked FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT c_custkey, asked, coalesce(x.n_nationkey, y.n_nationkey) + 4000 AS code FROM a LEFT JOIN nation x ON lower(asked) = lower(x.n_name) LEFT JOIN nation y ON x.n_name IS NULL AND regexp_replace(lower(asked), '^old_', '') = lower(y.n_name)"""),
     "s15_sidecar_resolution": (sidecar_resolution, _SIDECAR_SQL),
-    "f19_lookup_build": (lookup_build, "SELECT lower(p_brand) AS name, min(p_partkey) AS code FROM part WHERE p_size % 2 = 0 GROUP BY 1"),
-    "x39_lookup_overlay": (lookup_overlay, "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) ELSE n_name END AS n_name FROM nation WHERE n_nationkey < 20 OR n_nationkey % 4 = 0"),
+    "f19_lookup_build": (lookup_build, "SELECT lower(p_brand) AS name, min(p_partkey) AS code FROM part GROUP BY 1"),
+    "x39_lookup_overlay": (lookup_overlay, "SELECT coalesce(n.n_nationkey, f.n_nationkey * 4) AS n_nationkey, coalesce(lower(f.n_name), n.n_name) AS n_name FROM nation n FULL JOIN nation f ON n.n_nationkey = f.n_nationkey * 4"),
     "f18_banner_rule": (banner_rule, "SELECT c_custkey, CASE WHEN regexp_matches(c_mktsegment, '(?i)house') THEN 'home' WHEN regexp_matches(c_mktsegment, '(?i)ing$') THEN 'things' WHEN regexp_matches(c_mktsegment, '(?i)automobile|machinery') THEN 'industry' ELSE 'none' END AS banner FROM customer"),
     "p15_native_bbox": (native_bbox, f"WITH {_IMAGES_SQL}, b AS (SELECT file_id, CASE WHEN point THEN 0.5::DOUBLE ELSE 0 END AS i, width, height FROM im), c AS (SELECT file_id, 500000 + i * 10 AS west, 4600000 + (height - i) * -10 AS south, 500000 + (width - i) * 10 AS east, 4600000 + i * -10 AS north FROM b) SELECT *, east - west AS span_x, north - south AS span_y, (east + west) / 2 AS center_x FROM c"),
     "p16_corners": (corners, f"WITH {_IMAGES_SQL}, p AS (SELECT file_id, width, height, unnest(['Upper Left', 'Upper Right', 'Lower Right', 'Lower Left', 'Center']) AS corner, unnest([0, 1, 1, 0, 0.5]::DOUBLE[]) AS a, unnest([0, 0, 1, 1, 0.5]::DOUBLE[]) AS b FROM im) SELECT file_id, corner, 100 + a * width * 2 + b * height * 0.5::DOUBLE AS x, 50 + a * width * -0.25::DOUBLE + b * height * -2 AS y FROM p"),

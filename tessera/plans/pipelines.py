@@ -157,10 +157,10 @@ def _layout(spark: SparkSession, path: str, content: DataFrame):
 
 
 def compare_files(spark: SparkSession, base: str, comp: str) -> DataFrame:
-    """Files of two folders with equal names: sizes, savings and the verdict."""
-    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    """Files at equal places below two folders: sizes, savings and the verdict."""
 
     def side(path: str, role: str) -> DataFrame:
+        name = F.substring_index("path", path.rstrip("/") + "/", -1)  # the place below the folder
         content = tiff.files(spark, path)
         saved = T.compression_efficiency(tiff.ifds(content).where("error is null").select("path", "width", "height", "bits", F.col("samples").alias("bands"), "compression", "bytecount"), "path")
         sizes = content.select("path", F.length("content").cast("long").alias("size"))
@@ -217,34 +217,95 @@ def optimized(rows: DataFrame, options: Options, dtype: str = "<f4") -> DataFram
     return ready.groupBy("path").applyInPandas(write, "path string, content binary, error string")
 
 
-def stored(files: DataFrame, folder: str) -> DataFrame:
-    """Writes (path, content) into folder under the files' names; returns (path, target, size)."""
+#: Tags that a rewritten file keeps, with their kinds: description, software, date, extra samples, georeference, metadata, nodata.
+CARRIED = {270: "s", 305: "s", 306: "s", 338: "H", 33550: "d", 33922: "d", 34735: "H", 34736: "d", 34737: "s", 42112: "s", 42113: "s", 50909: "s"}
+
+
+def carried_tags(tags: dict[int, tuple], nodata_to: float | None = None) -> dict[int, tuple]:
+    """The kept tags of a directory as the writer takes them; a new nodata value replaces the old."""
+    kept = {code: (kind, b"".join(tags[code]) if kind == "s" else tags[code]) for code, kind in CARRIED.items() if tags.get(code) and (kind != "s" or isinstance(tags[code][0], bytes))}
+    if tags.get(TF.PHOTOMETRIC):
+        kept[TF.PHOTOMETRIC] = ("H", (tags[TF.PHOTOMETRIC][0],))
+    if nodata_to is not None:
+        kept[42113] = ("s", f"{nodata_to:g}".encode() + b"\0")
+    return kept
+
+
+def rewrite(data: bytes, options: Options) -> bytes:
+    """A file's first image, in its own sample type and with its tags and mask, under the options."""
+    dirs = list(TF.directories(data))
+    image = TF.page_image(TF.read_page(data, dirs[0], 0))
+    kind = image.dtype.kind
+    out = image.astype(image.dtype.newbyteorder("="))
+    if options.nodata_from is not None and options.nodata_to is not None:
+        same = np.isnan(out) if kind == "f" and options.nodata_from != options.nodata_from else out == options.nodata_from
+        if kind != "f" and not (np.iinfo(out.dtype).min <= options.nodata_to <= np.iinfo(out.dtype).max and options.nodata_to == int(options.nodata_to)):
+            raise ValueError(f"{out.dtype} has no value {options.nodata_to}")
+        out = np.where(same, out.dtype.type(options.nodata_to), out)
+    if options.decimals is not None and kind == "f":
+        out = (np.rint(out.astype(np.float64) * 10.0**options.decimals) / 10.0**options.decimals).astype(out.dtype)
+    predictor = {("f", 2): 3, ("u", 3): 2, ("i", 3): 2}.get((kind, options.predictor or 1), options.predictor or 1)
+    layout = TF.Layout(CODECS[options.algorithm], predictor, (options.tile, options.tile), level=options.level)
+    pages = [(out, replace(layout, extra=carried_tags(dirs[0], options.nodata_to)))]
+    flat = replace(layout, predictor=1)
+    mask = next((m for m in dirs[1:] if TF.is_mask(m) and (m[TF.HEIGHT][0], m[TF.WIDTH][0]) == image.shape[:2]), None)
+    if mask is not None:
+        hidden = TF.page_image(TF.read_page(data, mask, 0))
+        pages.append((np.where(hidden > 0, 255, 0).astype(np.uint8), replace(flat, extra={254: ("I", (4,)), TF.PHOTOMETRIC: ("H", (4,))})))
+    factor = 2
+    while options.overviews and max(image.shape[:2]) / factor > options.tile / 2:
+        pages.append((np.ascontiguousarray(out[::factor, ::factor]), replace(layout, extra={254: ("I", (1,))})))
+        factor *= 2
+    return TF.write_tiff(pages)
+
+
+def rewritten(content: DataFrame, options: Options) -> DataFrame:
+    """(path, content, error) of files (path, content); each file stays in its task, nothing is shuffled, a file that can't be read has its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    yield pd.DataFrame([(path, rewrite(bytes(data), options), None)], columns=["path", "content", "error"])
+                except (*TF.DAMAGE, NotImplementedError, AttributeError) as e:
+                    yield pd.DataFrame([(path, None, f"{type(e).__name__}: {e}")], columns=["path", "content", "error"])
+
+    return content.select("path", "content").mapInPandas(run, "path string, content binary, error string")
+
+
+def stored(files: DataFrame, folder: str, base: str = "") -> DataFrame:
+    """Writes (path, content, error) into folder, at each path's place below base; returns (path, target, size, error).
+
+    Files of equal names in different folders stay apart; a row with an error writes nothing.
+    """
     from pyarrow import fs
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, root = fs.FileSystem.from_uri(folder)
-        where.create_dir(root, recursive=True)
         for batch in batches:
             out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                target = f"{root}/{path.rsplit('/', 1)[-1]}"
-                if content is not None:
-                    with where.open_output_stream(f"{target}.part") as f:
-                        f.write(content)
-                    where.move(f"{target}.part", target)
-                    out.append((path, target, len(content)))
-            yield pd.DataFrame(out, columns=["path", "target", "size"])
-
-    return files.mapInPandas(write, "path string, target string, size long")
+            for path, content, error in zip(batch["path"], batch["content"], batch["error"], strict=True):
+                below = path.split(base.rstrip("/") + "/", 1)[-1] if base and base.rstrip("/") + "/" in path else path.rsplit("/", 1)[-1]
+                target = f"{root}/{below}"
+                if content is None:
+                    out.append((path, None, None, error))
+                    continue
+                where.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(f"{target}.part") as f:
+                    f.write(content)
+                where.move(f"{target}.part", target)
+                out.append((path, target, len(content), None))
+            yield pd.DataFrame(out, columns=["path", "target", "size", "error"]).astype({"size": "Int64"})
+
+    return files.select("path", "content", "error").mapInPandas(write, "path string, target string, size long, error string")
 
 
 def optimize(spark: SparkSession, path: str, folder: str, product: str = "dem", options: Options | None = None) -> DataFrame:
-    """The optimize command over a folder: first directories only, written to another folder."""
+    """The optimize command over a folder tree: (path, target, size, error) of every file, written to the same place below another folder."""
     chosen = (options or Options()).resolved(product)
     if problems := chosen.problems(product):
         raise ValueError("; ".join(problems))
-    rows = tiff.pixels(tiff.files(spark, path)).where("ifd = 0").select("path", "band", "row", "data")
-    return stored(optimized(rows, chosen), folder)
+    return stored(rewritten(tiff.files(spark, path), chosen), folder, path)
 
 
 MOST_TRIALS = 10_000  # rows of a parameter grid; a longer one is refused, never cut

@@ -56,11 +56,11 @@ _HIST_FD = _bins_sql(_FD_PLAN, "v")
 
 
 def hist_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = V.pixels(spark, sf_dir).where("band = 1").withColumn("value", F.floor(F.col("value") * 5).cast("double"))
+    px = V.pixels(spark, sf_dir).withColumn("value", (F.floor(F.col("value") * 5) % 256).cast("double"))
     return S.histogram(px, S.histogram_plan(px, "band"), "band").select("band", "bin", "left", "right", "count")
 
 
-_BYTE_PLAN = f"WITH {V.PIXELS_SQL}, v AS (SELECT band, floor(value * 5) AS value FROM px WHERE band = 1 AND {VALID}), plan AS (SELECT 1 AS band, 0.0::DOUBLE AS lo, 256.0::DOUBLE AS hi, 256 AS bins)"
+_BYTE_PLAN = f"WITH {V.PIXELS_SQL}, v AS (SELECT band, floor(value * 5) % 256 AS value FROM px WHERE {VALID}), plan AS (SELECT unnest([1, 2, 3, 4]) AS band, 0.0::DOUBLE AS lo, 256.0::DOUBLE AS hi, 256 AS bins)"
 
 
 def hist_pam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +94,8 @@ def nodata_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def round_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = V.pixels(spark, sf_dir).where("band = 2")
-    return px.select(P.rounded(F.col("value") / 7, 2).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    px = V.pixels(spark, sf_dir)
+    return px.select("band", P.rounded(F.col("value") / 7, 2).alias("value")).groupBy("band", "value").agg(F.count("*").alias("n"))
 
 
 def alpha_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ QUERIES = {
     "a07_decimal_places": (decimal_places, f"WITH {V.PIXELS_SQL} SELECT band, band_name, max({_PLACES_SQL}) AS decimals FROM px WHERE NOT is_nodata AND isfinite(value) GROUP BY band, band_name"),
     "s10_strided_sample": (strided_sample, f"WITH {V.TILE_PIXELS_SQL} SELECT band, count(*) AS n, round(min(value), 5) AS lo, round(max(value), 5) AS hi FROM tp WHERE row % 4 = 0 GROUP BY band"),
     "p01_nodata_remap": (nodata_remap, f"WITH {V.PIXELS_SQL}, m AS (SELECT band, CASE WHEN value = 1 THEN -9999 ELSE value END AS value FROM px) SELECT band, count(*) FILTER (value = -9999) AS remapped, round(CAST(sum(CAST(value AS DECIMAL(20,4))) AS DOUBLE), 2) AS total FROM m GROUP BY band"),
-    "p03_round_half_even": (round_half_even, "SELECT round_even(l_extendedprice / 7 * 100, 0) / 100 AS value, count(*) AS n FROM lineitem GROUP BY 1"),
+    "p03_round_half_even": (round_half_even, f"WITH {V.PIXELS_SQL} SELECT band, round_even(value / 7 * 100, 0) / 100 AS value, count(*) AS n FROM px GROUP BY ALL"),
     "p04_alpha_threshold": (alpha_threshold, "WITH a AS (SELECT CAST(trunc(l_quantity * 5) AS INT) AS alpha FROM lineitem) SELECT alpha, CASE WHEN alpha < 230 THEN 0 ELSE 255 END AS opaque, CASE WHEN alpha - 100 > 0 THEN 255 ELSE 0 END AS mask, count(*) AS n FROM a GROUP BY ALL"),
     "p08_nodata_to_mask": (nodata_to_mask, f"WITH {V.TILE_PIXELS_SQL}, f AS (SELECT tx, band, row, col, value < 0 AND band < 4 AS none FROM tp), h AS (SELECT band FROM f GROUP BY band HAVING bool_or(none)), a AS (SELECT tx, row, col, bool_and(none) FILTER (band IN (SELECT band FROM h)) AS hidden FROM f GROUP BY ALL) SELECT tx, row, col, CASE WHEN hidden THEN 0 ELSE 255 END AS mask FROM a"),
     "f02_nodata_validity": (nodata_validity, f"WITH n AS (SELECT c_custkey, floor(c_acctbal) * 7 - 20000 AS nodata, unnest({[*P.INTEGER_LIMITS, *P.FLOAT_LIMITS]}) AS dtype FROM customer) SELECT c_custkey, dtype, {_fits_sql(False)} AS fits, {_fits_sql(True)} AS fits_compat FROM n"),

@@ -160,7 +160,7 @@ def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, time and mirrored path of each file."""
-    o = V.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = V.table(spark, sf_dir, "orders")
     path = F.concat(F.lit("/in/c"), F.col("o_custkey"), F.lit("/"), F.col("o_orderkey"), F.lit(".tif"))
     return o.select("o_orderkey", F.regexp_replace(path, "^/in/", "/out/").alias("target"), F.regexp_replace(path, r"\.tif$", "_report.md").alias("report"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("modified"), F.round(N.megabytes(F.floor("o_totalprice")), 4).alias("mb"))
 
@@ -180,5 +180,5 @@ QUERIES = {
     "x59_json_path": (json_path, "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS is_json FROM events"),
     "f12_option_rules": (option_rules, _OPTIONS_SQL),
     "s21_html_rows": (html_rows, r"""SELECT page_id, CAST(len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS BIGINT) AS links, CAST(len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS BIGINT) AS targets, CAST(length(regexp_replace(html, '\s+', ' ', 'g')) AS BIGINT) AS plain_chars FROM pages"""),
-    "c20_file_summary": (file_summary, "SELECT o_orderkey, '/out/c' || o_custkey || '/' || o_orderkey || '.tif' AS target, '/in/c' || o_custkey || '/' || o_orderkey || '_report.md' AS report, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS modified, round(floor(o_totalprice) / 1048576.0::DOUBLE, 4) AS mb FROM orders WHERE o_orderkey % 10 = 0"),
+    "c20_file_summary": (file_summary, "SELECT o_orderkey, '/out/c' || o_custkey || '/' || o_orderkey || '.tif' AS target, '/in/c' || o_custkey || '/' || o_orderkey || '_report.md' AS report, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS modified, round(floor(o_totalprice) / 1048576.0::DOUBLE, 4) AS mb FROM orders"),
 }

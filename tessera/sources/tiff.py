@@ -7,7 +7,6 @@ rows with an error instead of failing the job.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,12 +41,12 @@ def _walk(data: bytes) -> Iterator[tuple[int, dict[int, tuple] | None, str | Non
     try:
         for i, tags in enumerate(T.directories(data)):
             yield i, tags, None
-    except (ValueError, struct.error) as e:
+    except T.DAMAGE as e:
         yield i + 1, None, str(e) or type(e).__name__
 
 
 def _one(tags: dict[int, tuple], tag: int, default=None):
-    return tags.get(tag, (default,))[0]
+    return (tags.get(tag) or (default,))[0]
 
 
 def ifds(df: DataFrame) -> DataFrame:
@@ -161,40 +160,59 @@ def _nodata(tags: dict[int, tuple]) -> float | None:
 
 
 def pixels(df: DataFrame) -> DataFrame:
-    """Bands as rows of samples with the file's nodata value: (path, ifd, band, row, nodata, data array<double>)."""
+    """Bands as rows of samples: (path, ifd, band, row, nodata, data array<double>, hidden array<tinyint>, error).
+
+    nodata is the first directory's.  hidden: for each sample 1 if the directory's mask, that of
+    equal size behind it, is 0 there, plus 2 if its alpha sample is 0 and this isn't the alpha
+    band; null where nothing is hidden.  A damaged directory is a row with an error.
+    """
 
     def rows(data: bytes) -> Iterator[tuple]:
-        nodata = None
-        for i, t, _ in _walk(data):
+        nodata, found = None, list(_walk(data))
+        for i, t, error in found:
             if t is None:
+                yield i, None, None, nodata, None, None, error
                 continue
             nodata = _nodata(t) if i == 0 else nodata
             try:
-                page = T.read_page(data, t, i)
-            except (ValueError, KeyError, struct.error, zlib.error):
+                image = T.page_image(T.read_page(data, t, i))
+                size = image.shape[:2]
+                mask = next((m for k, m, _ in found if k > i and m and T.is_mask(m) and (_one(m, T.HEIGHT), _one(m, T.WIDTH)) == size), None)
+                hidden = np.zeros(size, np.int8)
+                if mask is not None and not T.is_mask(t):
+                    hidden += (T.page_image(T.read_page(data, mask, 0))[:, :, 0] == 0).astype(np.int8)
+            except T.DAMAGE as e:
+                yield i, None, None, nodata, None, None, str(e) or type(e).__name__
                 continue
-            kind = {1: "u", 2: "i", 3: "f"}[page.sample_format]
-            image = np.frombuffer(page.pixels, f"<{kind}{page.bits // 8}").reshape(page.height, page.width, page.samples)
-            for band in range(page.samples):
+            alpha = T.alpha_band(t)
+            clear = None if alpha is None else (image[:, :, alpha] == 0).astype(np.int8) * 2
+            for band in range(image.shape[2]):
+                flags = hidden if clear is None or band == alpha else hidden + clear
+                some = flags.any(axis=1)
                 for row, values in enumerate(image[:, :, band].astype(np.float64)):
-                    yield i, band + 1, row, nodata, values
+                    yield i, band + 1, row, nodata, values, flags[row] if some[row] else None, None
 
-    return _table(df, "ifd int, band int, row int, nodata double, data array<double>", rows)
+    return _table(df, "ifd int, band int, row int, nodata double, data array<double>, hidden array<tinyint>, error string", rows)
 
 
 def masked_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """The pixel relation that the statistics read: nodata by the file's tag, no mask, no alpha.
+    """The pixel relation that the statistics read: see pixel_view."""
+    return pixel_view(files(spark, path), spark.sparkContext.defaultParallelism)
+
+
+def pixel_view(content: DataFrame, parts: int | None = None) -> DataFrame:
+    """(file_id, ifd, band, row, col, value, is_nodata, is_masked, is_alpha0) of files (path, content); damaged directories have no pixels.
 
-    Few files leave most cores idle after decoding, so their rows are dealt out before they
-    become pixels; with as many files as cores nothing is moved.
+    A file is decoded by one task; its rows are dealt out over parts before they become pixels.
     """
-    content = files(spark, path)
-    rows, cores = pixels(content), spark.sparkContext.defaultParallelism
-    if content.select("path").count() < cores:
-        rows = rows.repartition(cores)
-    long = rows.select("path", "ifd", "band", "row", "nodata", F.posexplode("data").alias("col", "value"))
-    none = F.coalesce(F.col("value") == F.col("nodata"), F.lit(False))
-    return long.select(F.col("path").alias("file_id"), "ifd", "band", "row", "col", "value", none.alias("is_nodata"), F.lit(False).alias("is_masked"), F.lit(False).alias("is_alpha0"))
+    rows = pixels(content).where("error is null")
+    rows = rows if parts is None else rows.repartition(parts)
+    cell = lambda v, h: F.struct(v.alias("value"), h.alias("hidden"))
+    cells = F.when(F.col("hidden").isNull(), F.transform("data", lambda v: cell(v, F.lit(0).cast("tinyint")))).otherwise(F.zip_with("data", "hidden", cell))
+    long = rows.select("path", "ifd", "band", "row", "nodata", F.posexplode(cells).alias("col", "cell"))
+    value, hidden = F.col("cell.value"), F.col("cell.hidden")
+    none = F.coalesce(value == F.col("nodata"), F.lit(False))
+    return long.select(F.col("path").alias("file_id"), "ifd", "band", "row", "col", value.alias("value"), none.alias("is_nodata"), (hidden.bitwiseAND(F.lit(1)) != 0).alias("is_masked"), (hidden.bitwiseAND(F.lit(2)) != 0).alias("is_alpha0"))
 
 
 def encoded(df: DataFrame, width: int, data: str = "data", out: str = "content", layout: T.Layout | None = None, dtype: str = "<f4") -> DataFrame:

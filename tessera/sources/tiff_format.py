@@ -18,6 +18,7 @@ import zstandard
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS, ZSTD = 1, 5, 8, 32946, 32773, 50000
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
+EXTRA_SAMPLES = 338
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 UNDEFINED, RATIONALS = 7, {5: "I", 10: "i"}  # bytes of any content; numerator and denominator
 CLEAR, END, FIRST = 256, 257, 258
@@ -311,6 +312,8 @@ def read_page(data: bytes, tags: dict[int, tuple], index: int) -> Page:
     kind = {1: "u", 2: "i", 3: "f"}.get(page.sample_format)
     if page.samples < 1:
         raise ValueError("a page without samples")
+    if page.bits == 1 and page.samples == 1:
+        return _bit_page(data, tags, page)
     if len(set(bits)) > 1 or page.bits not in (8, 16, 32, 64) or kind is None or kind == "f" and page.bits == 8:
         raise ValueError(f"samples of {bits} bits and format {page.sample_format} aren't supported")
     stored = np.dtype(f"{order}{kind}{page.bits // 8}")
@@ -342,6 +345,42 @@ def read_page(data: bytes, tags: dict[int, tuple], index: int) -> Page:
     return page
 
 
+def _bit_page(data: bytes, tags: dict[int, tuple], page: Page) -> Page:
+    """A page of one bit a pixel, as masks are, as bytes of 0 and 1; rows of a strip or tile begin at a byte."""
+    one = lambda tag, default: (tags.get(tag) or (default,))[0]
+    if page.tiled:
+        w, h, at, sizes = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    else:
+        w, h, at, sizes = page.width, min(one(ROWS_PER_STRIP, page.height), page.height), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+    across, down = -(-page.width // w), -(-page.height // h)
+    page.segments, wide = len(at), -(-w // 8)
+    image = np.zeros((down * h, across * w), np.uint8)
+    for n in range(across * down):
+        r, c = divmod(n, across)
+        rows = h if page.tiled else min(h, page.height - r * h)
+        plain = decode_segment(data[at[n] : at[n] + sizes[n]], page.compression, rows * wide)
+        image[r * h : r * h + rows, c * w : c * w + w] = np.unpackbits(np.frombuffer(plain, np.uint8).reshape(rows, wide), axis=1)[:, :w]
+    page.pixels, page.bits = np.ascontiguousarray(image[: page.height, : page.width]).tobytes(), 8
+    return page
+
+
+def page_image(page: Page) -> np.ndarray:
+    """A page's samples: rows x columns x samples."""
+    kind = {1: "u", 2: "i", 3: "f"}[page.sample_format]
+    return np.frombuffer(page.pixels, f"<{kind}{page.bits // 8}").reshape(page.height, page.width, page.samples)
+
+
+def is_mask(tags: dict[int, tuple]) -> bool:
+    return bool((tags.get(254) or (0,))[0] & 4)
+
+
+def alpha_band(tags: dict[int, tuple]) -> int | None:
+    """The place, from 0, of the sample that the extra samples call alpha."""
+    samples, extra = (tags.get(SAMPLES) or (1,))[0], tags.get(EXTRA_SAMPLES) or ()
+    found = [samples - len(extra) + i for i, kind in enumerate(extra) if kind in (1, 2)]
+    return found[0] if found and 0 <= found[0] < samples else None
+
+
 def read_pages(data: bytes) -> Iterator[Page]:
     """Pages of a file; a damaged page has an error instead of pixels, a damaged chain ends with such a page."""
     index = 0
