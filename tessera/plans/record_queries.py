@@ -99,13 +99,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extents of turned images, with heights where they have one band."""
     c = V.table(spark, sf_dir, "customer")
     corners = c.select(F.col("c_custkey").alias("file_id"), F.inline(N.corners((100.0, 2.0, 0.5, 50.0, -0.25, -2.0), F.col("c_custkey") % 91, F.col("c_nationkey"))))
-    stats = V.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % (F.col("o_custkey") * 9)).alias("file_id"), F.col("o_totalprice").alias("minimum"), (F.col("o_totalprice") + 1).alias("maximum"))
+    stats = V.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % (F.col("o_custkey") * 9 + 1)).alias("file_id"), F.col("o_totalprice").alias("minimum"), (F.col("o_totalprice") + 1).alias("maximum"))
     return C.with_heights(C.extents(corners, "file_id"), stats, "file_id")
 
 
 _BOXES_SQL = """WITH c AS (SELECT c_custkey AS file_id, c_custkey % 91 AS w, c_nationkey AS h FROM customer), p AS (SELECT file_id, w, h, unnest([0, 1, 1, 0, 0.5]::DOUBLE[]) AS a, unnest([0, 0, 1, 1, 0.5]::DOUBLE[]) AS b FROM c),
 x AS (SELECT file_id, 100 + a * w * 2 + b * h * 0.5::DOUBLE AS x, 50 + a * w * -0.25::DOUBLE + b * h * -2 AS y FROM p), e AS (SELECT file_id, min(x) AS west, min(y) AS south, max(x) AS east, max(y) AS north FROM x GROUP BY file_id),
-s AS (SELECT o_orderkey % (o_custkey * 9) AS file_id, min(o_totalprice) AS bottom, max(o_totalprice + 1) AS top FROM orders GROUP BY 1 HAVING count(*) = 1) SELECT e.*, bottom, top FROM e LEFT JOIN s USING (file_id)"""
+s AS (SELECT o_orderkey % (o_custkey * 9 + 1) AS file_id, min(o_totalprice) AS bottom, max(o_totalprice + 1) AS top FROM orders GROUP BY 1 HAVING count(*) = 1) SELECT e.*, bottom, top FROM e LEFT JOIN s USING (file_id)"""
 
 
 def crs_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
