@@ -4,24 +4,29 @@ Texts with the same set of shingles are one node.  Nodes get a SimHash fingerpri
 operator's tiled exact comparison (see simhash) links those within its radius; every link is
 verified on the shingles themselves.  A similarity of 0.8 reaches further than tiles can (such
 fingerprints differ in some ten bits), so further candidates share a band of MinHash values,
-and are verified likewise.  Each band's bucket is first a star around its smallest node; after
-that only pairs of nodes that the links so far left in different components are compared, all
-of them, so a dense group of copies costs its size and not its square.
+and are verified likewise.  Each band's bucket is first a star around its smallest node.  The
+buckets whose nodes these links leave in different components are then compared whole: they are
+cut into blocks of bounded size, each pair of blocks is one cell, and a cell counts all its
+common shingles by a matrix product and returns only links that join components.  So no pairs
+are written, a dense group of copies costs its size, and a large bucket is many tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import component_labels
 from .shared import written
-from .simhash import majority_bits, near_links
+from .simhash import Forest, majority_bits, near_links
 
 BANDS, IN_BAND = 24, 5  # a pair at similarity s shares a band with probability 1 - (1 - s**5)**24: 0.9999 at 0.8
 AT_ONCE = 4096  # shingles hashed at a time
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000  # nodes, and shingles, of a block of a bucket, about
+CELLS_AT_ONCE = 8_000_000  # entries of an incidence matrix at a time
 _RANDOM = np.random.default_rng(8)
 _TIMES, _PLUS = (_RANDOM.integers(0, 2**64, (BANDS * IN_BAND, 1), np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -61,23 +66,75 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) are alike."""
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingles (node, shingles) are alike."""
 
     @F.pandas_udf("boolean")
     def holds(first: pd.Series, second: pd.Series) -> pd.Series:
-        out, last, shingles = [], None, None
-        for x, y in zip(first, second):
-            if x != last:
-                last, shingles = x, shingle_set(x, words)
-            out.append(alike(shingles, shingle_set(y, words), similarity))
-        return pd.Series(out, dtype="bool")
-
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("second")).hint("merge"), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("first")).hint("merge"), "a")
+        return pd.Series([alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(first, second)], dtype="bool")
+
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("second")).hint("merge"), "b")
+    both = both.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("first")).hint("merge"), "a")
     return written(both.where(holds("first", "second")).select("a", "b"), "alike")
 
 
+def cell_links(sets: list[np.ndarray], labels: np.ndarray, low: int, similarity: float) -> list[tuple[int, int]]:
+    """Positions of alike sets that span what links between labels allow.
+
+    The first low sets are compared with the others, or with each other if there are no others.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    at = np.repeat(np.arange(n), sizes)[shared]
+    _, column = np.unique(column[shared], return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    at, column = at[order], column[order]
+    since = 0 if low == n else low
+    common = np.zeros((low, n - since), np.float32)  # whole numbers below 2**24 are exact
+    width = max(1, CELLS_AT_ONCE // n)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s, e = np.searchsorted(column, [start, start + width])
+        held = np.zeros((n, min(width, int(column[-1]) + 1 - start)), np.float32)
+        held[at[s:e], column[s:e] - start] = 1
+        common += held[:low] @ held[since:].T
+    both = common.astype(np.float64)
+    near = both >= similarity * (sizes[:low, None] + sizes[None, since:] - both) - 1e-9
+    near &= labels[:low, None] != labels[None, since:]
+    a, b = np.nonzero(near)
+    forest = Forest(n)
+    _, first, label = np.unique(labels, return_index=True, return_inverse=True)
+    forest.root = first[label]
+    return forest.add(a, b + since)
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) that join the labels of every bucket of members (band, node, label, size); sets: (node, shingles).
+
+    All pairs of a bucket are compared; buckets of the same nodes count as one.
+    """
+    h = F.xxhash64("node")
+    buckets = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(h).alias("x"), F.min(h).alias("least"), F.max(h).alias("most"))
+    buckets = buckets.where("low < high").groupBy("n", "x", "least", "most", "shingles").agg(F.min("band").alias("band"))
+    cuts = buckets.select("band", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
+    dealt = members.join(cuts.hint("merge"), "band").withColumn("mine", F.expr("cast(pmod(xxhash64(node, band), blocks) as int)"))
+    dealt = dealt.join(sets.hint("merge"), "node").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("band", F.least("mine", "theirs").alias("block"), F.greatest("mine", "theirs").alias("with_block"), (F.col("mine") > F.col("theirs")).alias("second"), "node", "label", "shingles")
+
+    def links(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("second")
+        node, labels = cell["node"].to_numpy(), cell["label"].to_numpy()
+        low = len(node) - int(np.count_nonzero(cell["second"].to_numpy()))
+        alone = cell["block"][0] == cell["with_block"][0]
+        found = []
+        if low and (alone or low < len(node)) and (labels != labels[0]).any():
+            found = cell_links([np.frombuffer(x.as_buffer(), np.uint64) for x in cell["shingles"]], labels, low, similarity)
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+
+    return written(cells.groupBy("band", "block", "with_block").applyInArrow(links, "a long, b long"), "joining")
+
+
 def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5, radius: int = 2) -> DataFrame:
     """(key, text_hash) of one text, that with the smallest key, of every group of texts linked by similar pairs.
 
@@ -85,40 +142,39 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarit
     texts count as empty, and all empty ones are one group.  Other columns of df don't matter.
     """
 
-    @F.pandas_udf("fp long, bits long, bands array<bigint>")
+    @F.pandas_udf("fp long, bits long, size long, bands array<bigint>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t or "", shingle_words) for t in texts]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        return pd.DataFrame({"fp": fp, "bits": np.array([majority_bits(s) for s in sets], np.int64), "bands": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"fp": fp, "bits": np.array([majority_bits(s) for s in sets], np.int64), "size": np.array([len(s) for s in sets], np.int64), "bands": [band_keys(s) for s in sets]})
+
+    @F.pandas_udf("binary")
+    def shingles_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t or "", shingle_words).tobytes() for t in texts], dtype=object)
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", text_hash(F.col("text")))
-    prints = written(rows.select("key", "text_hash", signed("text").alias("s")).select("key", "text_hash", "s.fp", "s.bits", "s.bands"), "prints")
-    nodes = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("key", "text_hash")).alias("least"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "nodes")
+    prints = written(rows.select("key", "text_hash", signed("text").alias("s")).select("key", "text_hash", "s.fp", "s.bits", "s.size", "s.bands"), "prints")
+    nodes = written(prints.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("key", "text_hash")).alias("least"), F.first("bits").alias("bits"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
 
     filled = nodes.where(F.size("bands") > 0)  # the empty text is like no other
     heads = written(filled.groupBy(F.col("bits").alias("fp")).agg(F.min("node").alias("node"), F.count("*").alias("n")), "fingerprints")
     same = filled.join(heads.where("n > 1").select(F.col("fp").alias("bits"), F.col("node").alias("head")).hint("merge"), "bits").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     tiled = written(near_links(heads.select("fp", "node"), radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same), "tiles")
 
-    dealt = nodes.select("node", F.explode("bands").alias("band"))
+    dealt = nodes.select("node", "size", F.explode("bands").alias("band"))
     leaders = dealt.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(dealt.join(leaders.hint("merge"), "band"), "buckets")
     asked = buckets.select("node").union(tiled.select("a")).union(tiled.select("b")).distinct()
     inside = asked.join(nodes.select("node", "least.*"), "node")
-    found = rows.join(inside.hint("merge"), ["key", "text_hash"]).select("node", F.coalesce("text", F.lit("")).alias("text"))
-    texts = written(found.dropDuplicates(["node"]), "texts")
+    found = rows.join(inside.hint("merge"), ["key", "text_hash"]).dropDuplicates(["node"])
+    sets = written(found.select("node", shingles_of("text").alias("shingles")), "sets")
 
     stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     stars = written(stars.unionByName(tiled).distinct(), "pairs")
-    links = _verified(stars, texts, similarity, shingle_words)
-    labels = component_labels(links)
-    labelled = buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    open_bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    left = written(labelled.join(open_bands, "band"), "left")
-    one, other = left.select("band", F.col("node").alias("a"), F.col("label").alias("la")), left.select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-    apart = one.join(other, "band").where("a < b and la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(written(apart, "pairs"), texts, similarity, shingle_words))
+    links = _verified(stars, sets, similarity)
+    labelled = buckets.join(component_labels(links), "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"), "size")
+    links = links.unionByName(bucket_links(written(labelled, "members"), sets, similarity))
 
     grouped = nodes.select("node", "least").join(component_labels(links), "node", "left")
     return grouped.groupBy(F.coalesce("label", "node").alias("component")).agg(F.min("least").alias("least")).select(F.col("least.key").alias(key), "least.text_hash")

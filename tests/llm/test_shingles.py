@@ -72,3 +72,33 @@ def test_unlinked_texts_under_one_id_stay(spark):
     docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], SCHEMA)
     got = P.near_dedup(spark, docs, "").collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, one), (5, two), rows[5], rows[6], (0, two), (0, two)])
+
+
+def grouped(links, start):
+    """{node: smallest label} over links and the labels the nodes start with."""
+    reach = dict(start)
+    for _ in reach:
+        for a, b in links:
+            one, other = reach[a], reach[b]
+            reach = {n: min(one, other) if x in (one, other) else x for n, x in reach.items()}
+    return reach
+
+
+def test_blocks_of_a_bucket_against_all_pairs(spark, monkeypatch):
+    """Joined labels of a bucket are those of all its pairs, whatever the size of its blocks and of the matrices."""
+    rng = np.random.default_rng(5)
+    sets = {}
+    for n in range(60):
+        sets[n] = np.unique(np.concatenate([np.setdiff1d(np.arange(20) + 100 * (n % 4), rng.integers(0, 20, rng.integers(0, 4)) + 100 * (n % 4)), rng.integers(5000, 5010, n % 3)])).astype(np.uint64)
+    start = {n: n - 4 if n % 8 == 4 else n for n in sets}
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if S.alike(sets[a], sets[b], 0.8)]
+    want = grouped(pairs, start)
+    assert 4 <= len(set(want.values())) < len(set(start.values()))
+    members = spark.createDataFrame([(band, n, start[n], len(s)) for band in (1, 2) for n, s in sets.items()], "band long, node long, label long, size long")
+    held = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in sets.items()], "node long, shingles binary")
+    for block, shingles in ((1024, 10**6), (7, 10**6), (1024, 150)):
+        links = [(r.a, r.b) for r in S.bucket_links(members, held, 0.8, block, shingles).collect()]
+        assert set(map(tuple, map(sorted, links))) <= set(pairs) and grouped(links, start) == want
+    monkeypatch.setattr(S, "CELLS_AT_ONCE", 200)
+    found = S.cell_links(list(sets.values()), np.array([start[n] for n in sets]), len(sets), 0.8)
+    assert grouped(found, start) == want and len(found) == len(set(start.values())) - len(set(want.values()))
