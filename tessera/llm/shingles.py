@@ -8,11 +8,14 @@ and are verified likewise.  Each band's bucket is first a star around its smalle
 buckets whose nodes these links leave in different components are then compared whole: they are
 cut into blocks of bounded size, each pair of blocks is one cell, and a cell counts all its
 common shingles by a matrix product and returns only links that join components.  So no pairs
-are written, a dense group of copies costs its size, and a large bucket is many tasks.
+are written, a dense group of copies costs its size, and a large bucket is many tasks.  Whole
+texts are shuffled only if they may be like another one (see membership).
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import component_labels
-from .shared import written
+from .membership import maybe_among
+from .shared import fresh, written
 from .simhash import Forest, majority_bits, near_links
 
 BANDS, IN_BAND = 24, 5  # a pair at similarity s shares a band with probability 1 - (1 - s**5)**24: 0.9999 at 0.8
@@ -30,18 +34,34 @@ CELLS_AT_ONCE = 8_000_000  # entries of an incidence matrix at a time
 _RANDOM = np.random.default_rng(8)
 _TIMES, _PLUS = (_RANDOM.integers(0, 2**64, (BANDS * IN_BAND, 1), np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's bits
 _MIX = _RANDOM.integers(0, 2**64, (BANDS, IN_BAND), np.uint64) | np.uint64(1)
 
 
+@functools.cache
+def _places(words: int) -> np.ndarray:
+    """An odd factor for each place of a shingle."""
+    return np.random.default_rng(5).integers(0, 2**64, words, np.uint64) | np.uint64(1)
+
+
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of A-Z lower-cased words; of all words, if they are fewer."""
+    """Sorted distinct hashes of the shingles of A-Z lower-cased words; of all words, if they are fewer.
+
+    A shingle's hash mixes the sum of its words' hashes, each times the factor of its place.
+    """
     split = text.encode("utf-8", "surrogatepass").lower().split()
     if not split:
         return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(split) < words:
-        return np.array([digest(join(split), 42)], np.uint64)
-    return np.unique(np.array([digest(join(s), 42) for s in zip(*(split[i:] for i in range(words)))], np.uint64))
+    hashed, words = np.frombuffer(b"".join(map(xxhash.xxh64_digest, split)), ">u8").astype(np.uint64), min(words, len(split))
+    n = len(hashed) - words + 1
+    x = np.zeros(n, np.uint64)
+    for i, factor in enumerate(_places(words)):
+        x += hashed[i : i + n] * factor
+    for _ in range(2):
+        x ^= x >> np.uint64(32)
+        x *= _ODD
+    x = np.sort(x ^ (x >> np.uint64(32)))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
@@ -135,12 +155,8 @@ def bucket_links(members: DataFrame, sets: DataFrame, similarity: float, block:
     return written(cells.groupBy("band", "block", "with_block").applyInArrow(links, "a long, b long"), "joining")
 
 
-def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5, radius: int = 2) -> DataFrame:
-    """(key, text_hash) of one text, that with the smallest key, of every group of texts linked by similar pairs.
-
-    Rows with a null key are in no group.  Unlinked texts under one key each have a row.  Null
-    texts count as empty, and all empty ones are one group.  Other columns of df don't matter.
-    """
+def _groups(df: DataFrame, key: str, text: str, similarity: float, shingle_words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(key, text_hash) of every row with a key, and of the one text of every group that stays."""
 
     @F.pandas_udf("fp long, bits long, size long, bands array<bigint>")
     def signed(texts: pd.Series) -> pd.DataFrame:
@@ -166,9 +182,10 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarit
     leaders = dealt.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = written(dealt.join(leaders.hint("merge"), "band"), "buckets")
     asked = buckets.select("node").union(tiled.select("a")).union(tiled.select("b")).distinct()
-    inside = asked.join(nodes.select("node", "least.*"), "node")
-    found = rows.join(inside.hint("merge"), ["key", "text_hash"]).dropDuplicates(["node"])
-    sets = written(found.select("node", shingles_of("text").alias("shingles")), "sets")
+    inside = written(asked.join(nodes.select("node", "least.*"), "node"), "inside")
+    # Texts that no other text may be like don't move.
+    wanted = rows.where(maybe_among(F.xxhash64("key", "text_hash"), inside.select(F.xxhash64("key", "text_hash")))).dropDuplicates(["key", "text_hash"])
+    sets = written(wanted.join(inside.hint("merge"), ["key", "text_hash"]).select("node", shingles_of("text").alias("shingles")), "sets")
 
     stars = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     stars = written(stars.unionByName(tiled).distinct(), "pairs")
@@ -177,4 +194,23 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", similarit
     links = links.unionByName(bucket_links(written(labelled, "members"), sets, similarity))
 
     grouped = nodes.select("node", "least").join(component_labels(links), "node", "left")
-    return grouped.groupBy(F.coalesce("label", "node").alias("component")).agg(F.min("least").alias("least")).select(F.col("least.key").alias(key), "least.text_hash")
+    return prints.select("key", "text_hash"), grouped.groupBy(F.coalesce("label", "node").alias("component")).agg(F.min("least").alias("least")).select("least.key", "least.text_hash")
+
+
+def without_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, shingle_words: int = 5, radius: int = 2) -> DataFrame:
+    """The rows of df, with all their columns, but for one text, that with the smallest key, of every group of texts linked by similar pairs.
+
+    Texts decide, not keys: texts under one key that nothing links all stay, rows of equal key
+    and text count as one.  Rows with a null key are in no group and stay.  Null texts count as
+    empty, and all empty ones are one group.  Only rows that may go or repeat are moved.
+    """
+    prints, keep = _groups(df, key, text, similarity, shingle_words, radius)
+    keep = written(keep, "keep")
+    counted = prints.groupBy("key", "text_hash").agg(F.count("*").alias("n"))
+    odd = counted.join(keep.withColumn("stays", F.lit(True)).hint("merge"), ["key", "text_hash"], "left").where("n > 1 or stays is null")
+    hashed = text_hash(F.col(text))
+    doubtful = F.col(key).isNotNull() & maybe_among(F.xxhash64(F.col(key), hashed), odd.select(F.xxhash64("key", "text_hash")))
+    own = fresh("text_hash", df.columns)
+    once = df.where(doubtful).withColumn(own, hashed).dropDuplicates([key, own])
+    stay = once.join(keep.select(F.col("key").alias(key), F.col("text_hash").alias(own)).hint("merge"), [key, own], "left_semi")
+    return df.where(~doubtful).unionByName(stay.select(*df.columns))

@@ -1,9 +1,11 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tessera.llm import shingles as S
+from tessera.llm.membership import maybe_among
 from tests.llm.test_simhash import least_labels
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,3 +104,34 @@ def test_blocks_of_a_bucket_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(S, "CELLS_AT_ONCE", 200)
     found = S.cell_links(list(sets.values()), np.array([start[n] for n in sets]), len(sets), 0.8)
     assert grouped(found, start) == want and len(found) == len(set(start.values())) - len(set(want.values()))
+
+
+def test_shingle_hashes_are_those_of_the_words():
+    """Equal shingles, whatever the text around them and the case of A-Z, have equal hashes; others don't, in any order."""
+    text = "one Two three four five six one two three four five"
+    assert len(S.shingle_set(text)) == len(plain_set(text)) == 6
+    assert np.isin(S.shingle_set("ONE TWO three four five"), S.shingle_set(text)).all()
+    assert not np.isin(S.shingle_set("two one three four five"), S.shingle_set(text)).any()
+    assert len({int(S.shingle_set(t)[0]) for t in ("a", "a a", "a b", "b a", "a b c", "a a a")}) == 6
+
+
+def test_filter_lets_every_member_pass(spark):
+    members = spark.range(0, 3000).select(F.xxhash64("id").alias("h"))
+    rows = spark.range(0, 300_000).select("id", F.xxhash64("id").alias("h"))
+    passed = {r.id for r in rows.where(maybe_among(F.col("h"), members)).collect()}
+    assert set(range(3000)) <= passed and len(passed) < 3100
+    assert not rows.where(maybe_among(F.col("h"), members.limit(0))).count()
+
+
+def test_full_filter_changes_nothing(spark, monkeypatch):
+    """A filter that lets all rows pass gives the same rows: the joins behind it decide."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base + ["x"])), (2, " ".join(base[::-1])), (2, " ".join(base[::-1])), (3, "other words"), (None, "other words"), (4, None), (5, "")]
+    once = stage_of(spark, rows)
+    monkeypatch.setattr(S, "maybe_among", lambda h, members: h.isNotNull())
+    assert once == stage_of(spark, rows) == sorted([(1, rows[0][1]), (2, rows[2][1]), (3, "other words"), (4, "none"), (0, "other words")])
+
+
+def stage_of(spark, rows):
+    docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in rows], SCHEMA)
+    return sorted((r.doc_id or 0, "none" if r.text is None else r.text) for r in P.near_dedup(spark, docs, "").collect())
