@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import decontaminate, deobfuscate, mixing, queries, shingles, token_shards
-from tessera.llm.shared import new_path, written
+from tessera.llm.shared import new_path
 
 #: Token shares of the mix; as many tokens as leave the clean domain what it has.
 MIX = {"clean": 0.95, "low": 0.05}
@@ -37,12 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts decide, not ids: texts under one id that nothing links all stay, equal rows of one id
     and text count as one.  Rows without an id stay.
     """
-    keep = written(shingles.kept_texts(docs), "keep")
-    rows = packed(docs)
-    # Merged at every size: the texts that stay grow with the corpus, so a broadcast of few would not last.
-    known = rows.where("doc_id is not null").withColumn("text_hash", shingles.text_hash(F.col("text")))
-    kept = known.join(keep.hint("merge"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return kept.select("doc").unionByName(rows.where("doc_id is null").select("doc")).select("doc.*")
+    return shingles.without_near_copies(packed(docs)).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
