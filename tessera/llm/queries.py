@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe_transducer, decontaminate, deobfuscate, hmm_lm, line_dedup, mixing, quality_ftrl, simhash, tiff_pages, token_shards
+from . import bpe_transducer, decontaminate, deobfuscate, hmm_lm, later_queries, line_dedup, mixing, quality_ftrl, simhash, tiff_pages, token_shards
 
 
 def tokenizer_path(name: str) -> str:
@@ -155,6 +155,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_mixing": op9_mixing,
     "op10_token_shards": op10_token_shards,
+    **later_queries.QUERIES,
 }
 #: The others need tokenizers, trained models, codecs or hashes that SQL lacks; tests/llm checks them by brute force or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, **later_queries.ORACLE_SQL}
