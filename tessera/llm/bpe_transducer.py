@@ -77,8 +77,8 @@ def splitter_tables() -> tuple[np.ndarray, np.ndarray]:
                     to, mark = DONE, 0
                 else:
                     mark = BEFORE if kind == IN_LETTERS else HERE | BEFORE
-            if c == QUOTE and to == IN_OTHER and mark == HERE:
-                to = APOS  # a quote that starts a piece without a space before it
+            if c == QUOTE and to == IN_OTHER and mark & HERE:
+                to = APOS  # a quote that starts a piece without a space in it
             nxt[state, c], out[state, c] = to, mark
     return nxt.ravel(), out.ravel()
 
@@ -86,6 +86,32 @@ def splitter_tables() -> tuple[np.ndarray, np.ndarray]:
 _CLASSES: np.ndarray | None = None
 
 
+def _as_the_library(table: np.ndarray) -> None:
+    """Puts right which code points are letters and numbers: the library's tables and those of regex are of different Unicode versions.
+
+    Runs of one class that the library's own splitter keeps in one piece with a sign of that class
+    are as it has them; of all others every code point is asked for alone.  Beyond the third plane neither knows a letter.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    def kept(before: str, texts: list[str]) -> np.ndarray:
+        """Which of texts are one piece with before."""
+        ends = np.cumsum([len(x) + 2 for x in texts])
+        pieces = {place for _, place in ByteLevel(add_prefix_space=False).pre_tokenize_str("".join(f"{before}{x}\n" for x in texts))}
+        return np.array([(end - len(x) - 2, end - 1) in pieces for x, end in zip(texts, ends.tolist(), strict=True)], bool)
+
+    known = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x40000)])
+    cuts = np.flatnonzero(np.diff(table[known])) + 1
+    runs: dict[int, list[str]] = {LETTER: [], NUMBER: [], OTHER: []}
+    for run in np.split(known, cuts):
+        if table[run[0]] != WHITE:
+            runs[table[run[0]]].append("".join(map(chr, run.tolist())))
+    signs = {LETTER: "a", NUMBER: "1", OTHER: "!"}
+    unlike = [c for kind, texts in runs.items() for x, same in zip(texts, kept(signs[kind], texts), strict=True) if not same for c in x]
+    for kind in (LETTER, NUMBER, OTHER):
+        table[[ord(c) for c, same in zip(unlike, kept(signs[kind], unlike), strict=True) if same]] = kind
+
+
 def character_classes() -> np.ndarray:
     """Class of every code point; text ends are 0x110000."""
     global _CLASSES
@@ -101,6 +127,7 @@ def character_classes() -> np.ndarray:
                     table[a : b + 1] = kind
                 else:
                     table[[ord(x) for x in m[0]]] = kind
+        _as_the_library(table)
         for text, kind in ((" ", SPACE), ("'", QUOTE), ("stmd", SHORT), ("r", R), ("e", E), ("v", V), ("l", L)):
             table[[ord(x) for x in text]] = kind
         table[0x110000] = END

@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+HOT = 1000  # keys that a lookup broadcasts, at most
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """The rows that have their key in table, with its other columns; keys are never null, and unique in table.
+
+    weight: table's column of how many rows each key has.  Keys with over one HOT-th of them, HOT
+    at most, are broadcast and their rows stay where they are; the others are shuffled.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) * HOT > total).drop(weight))
+    cold = table.where(F.col(weight) * HOT <= total).drop(weight)
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """name, or name with underscores before it, so that it is none of taken, whatever the case."""
     known = {c.lower() for c in taken}

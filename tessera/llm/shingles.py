@@ -5,16 +5,18 @@ operator's tiled exact comparison (see simhash) links those within its radius; e
 verified on the shingles themselves.  A similarity of 0.8 reaches further than tiles can (such
 fingerprints differ in some ten bits), so further candidates share a band of MinHash values,
 and are verified likewise.  Each band's bucket is first a star around its smallest node.  The
-buckets whose nodes these links leave in different components are then compared whole: they are
-cut into blocks of bounded size, each pair of blocks is one cell, and a cell counts all its
-common shingles by a matrix product and returns only links that join components.  So no pairs
-are written, a dense group of copies costs its size, and a large bucket is many tasks.  Whole
-texts are shuffled only if they may be like another one (see membership).
+buckets whose nodes these links leave in different components are then compared whole: a cell
+counts all its common shingles by a matrix product and returns only links that join components.
+So no pairs are written and a dense group of copies costs its size.  Nodes of a bucket of more
+than a block (texts of one template) are compared only with those that share a rare shingle and
+could be alike by size and place (a prefix filter, exact), in blocks if these are still many.
+Whole texts are shuffled only if they may be like another one (see membership).
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,12 +26,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import component_labels
 from .membership import maybe_among
-from .shared import fresh, written
+from .shared import Sent, fresh, looked_up, written
 from .simhash import Forest, majority_bits, near_links
 
 BANDS, IN_BAND = 24, 5  # a pair at similarity s shares a band with probability 1 - (1 - s**5)**24: 0.9999 at 0.8
 AT_ONCE = 4096  # shingles hashed at a time
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000  # nodes, and shingles, of a block of a bucket, about
+SLOTS = 1 << 20  # counters of shingles, which put them in order
 CELLS_AT_ONCE = 8_000_000  # entries of an incidence matrix at a time
 _RANDOM = np.random.default_rng(8)
 _TIMES, _PLUS = (_RANDOM.integers(0, 2**64, (BANDS * IN_BAND, 1), np.uint64) for _ in range(2))
@@ -128,18 +131,23 @@ def cell_links(sets: list[np.ndarray], labels: np.ndarray, low: int, similarity:
     return forest.add(a, b + since)
 
 
-def bucket_links(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links (a, b) that join the labels of every bucket of members (band, node, label, size); sets: (node, shingles).
-
-    All pairs of a bucket are compared; buckets of the same nodes count as one.
-    """
+def _uneven(members: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(band, blocks) of the buckets of members (band, node, label, size) with more than one label; buckets of the same nodes count as one."""
     h = F.xxhash64("node")
     buckets = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(h).alias("x"), F.min(h).alias("least"), F.max(h).alias("most"))
     buckets = buckets.where("low < high").groupBy("n", "x", "least", "most", "shingles").agg(F.min("band").alias("band"))
-    cuts = buckets.select("band", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
+    return buckets.select("band", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
+
+
+def cells_of(members: DataFrame, cuts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of every pair of blocks of the buckets of cuts (band, blocks), with their shingles."""
     dealt = members.join(cuts.hint("merge"), "band").withColumn("mine", F.expr("cast(pmod(xxhash64(node, band), blocks) as int)"))
     dealt = dealt.join(sets.hint("merge"), "node").withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("band", F.least("mine", "theirs").alias("block"), F.greatest("mine", "theirs").alias("with_block"), (F.col("mine") > F.col("theirs")).alias("second"), "node", "label", "shingles")
+    return dealt.select("band", F.least("mine", "theirs").alias("block"), F.greatest("mine", "theirs").alias("with_block"), (F.col("mine") > F.col("theirs")).alias("second"), "node", "label", "shingles")
+
+
+def _compared(cells: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between labels within each cell."""
 
     def links(cell: pa.Table) -> pa.Table:
         cell = cell.sort_by("second")
@@ -152,7 +160,73 @@ def bucket_links(members: DataFrame, sets: DataFrame, similarity: float, block:
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
 
-    return written(cells.groupBy("band", "block", "with_block").applyInArrow(links, "a long, b long"), "joining")
+    return cells.groupBy("band", "block", "with_block").applyInArrow(links, "a long, b long")
+
+
+def postings(crowd: DataFrame, similarity: float) -> DataFrame:
+    """(band, node, label, size): the nodes of crowd (node, label, size, shingles) that share a rare shingle and may be alike.
+
+    Shingles are put in one order for all nodes, rare ones first.  Of two alike sets the
+    shorter has one of its first size - 2s/(1+s) size + 1 shingles among the first
+    size - s size + 1 of the longer one, and behind it both have as many as they must share.
+    How rare a shingle is comes from counts in SLOTS slots; any order gives the same links,
+    and this one leaves out what all texts of a template have in common.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"slot": at, "n": total[at]})
+
+    found = crowd.select("shingles").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    sent = Sent(crowd.sparkSession, counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for node, label, x in zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)), batch.column(2), strict=True):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                size = len(x)
+                n = size - int(np.ceil(similarity * size - 1e-9)) + 1
+                first = x[np.lexsort((x, sent.value[(x % np.uint64(SLOTS)).astype(np.int64)]))[:n]].view(np.int64)
+                n = len(first)
+                index = size - int(np.ceil(2 * similarity / (1 + similarity) * size - 1e-9)) + 1
+                for column, v in zip(out, (first, np.full(n, node), np.full(n, label), np.full(n, size), size - np.arange(n), np.arange(n) < index), strict=True):
+                    column.append(v)
+            empty = [np.zeros(0, np.int64)]
+            columns = [np.concatenate(c or empty) for c in out]
+            columns[5] = columns[5].astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "node", "label", "size", "left", "short"])
+
+    rows = written(crowd.select("node", "label", "shingles").mapInArrow(prefixes, "band long, node long, label long, size long, left long, short boolean"), "prefixes")
+    short = lambda f, c: f(F.when(F.col("short"), F.col(c)))
+    shared = rows.groupBy("band").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high"), short(F.min, "size").alias("least"), short(F.max, "size").alias("most"))
+    shared = written(shared.where("low < high and least is not null").select("band", "rows", "least", "most"), "shared")
+    near = looked_up(rows, shared, "band", "rows")
+    must = 2 * similarity / (1 + similarity) / 2
+    return near.where((F.col("left") >= must * (F.col("size") + F.col("least")) - 1e-6) & (similarity * F.col("size") <= F.col("most") + 1e-6)).select("band", "node", "label", "size")
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) that join the labels of every bucket of members (band, node, label, size); sets: (node, shingles).
+
+    A bucket of one block is compared whole.  The nodes of larger ones are gathered once, and those that share a rare
+    shingle (see postings) are compared instead: texts of one template that aren't alike cost their size.
+    """
+    cuts = written(_uneven(members, block, block_shingles), "buckets")
+    found = written(_compared(cells_of(members, cuts.where("blocks = 1"), sets), similarity), "joining")
+    large = cuts.where("blocks > 1")
+    if large.isEmpty():
+        return found
+    crowd = members.join(large.select("band").hint("merge"), "band").groupBy("node").agg(F.first("label").alias("label"), F.first("size").alias("size"))
+    crowd = written(crowd.join(sets.hint("merge"), "node"), "crowd")
+    finer = written(postings(crowd, similarity), "postings")
+    return written(found.unionByName(_compared(cells_of(finer, _uneven(finer, block, block_shingles), crowd.select("node", "shingles")), similarity)), "joining")
 
 
 def _groups(df: DataFrame, key: str, text: str, similarity: float, shingle_words: int, radius: int) -> tuple[DataFrame, DataFrame]:

@@ -47,9 +47,10 @@ SAMPLED = 60  # rows of the sample for each shard
 PIECES_KEPT = 600_000  # pieces whose ids a worker remembers
 
 # Texts that the fast path leaves to the library: code points whose case mapping, composition
-# or class could differ between libraries, and the special tokens' first two characters.
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ɏ]|<\\|")
-_LETTERS = "a-zªµºß-öø-ɏ"
+# or class could differ between libraries (also two letters below U+0250 whose small form lies
+# beyond the block of phonetic letters), and the special tokens' first two characters.
+_UNUSUAL = re.compile("[^\x00-\x1b\x20-įı-ȹȻ-Ƚȿ-ɏ]|<\\|")
+_LETTERS = "a-zªµºß-öø-ʯ"  # small forms of all letters of the fast path: up to U+02AF
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\\s0-9²³¹¼-¾{_LETTERS}]+")
 
 
@@ -63,7 +64,7 @@ class Pieces(dict):
         self.shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}  # the model's sign for each byte
 
     def __missing__(self, piece: str) -> bytes:
-        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        signs = piece.encode().decode("latin-1").translate(self.shown)
         ids = [t.id for t in self.model.tokenize(signs)]
         self[piece] = packed = struct.pack(f"<{len(ids)}{self.form}", *ids)
         return packed

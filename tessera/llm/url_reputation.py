@@ -17,14 +17,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import written
+from .shared import looked_up, written
 
 #: Bounds of a level's concentration, and its value where no unit has two labelled pages.
 WEAKEST, STRONGEST, UNKNOWN = 1.0, 10_000.0, 10.0
 #: Suffixes of more than one label, below which names are registered; parameter suffixes has others.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.za")
-#: Keys with over one HOT-th of all rows are looked up by broadcast: HOT keys at most.
-HOT = 1000
 
 _PARTS = "://([^/?#]*)([^?#]*)"
 
@@ -63,14 +61,6 @@ def ruled(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tupl
     return rule, verdict
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """rows with table's other columns by key, which is never null and unique in table; weight: table's column of rows for each key."""
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    hot = F.broadcast(table.where(F.col(weight) * HOT > total).drop(weight))
-    cold = table.where(F.col(weight) * HOT <= total).drop(weight)
-    return rows.join(hot, key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
-
-
 def _concentration(units: DataFrame) -> float:
     """Concentration of the beta-binomial that fits units (bad, n, prior) by the method of moments."""
     plain = F.expr("n * prior * (1 - prior)")

@@ -135,3 +135,23 @@ def test_full_filter_changes_nothing(spark, monkeypatch):
 def stage_of(spark, rows):
     docs = spark.createDataFrame([(k, t, "en", "a", 0) for k, t in rows], SCHEMA)
     return sorted((r.doc_id or 0, "none" if r.text is None else r.text) for r in P.near_dedup(spark, docs, "").collect())
+
+
+def test_templates_cost_their_size(spark):
+    """Texts of one template at a similarity of 0.7 share a bucket; what is compared grows with their number, not its square, and planted pairs are found."""
+
+    def cells(n):
+        rng = np.random.default_rng(n)
+        sets = {i: np.unique(np.concatenate([np.arange(100), rng.integers(1000, 2**62, 21)])).astype(np.uint64) for i in range(n)}
+        for i in range(0, n, 50):  # alike to the next one, in all but two shingles
+            sets[i] = np.unique(np.concatenate([sets[i + 1][:-2], rng.integers(1000, 2**62, 2).astype(np.uint64)]))
+        members = spark.createDataFrame([(7, i, i, len(s)) for i, s in sets.items()], "band long, node long, label long, size long")
+        held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, shingles binary")
+        links = {tuple(sorted((r.a, r.b))) for r in S.bucket_links(members, held, 0.8, 100, 10**6).collect()}
+        assert links == {(i, i + 1) for i in range(0, n, 50)}
+        crowd = members.select("node", "label", "size").join(held, "node").select("node", "label", "size", "shingles")
+        finer = S.postings(crowd, 0.8)
+        return S.cells_of(finer, S._uneven(finer, 100, 10**6), held).count()
+
+    few, many = cells(500), cells(1000)
+    assert 0 < many < 2.5 * few and many < 1000

@@ -125,3 +125,26 @@ def test_null_keys_are_no_number(tmp_path):
     writer.close()
     reader = token_shards.ShardReader(folder, 3)
     assert reader.keyless == 2 and reader.keys[2:].tolist() == [-(1 << 63), 0] and reader.read(3).tolist() == [1]
+
+
+def same_as_the_libraries(texts):
+    words, pairs = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("byte_bpe_50k.json")
+    encoder = token_shards.Encoder(words)
+    want = [encoder.packed(e.ids) for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, x, y in zip(texts, encoder.encode(texts), want, strict=True) if x != y] == []
+    counts = [len(e.ids) for e in Tokenizer.from_file(pairs).encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, x, y in zip(texts, bpe_transducer.count_tokens(texts, pairs).tolist(), counts, strict=True) if x != y] == []
+
+
+@pytest.mark.parametrize("around", ["{}", "a{}b", " {}'s", "x\n{}{}1 'll", "{}'ve"])
+def test_every_code_point_below_3000(around):
+    same_as_the_libraries([around.replace("{}", chr(c)) for c in range(0x3000)])
+
+
+def test_random_strings_of_hard_signs():
+    import random
+
+    rng = random.Random(8)
+    signs = ["'s", "'ll", "'re", "'ve", "'d", "'", "r", "v", "l", "e", " ", "\n", "\t", "\r", " ", " ", "\u0085", "a", "b", "Ɓ", "Ə", "Ʉ", "ɏ", "Ⱥ", "Ⱦ", "1", "½", "!", "\x00", "\x07", "\x1c", "\x7f", "é", "日", "<|", "̀", "İ", "ß", "Σ", "ﬁ"]
+    same_as_the_libraries(["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(10_000)])
+    same_as_the_libraries(["x\n's", "a\t've", "x\n'd", "\n\n'll", "'r's", " 'll", "a\x00", "aƁb"])
