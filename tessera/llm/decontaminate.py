@@ -19,6 +19,7 @@ from .shared import Sent
 
 ITEMS_AT_ONCE = 10_000  # items of one automaton, and their characters; more take more passes over the texts
 CHARACTERS_AT_ONCE = 8_000_000
+LEAST = 16  # characters of an item, normalised: shorter ones stand in clean texts by chance
 
 
 def normalised(text: str | None) -> str:
@@ -67,10 +68,10 @@ def best_end(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of a block of items in one automaton."""
 
-    def __init__(self, items: list[tuple], rate: float):
+    def __init__(self, items: list[tuple], rate: float, least: int = LEAST):
         import ahocorasick
 
-        self.items = [(k, t) for k, t in ((k, normalised(t)) for k, t in items) if t]
+        self.items = [(k, t) for k, t in ((k, normalised(t)) for k, t in items) if len(t) >= max(1, least)]
         self.rate = rate
         where: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(self.items):
@@ -148,7 +149,7 @@ def item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[lis
 
 
 def holds_none(sent: Sent):
-    """A filter for texts without any item of a broadcast (items, rate)."""
+    """A filter for texts without any item of a broadcast (items, rate, least)."""
 
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -159,19 +160,20 @@ def holds_none(sent: Sent):
     return clean
 
 
-def uncontaminated(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
+def uncontaminated(df: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08, least: int = LEAST) -> DataFrame:
     """The rows of df, with all their columns, whose whole text holds no test item within its budget (see contaminated); null and empty texts stay."""
     for block in item_blocks(items, item_key, item_text):
-        df = df.where(holds_none(Sent(df.sparkSession, (block, rate)))(F.col(text).cast("string")))
+        df = df.where(holds_none(Sent(df.sparkSession, (block, rate, least)))(F.col(text).cast("string")))
     return df
 
 
-def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08) -> DataFrame:
+def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rate: float = 0.08, least: int = LEAST) -> DataFrame:
     """(key, item_id, distance, begin, end): the best occurrence of every test item in every whole text, within rate edits a character.
 
     Of an item that a text holds more than once, only the occurrence with the fewest edits, the
     first of equals, has a row.  begin and end are places of the normalised text.  Keys of texts
-    and items keep their types.  Null or empty texts and items match nothing; equal items and
+    and items keep their types.  Null or empty texts, and items of
+    under least characters, match nothing; equal items and
     repeated rows each have their own rows; rows come back whatever their key, null too.  Other
     columns of df don't matter.  Items are read in blocks, each of which is matched against all
     texts; no text is moved.
@@ -182,7 +184,7 @@ def contaminated(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     item_type = to_arrow_type(items.schema[item_key].dataType)
     found = None
     for block in item_blocks(items, item_key, item_text):
-        sent = Sent(spark, (block, rate))
+        sent = Sent(spark, (block, rate, least))
 
         def match(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             by = matcher(sent)

@@ -170,13 +170,24 @@ def disguised(token: str) -> bool:
 
 
 _SPACED = re.compile(r"(?<![^\s])[^\s](?:[ .\-_*~/][^\s.\-_*~/]){2,}(?![^\s.,;:!?])")
-_SIGN_TAIL = re.compile(r"(?:([^\w\s])\1\1+|[.,;:!?'\")\]}…»]+)$")
+_ONE_SIGN = re.compile(r"[^\w\s]")
+_CLOSING = ".,;:!?'\")]}…»"
 _RUNS = re.compile(r"(.)\1+", re.DOTALL)
 
 
+def without_tail(token: str) -> str:
+    """A token without its closing signs, or without the three or more equal signs that it ends in, whichever takes more."""
+    end, last = len(token.rstrip(_CLOSING)), token[-1:]
+    if _ONE_SIGN.match(last):
+        before = len(token.rstrip(last))
+        if len(token) - before >= 3:
+            end = min(end, before)
+    return token[:end]
+
+
 def restore_token(token: str, model: np.ndarray) -> str:
     """The restored reading of one lower-cased token; words inside it are separated by spaces."""
-    token = _SIGN_TAIL.sub("", token)
+    token = without_tail(token)
     if disguised(token):
         return viterbi(lattice(token), model)
     return token.strip(PUNCTUATION)

@@ -186,6 +186,48 @@ def with_copies(table: DataFrame, rows: int) -> DataFrame:
     return upto.withColumn("copies", (F.floor("upto_") - F.floor(before)).cast("int")).drop("group_", "upto_")
 
 
+def evened(table: DataFrame, totals: list[float], tolerance: float = 0.003, most_rounds: int = 24) -> DataFrame:
+    """table (n_tokens, posterior, rate, copies, ...), read as stored, with a few rows' copies moved to the other whole number beside their rate, so that each domain's tokens come to totals.
+
+    In a round every domain that is off by more than tolerance moves the one of its rows whose
+    tokens come nearest to what it is off by.  Large tables are even enough from the draw and
+    need no round; small ones, where one document is a percent, need some.  Rounds are bounded
+    and move a row for each domain, so the rows named in the result are few.
+    """
+    d = range(len(totals))
+    n = F.col("n_tokens").cast("double")
+    own = F.array_position("posterior", F.array_max("posterior")) - 1
+    have = table.agg(*[F.sum(F.col("copies") * n * F.col("posterior")[i]).alias(f"t{i}") for i in d]).first()
+    off = [totals[i] - (have[f"t{i}"] or 0.0) for i in d]
+    moved: dict[int, int] = {}
+    rows = table.withColumn("row_", F.monotonically_increasing_id())
+    for _ in range(most_rounds):
+        wide = [i for i in d if abs(off[i]) > tolerance * max(1.0, totals[i])]
+        if not wide:
+            break
+        best = []
+        for i in wide:
+            tokens = n * F.col("posterior")[i]
+            may = (own == i) & (F.col("copies") < F.col("rate") if off[i] > 0 else F.col("copies") > F.col("rate")) & (tokens > 0) & (tokens < 2 * abs(off[i]))
+            if moved:
+                may = may & ~F.col("row_").isin(list(moved))
+            best.append(F.min(F.when(may, F.struct(F.abs(tokens - abs(off[i])), "row_", "n_tokens", "posterior"))).alias(f"b{i}"))
+        found = rows.agg(*best).first()
+        if not any(found[f"b{i}"] for i in wide):
+            break
+        for i in wide:
+            if row := found[f"b{i}"]:
+                step = 1 if off[i] > 0 else -1
+                if row.row_ in moved or abs(off[i] - step * row.n_tokens * row.posterior[i]) >= abs(off[i]):
+                    continue
+                moved[row.row_] = step
+                off = [off[j] - step * row.n_tokens * row.posterior[j] for j in d]
+    if not moved:
+        return table
+    step = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in moved.items() for x in pair]), F.col("row_")), F.lit(0))
+    return rows.withColumn("copies", (F.col("copies") + step).cast("int")).drop("row_")
+
+
 def memberships(df: DataFrame, model: DomainModel, key: str = "doc_id", text: str = "text", temper: float = 2.0, carry: list[str] | None = None) -> DataFrame:
     """A written table (carry..., drawn_by, n_tokens, posterior): hash of key and text, words of every whole text, its domain posteriors.
 
@@ -202,7 +244,7 @@ def memberships(df: DataFrame, model: DomainModel, key: str = "doc_id", text: st
 def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", total: float | None = None, total_of: str | None = None, carry: list[str] | None = None, whole: str | None = None) -> DataFrame:
     """(carry..., n_tokens, posterior, rate, copies) for every row of df.
 
-    Copies have the rate as expectation (see with_copies).  whole: a domain whose rows, those that belong to it
+    Copies have the rate as expectation (see with_copies) and come to the domains' totals (see evened).  whole: a domain whose rows, those that belong to it
     more than to all others, have a rate of 1 at least.
 
     weights: share of each domain of the model; domains without one get none.  The mix has
@@ -222,6 +264,7 @@ def mixed(df: DataFrame, model: DomainModel, weights: dict[str, float], key: str
             total = have[total_of] / share[total_of] if total_of in have and share[total_of] > 0 else sum(have.values())
         least = F.when(F.col("posterior")[names.index(whole)] > 0.5, 1.0).otherwise(0.0) if whole in names else None
         fitted = fit_rates(table, names, {name: share[name] * total for name in names}, least=least)
-        return with_copies(table.withColumn("rate", fitted.rate.cast("double")), now.rows).drop("drawn_by")
+        drawn = written(with_copies(table.withColumn("rate", fitted.rate.cast("double")), now.rows).drop("drawn_by"), "copies")
+        return evened(drawn, fitted.totals)
     # nothing is labelled: every document stays as it is
     return table.withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1)).drop("drawn_by")

@@ -177,7 +177,7 @@ def near_links(prints: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFr
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle_words: int = 3) -> DataFrame:
     """(key, fp, component_id) of every row of df; component_id: the smallest key reachable over links.
 
-    Fingerprints link at radius or fewer differing bits; equal ones always.  Null and empty
+    Keys are whole numbers (others: number them first).  Fingerprints link at radius or fewer differing bits; equal ones always.  Null and empty
     texts have fingerprint zero and are linked like any other.  Rows with a null key keep
     their fingerprint and get a null component.  Repeated rows stay as they are.
     """

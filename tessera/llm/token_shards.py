@@ -10,8 +10,8 @@ zstandard tool still reads the file.  The seek table lists each frame's compress
 size and the low 32 bits of the XXH64 of its plain bytes; its footer holds the number of frames.
 A reader fetches the tail, then only the bytes of the frames it wants.
 
-Shards are ranges of the order by key, cut so that each has about as many bytes of text.  The
-cuts come from a sample that the driver weighs, as Spark's own range partitioning does, but of
+Ranges of the order by key are cut so that each has about as many bytes of text; a task sorts its
+range and streams it into shards, one after the other, none over a fixed size.  The cuts come from a sample that the driver weighs, as Spark's own range partitioning does, but of
 keys, digests and lengths alone, so no text is encoded for it.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .shared import Sent, local_file, new_path, written
 
@@ -40,9 +40,10 @@ SEEK_TABLE_FRAME, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 KEYS_FRAME = 0x184D2A50  # a skippable frame of this format's own: id width, rows without a key, then the keys
 KEYS_HEAD = struct.Struct("<BQ")
 
-SHARD_BYTES = 32 << 20  # text of a shard, about
-MOST_SHARDS = 16_384  # beyond that shards grow
-SAMPLED = 60  # rows of the sample for each shard
+SHARD_BYTES = 32 << 20  # text of a range, about
+WIDE = 4  # a file has so many times as many bytes of ids at most, unless one document has more
+MOST_RANGES = 65_536  # tasks that sort; beyond that their ranges grow and fill several files each
+SAMPLED = 60  # rows of the sample for each range
 
 PIECES_KEPT = 600_000  # pieces whose ids a worker remembers
 
@@ -134,13 +135,18 @@ def id_width(tokenizer: str) -> int:
     return Encoder(tokenizer).width
 
 
+def shard_file(shard: int, file: int = 0) -> str:
+    """Name of a range's file; those after the first have a number of their own."""
+    return f"shard-{shard:08d}{f'-{file:06d}' if file else ''}.ids.zst"
+
+
 class ShardWriter:
     """Writes one shard beside its final name and renames it at the end, so a task that is run again replaces it whole."""
 
-    def __init__(self, folder: str, shard: int, width: int):
+    def __init__(self, folder: str, shard: int, width: int, file: int = 0):
         self.files, root = fs.FileSystem.from_uri(folder)
         self.files.create_dir(root, recursive=True)
-        self.path, self.width = f"{root}/shard-{shard:08d}.ids.zst", width
+        self.path, self.width, self.bytes = f"{root}/{shard_file(shard, file)}", width, 0
         self.part = f"{self.path}.{uuid.uuid4().hex}"
         self.out = self.files.open_output_stream(self.part)
         self.zstd = zstandard.ZstdCompressor(level=3, write_checksum=True)
@@ -150,6 +156,7 @@ class ShardWriter:
         """Rows without a key come before all others."""
         frame = self.zstd.compress(ids)
         self.out.write(frame)
+        self.bytes += len(ids)
         self.table.append(struct.pack("<III", len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
         self.keyless += key is None
         self.keys.append(key or 0)
@@ -166,9 +173,9 @@ class ShardWriter:
 class ShardReader:
     """Random access to the documents of one shard."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, shard: int, file: int = 0):
         files, root = fs.FileSystem.from_uri(folder)
-        self.file = files.open_input_file(f"{root}/shard-{shard:08d}.ids.zst")
+        self.file = files.open_input_file(f"{root}/{shard_file(shard, file)}")
         size = self.file.size()
         frames, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
         if magic != SEEKABLE_MAGIC or flags != CHECKSUMS:
@@ -199,16 +206,18 @@ def shard_cuts(df: DataFrame, key: str = "key", tie: str = "tie", size: str = "s
     a sample of SAMPLED rows a shard, whose sizes are halved and quartered by weight.
     """
     whole = df.agg(F.count("*").alias("n"), F.sum(F.col(size).cast("double")).alias("bytes")).first()
-    shards = min(MOST_SHARDS, round((whole.bytes or 0) / shard_bytes))
+    shards = min(MOST_RANGES, round((whole.bytes or 0) / shard_bytes))
     if shards < 2:
         return []
     rows = df.sample(min(1.0, SAMPLED * shards / whole.n), seed).select(F.col(key).isNotNull().alias("has"), F.coalesce(key, F.lit(0)).alias("k"), F.col(tie).alias("t"), F.coalesce(size, F.lit(0)).alias("s"))
-    places = sorted((r.has, r.k, r.t, r.s) for r in rows.collect())
-    if not places:
+    sample = rows.toArrow()  # 100 MB at most
+    if not sample.num_rows:
         return []
-    upto = np.cumsum([p[3] + 1.0 for p in places])
-    at = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)
-    return [places[i][:3] for i in at.tolist()]
+    has, k, t, s = (sample[c].to_numpy() for c in ("has", "k", "t", "s"))
+    order = np.lexsort((s, t, k, has))
+    upto = np.cumsum(s[order] + 1.0)
+    at = order[np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)]
+    return list(zip(has[at].tolist(), k[at].tolist(), t[at].tolist(), strict=True))
 
 
 class Placer:
@@ -250,56 +259,61 @@ def _dealt(rows: DataFrame, cuts: list[tuple[bool, int, int]], make) -> DataFram
 
 
 def write_shards(df: DataFrame, folder: str, width: int, key: str = "doc_id", ids: str = "ids", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes df's packed ids into shards in ascending key order, rows without a key first; returns (shard, n_docs, n_tokens).
+    """Writes df's packed ids into shards in ascending key order, rows without a key first; returns (shard, file, n_docs, n_tokens).
 
     Keys are whole numbers.  A digest of the ids orders the rows of one key, so that a key's
     rows, however many, can be spread over shards.  df is read three times.
     """
     rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(ids).alias("tie"), F.col(ids).alias("value"))
     cuts = shard_cuts(rows.select("key", "tie", F.octet_length("value").alias("size")), shard_bytes=shard_bytes)
-    return _shards(_dealt(rows, cuts, lambda values: values), folder, width)
+    return _shards(_dealt(rows, cuts, lambda values: values), folder, width, WIDE * shard_bytes)
 
 
-def _shards(dealt: DataFrame, folder: str, width: int) -> DataFrame:
-    """Writes rows (shard, key, ids), a shard's together and in order; a shard streams through its task, frame by frame."""
+def _shards(dealt: DataFrame, folder: str, width: int, most: int) -> DataFrame:
+    """Writes rows (shard, key, ids), a range's together and in order; they stream through its task, frame by frame, into files of most bytes of ids."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, now, tokens = None, None, 0
-        done: list[tuple[int, int, int]] = []
+        out, now, file, tokens = None, None, 0, 0
+        done: list[tuple[int, int, int, int]] = []
 
         def finish() -> None:
             out.close()
-            done.append((now, len(out.keys), tokens))
+            done.append((now, file, len(out.keys), tokens))
 
         for batch in batches:
             for shard, k, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if shard != now:
+                if shard != now or out.bytes + len(packed) > most and out.bytes:
                     if out:
                         finish()
-                    out, now, tokens = ShardWriter(folder, shard, width), shard, 0
+                    file = file + 1 if shard == now else 0
+                    out, now, tokens = ShardWriter(folder, shard, width, file), shard, 0
                 out.add(k, packed)
                 tokens += len(packed) // width
         if out:
             finish()
-        yield pa.RecordBatch.from_pydict({n: pa.array([d[i] for d in done], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())))})
+        yield pa.RecordBatch.from_pydict({n: pa.array([d[i] for d in done], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())))})
 
-    return written(dealt.mapInArrow(write, "shard int, n_docs long, n_tokens long"), "shards")
+    return written(dealt.mapInArrow(write, "shard int, file int, n_docs long, n_tokens long"), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str, key: str = "doc_id", wanted: list[int] | None = None) -> DataFrame:
     """(key, start, n_tokens, ids) read back from the files; start: ids of all documents before it.
 
-    With wanted, only the frames of those keys are read and decompressed.  The window is over a
-    row for each shard, of which there are MOST_SHARDS at most.
+    With wanted, only the frames of those keys are read and decompressed.  Files are counted up
+    within their range, and ranges, of which there are MOST_RANGES at most, by one window.
     """
-    first = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    listed = shards.select("shard", first.alias("first")).repartition(max(1, shards.count()))  # a row for each file
+    def before(of: Window) -> Column:
+        return F.coalesce(F.sum("n_tokens").over(of.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    ranges = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).select("shard", before(Window.orderBy("shard")).alias("ahead"))
+    first = F.col("ahead") + before(Window.partitionBy("shard").orderBy("file"))
+    listed = shards.join(F.broadcast(ranges), "shard").select("shard", "file", first.alias("first")).repartition(max(1, shards.count()))  # a row for each file
     want = None if wanted is None else np.unique(np.asarray(wanted, np.int64))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, first in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-                reader = ShardReader(folder, shard)
+            for shard, file, first in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                reader = ShardReader(folder, shard, file)
                 starts = first + np.cumsum(reader.tokens) - reader.tokens
                 chosen = np.arange(len(reader.keys)) if want is None else np.flatnonzero(np.isin(reader.keys, want) & (np.arange(len(reader.keys)) >= reader.keyless))
                 for at in range(0, len(chosen), 1000):
@@ -331,4 +345,4 @@ def tokenized(df: DataFrame, tokenizer: str, end_id: int | None, key: str = "doc
         return [x + last for x in encoder.encode(texts)]
 
     dealt = _dealt(rows.select("key", F.xxhash64("text").alias("tie"), "text"), cuts, encode)
-    return read_shards(_shards(dealt, folder, id_width(tokenizer)), folder, key)
+    return read_shards(_shards(dealt, folder, id_width(tokenizer), WIDE * shard_bytes), folder, key)

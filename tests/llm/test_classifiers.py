@@ -142,6 +142,29 @@ def test_long_tokens_take_linear_time(model):
         assert time.time() - began < 20
 
 
+def test_runs_of_signs_take_linear_time(model):
+    import time
+
+    for token in ("!" * 1_000_000 + "a", ".," * 500_000 + "a", "a" + "!" * 1_000_000, "-" * 1_000_000 + "a."):
+        began = time.time()
+        D.without_tail(token)
+        assert time.time() - began < 0.5
+    for token in ("!" * 1_000_000 + "a", "a" + "?" * 1_000_000):
+        began = time.time()
+        D.restored_text(token, model)
+        assert time.time() - began < 2
+
+
+def test_tails_are_those_of_the_pattern():
+    import random
+    import re
+
+    tail, rng = re.compile(r"(?:([^\w\s])\1\1+|[.,;:!?'\")\]}…»]+)$"), random.Random(1)
+    for _ in range(20_000):
+        token = "".join(rng.choices("ab1_!.,*~)é", k=rng.randrange(9)))
+        assert tail.sub("", token) == D.without_tail(token)
+
+
 def test_bias_has_its_own_position(model):
     for text in ("", "one two", "ÄÖ x1y " * 50):
         assert (Q.features(text) == 0).sum() == 1 and Q.features(text)[-1] == 0

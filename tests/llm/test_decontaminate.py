@@ -81,3 +81,13 @@ def test_keys_of_any_type(spark, monkeypatch):
         monkeypatch.setattr(C, "CHARACTERS_AT_ONCE", most)
         assert sorted((r.doc_id or "", r.item_id, r.distance) for r in C.contaminated(df, bench).collect()) == [("", "i1", 0), ("a", "i1", 0)]
         assert C.uncontaminated(df, bench).count() == 0
+
+
+def test_short_items_are_no_evidence(spark):
+    """An item of under LEAST characters, normalised, matches nothing and empties no corpus, unless the caller asks for it."""
+    items = spark.createDataFrame([(1, "a"), (2, " An   item of 15 "), (3, "An item as of 16")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "banana bread"), (2, "so an item of 15 it is"), (3, "so an item as of 16 it is")], "doc_id long, text string")
+    assert [len(C.normalised(r.text)) for r in items.orderBy("item_id").collect()] == [1, 13, 16]
+    assert [(r.doc_id, r.item_id) for r in C.contaminated(docs, items, rate=0.0).collect()] == [(3, 3)]
+    assert sorted(r.doc_id for r in C.uncontaminated(docs, items, rate=0.0).collect()) == [1, 2]
+    assert {(r.doc_id, r.item_id) for r in C.contaminated(docs, items, least=1, rate=0.0).collect()} == {(1, 1), (2, 1), (3, 1), (2, 2), (3, 3)}

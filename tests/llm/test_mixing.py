@@ -116,3 +116,18 @@ def test_whole_domain_and_small_share(spark):
     assert all(r.copies >= 1 for r in got if r.posterior[0] > 0.5)
     assert sum(r.copies * r.n_tokens * r.posterior[0] for r in got) == pytest.approx(clean, rel=0.02)
     assert sum(r.copies * r.n_tokens * r.posterior[1] for r in got) == pytest.approx(low, rel=0.1)
+
+
+@pytest.mark.parametrize("sf,off", [("sf0.01", 0.05), ("sf0.1", 0.02)])
+def test_every_domain_gets_its_tokens(spark, sf, off):
+    """Copies of op9 and of the pipeline's weights, by domain, against what their rates come to."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = queries.domain_model(spark, f"/root/testdata/{sf}", docs)
+    for weights, kw in ((queries.MIX, {}), ({**P.MIX, "toxic": 0.02}, {"total_of": "clean", "whole": "clean"})):
+        rows = M.mixed(docs, model, weights, **kw).collect()
+        tokens, copies, rate = (np.array([getattr(r, c) for r in rows], float) for c in ("n_tokens", "copies", "rate"))
+        p = np.array([r.posterior for r in rows])
+        want = (rate * tokens) @ p
+        assert (np.abs(copies - rate) < 1).all() and np.allclose((copies * tokens) @ p, want, rtol=off), ((copies * tokens) @ p / want, weights)

@@ -148,3 +148,17 @@ def test_random_strings_of_hard_signs():
     signs = ["'s", "'ll", "'re", "'ve", "'d", "'", "r", "v", "l", "e", " ", "\n", "\t", "\r", " ", " ", "\u0085", "a", "b", "Ɓ", "Ə", "Ʉ", "ɏ", "Ⱥ", "Ⱦ", "1", "½", "!", "\x00", "\x07", "\x1c", "\x7f", "é", "日", "<|", "̀", "İ", "ß", "Σ", "ﬁ"]
     same_as_the_libraries(["".join(rng.choices(signs, k=rng.randrange(1, 14))) for _ in range(10_000)])
     same_as_the_libraries(["x\n's", "a\t've", "x\n'd", "\n\n'll", "'r's", " 'll", "a\x00", "aƁb"])
+
+
+def test_a_range_fills_several_files(spark, tmp_path, monkeypatch):
+    """Where ranges are few, files stay as small; starts count through all of them."""
+    monkeypatch.setattr(token_shards, "MOST_RANGES", 2)
+    df = spark.createDataFrame([(i, f"some words of text {i} " * 20) for i in range(300)], "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/docs")
+    folder, path = f"file://{tmp_path}/shards", queries.tokenizer_path("word_bpe_49k.json")
+    got = sorted(token_shards.tokenized(spark.read.parquet(f"{tmp_path}/docs"), path, 2, folder=folder, shard_bytes=1_000).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == list(range(300)) and [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    files = sorted((tmp_path / "shards").glob("*.zst"))
+    assert len(files) > 10 and len({f.name[:14] for f in files}) == 2
+    sizes = [int(token_shards.ShardReader(folder, *(int(x) for x in f.name.split(".")[0].split("-")[1:])).table[:, 1].sum()) for f in files]
+    assert max(sizes) <= 4_000
