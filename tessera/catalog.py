@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["raster_queries", "lookup_queries", "report_queries", "tiff_queries", "stream_queries", "markup_queries", "pipeline_queries", "record_queries", "file_queries", "inventory_queries"]
+MODULES = ["raster_queries", "lookup_queries", "report_queries", "tiff_queries", "stream_queries", "markup_queries", "pipeline_queries", "record_queries", "file_queries", "inventory_queries", "cog_queries"]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:

@@ -6,6 +6,7 @@ stays with it.  A damaged file has an error row; the others go on.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -14,11 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numbers as N, text as X
-from ..operators import compare as C, lookup as L, pixels as P, stats as S, structure as T
-from ..sources import tiff, tiff_format as TF
+from ..operators import compare as C, lookup as L, overviews as O, pixels as P, stats as S, structure as T
+from ..sources import cog, ranged, tiff, tiff_format as TF
+from ..sources.folders import kept
 
 SECTIONS = ["summary", "directories", "tags", "geokeys", "statistics", "layout"]
 
+#: Products whose values must not be mixed; the others' overviews are bilinear.
+NEAREST_PRODUCTS = ("image", "thematic")
+
 CODECS = {"NONE": TF.NONE, "LZW": TF.LZW, "DEFLATE": TF.DEFLATE, "PACKBITS": TF.PACKBITS, "ZSTD": TF.ZSTD}
 LEVELS = {"DEFLATE": range(1, 10), "ZSTD": range(1, 23)}
 
@@ -35,13 +40,21 @@ class Options:
     tile: int = 512
     overviews: bool = True
     level: int | None = None
+    resampling: str = "nearest"  # of overviews
+    bands: int | None = None  # what a file must have
 
     def resolved(self, product: str) -> Options:
         """Defaults of a product where nothing was asked for."""
         predictor = {"dem": 2, "scientific": 3, "error": 2, "image": 2}.get(product, 1)
         decimals = {"dem": 2, "error": 1, "scientific": 8}.get(product)
         plain = self.algorithm in ("NONE", "PACKBITS")
-        return replace(self, predictor=1 if plain else self.predictor or predictor, decimals=self.decimals if self.decimals is not None else decimals)
+        return replace(
+            self,
+            predictor=1 if plain else self.predictor or predictor,
+            decimals=self.decimals if self.decimals is not None else decimals,
+            resampling="nearest" if product in NEAREST_PRODUCTS else "bilinear",
+            bands=1 if product in ("dem", "error") else self.bands,
+        )
 
     def problems(self, product: str, bands: int = 1) -> list[str]:
         """what keeps the options from being used."""
@@ -231,6 +244,22 @@ def carried_tags(tags: dict[int, tuple], nodata_to: float | None = None) -> dict
     return kept
 
 
+def smaller(image: np.ndarray, nodata: float | None, resampling: str) -> np.ndarray:
+    """An overview of half the size (rounded up), in the image's type; nodata has no weight in bilinear means."""
+    if resampling == "nearest":
+        return np.ascontiguousarray(image[::2, ::2])
+    h, w = image.shape[:2]
+    bands = []
+    for band in np.moveaxis(image.astype(np.float64), 2, 0):
+        canvas = np.full((h + h % 2 + 2, w + w % 2 + 2), np.nan)
+        canvas[1 : h + 1, 1 : w + 1] = band if nodata is None else np.where(band == nodata, np.nan, band)
+        bands.append(O.halved(canvas, resampling))
+    out = np.stack(bands, axis=2)
+    if image.dtype.kind != "f":
+        return np.rint(np.where(np.isnan(out), 0 if nodata is None else nodata, out)).astype(image.dtype)
+    return (out if nodata is None else np.where(np.isnan(out), nodata, out)).astype(image.dtype)
+
+
 def rewrite(data: bytes, options: Options) -> bytes:
     """A file's first image, in its own sample type and with its tags and mask, under the options."""
     dirs = list(TF.directories(data))
@@ -246,15 +275,23 @@ def rewrite(data: bytes, options: Options) -> bytes:
         out = (np.rint(out.astype(np.float64) * 10.0**options.decimals) / 10.0**options.decimals).astype(out.dtype)
     predictor = {("f", 2): 3, ("u", 3): 2, ("i", 3): 2}.get((kind, options.predictor or 1), options.predictor or 1)
     layout = TF.Layout(CODECS[options.algorithm], predictor, (options.tile, options.tile), level=options.level)
+    if options.bands not in (None, image.shape[2]):
+        raise ValueError(f"{image.shape[2]} bands instead of {options.bands}")
     pages = [(out, replace(layout, extra=carried_tags(dirs[0], options.nodata_to)))]
     flat = replace(layout, predictor=1)
+    hidden = None
     mask = next((m for m in dirs[1:] if TF.is_mask(m) and (m[TF.HEIGHT][0], m[TF.WIDTH][0]) == image.shape[:2]), None)
     if mask is not None:
-        hidden = TF.page_image(TF.read_page(data, mask, 0))
-        pages.append((np.where(hidden > 0, 255, 0).astype(np.uint8), replace(flat, extra={254: ("I", (4,)), TF.PHOTOMETRIC: ("H", (4,))})))
+        hidden = np.where(TF.page_image(TF.read_page(data, mask, 0)) > 0, 255, 0).astype(np.uint8)
+        pages.append((hidden, replace(flat, extra={254: ("I", (4,)), TF.PHOTOMETRIC: ("H", (4,))})))
+    nodata = ranged.nodata_of(dirs[0]) if options.nodata_to is None else options.nodata_to
     factor = 2
     while options.overviews and max(image.shape[:2]) / factor > options.tile / 2:
-        pages.append((np.ascontiguousarray(out[::factor, ::factor]), replace(layout, extra={254: ("I", (1,))})))
+        out = smaller(out, nodata, options.resampling)
+        pages.append((out, replace(layout, extra={254: ("I", (1,))})))
+        if hidden is not None:
+            hidden = np.ascontiguousarray(hidden[::2, ::2])
+            pages.append((hidden, replace(flat, extra={254: ("I", (5,)), TF.PHOTOMETRIC: ("H", (4,))})))
         factor *= 2
     return TF.write_tiff(pages)
 
@@ -291,9 +328,14 @@ def stored(files: DataFrame, folder: str, base: str = "") -> DataFrame:
                     out.append((path, None, None, error))
                     continue
                 where.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                with where.open_output_stream(f"{target}.part") as f:
-                    f.write(content)
-                where.move(f"{target}.part", target)
+                part = f"{target}.{uuid.uuid4().hex}.part"  # each attempt of a task has its own
+                try:
+                    with where.open_output_stream(part) as f:
+                        f.write(content)
+                    where.move(part, target)
+                except BaseException:
+                    where.delete_file(part)
+                    raise
                 out.append((path, target, len(content), None))
             yield pd.DataFrame(out, columns=["path", "target", "size", "error"]).astype({"size": "Int64"})
 
@@ -308,6 +350,48 @@ def optimize(spark: SparkSession, path: str, folder: str, product: str = "dem",
     return stored(rewritten(tiff.files(spark, path), chosen), folder, path)
 
 
+def optimize_cog(spark: SparkSession, path: str, folder: str, product: str = "dem", options: Options | None = None) -> DataFrame:
+    """The optimize command with cloud-optimised output: (path, target, size, error) of every file.
+
+    Files are read by ranges, remapped and rounded as rows of samples (prepared), dealt out by block, and
+    written by block (see sources.cog), so no task has a file whole.  Overviews are made of the
+    prepared samples: nearest for images and thematic rasters, else bilinear.  Type,
+    georeference, metadata and nodata are kept.  Files with a mask or an alpha sample, damaged
+    ones and those that the product doesn't allow have an error; optimize keeps masks.
+    """
+    chosen = (options or Options()).resolved(product)
+    if problems := chosen.problems(product):
+        raise ValueError("; ".join(problems))
+    ranged.register(spark)
+    read = lambda table: spark.read.format("tiff").option("path", path).option("table", table)
+    dirs = read("directories").load()
+    whole = dirs.groupBy("path").agg(F.max("error").alias("error"), F.count_if((F.col("ifd") > 0) & (F.col("subfile").bitwiseAND(F.lit(4)) != 0)).alias("masks"))
+    first = dirs.where("ifd = 0").select("path", "width", "height", "samples", "nodata", "alpha", T.dtype_name(F.col("sample_format"), F.col("bits")).alias("dtype"), "bits", "sample_format")
+    files = whole.join(first, "path", "left")
+    alone = F.col("samples") == 1 if product in ("dem", "error") else F.lit(True)
+    error = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("width").isNull(), "no directory").when(F.col("masks") > 0, "has a mask").when(F.col("alpha"), "has an alpha sample").when(~alone, f"{product} rasters have one band")
+    files = kept(files.withColumn("error", error), "files")
+    pixels = read("pixels").option("ifd", 0).load()
+    broken = pixels.where("error is not null").groupBy("path").agg(F.max("error").alias("broken"))
+    files = kept(files.join(broken, "path", "left").withColumn("error", F.coalesce("error", "broken")).drop("broken"), "files")
+    good = files.where("error is null")
+    below = lambda p: p.split(path.split("://", 1)[-1].rstrip("/") + "/", 1)[-1]
+    tags = lambda p: carried_tags(next(TF.directories(ranged.Ranged(p))), chosen.nodata_to)
+    done = files.where("error is not null").select("path", F.lit(None).cast("string").alias("target"), F.lit(None).cast("long").alias("size"), "error")
+    segments = pixels.where("error is null").select("path", "band", "row", "col", prepared(F.col("data"), chosen).alias("data"))
+    for kind in good.select("sample_format", "bits").distinct().collect():  # some ten at most
+        dtype = f"<{ {1: 'u', 2: 'i', 3: 'f'}[kind.sample_format]}{kind.bits // 8}"
+        mine = good.where((F.col("sample_format") == kind.sample_format) & (F.col("bits") == kind.bits))
+        predictor = {("f", 2): 3, ("u", 3): 2, ("i", 3): 2}.get((dtype[1], chosen.predictor or 1), chosen.predictor or 1)
+        for nodata in mine.select(F.coalesce(F.lit(chosen.nodata_to).cast("double"), "nodata").alias("nodata")).distinct().collect():
+            same = mine.where(F.coalesce(F.lit(chosen.nodata_to).cast("double"), "nodata").eqNullSafe(F.lit(nodata.nodata)))
+            form = cog.Form(dtype, CODECS[chosen.algorithm], predictor, chosen.level, chosen.tile, nodata.nodata)
+            blocks = O.blocks_of(segments.join(same.select("path"), "path", "left_semi"), same, chosen.tile, same.select("path", F.lit(nodata.nodata).cast("double").alias("nodata")))
+            blocks = O.pyramid(blocks, chosen.tile, "nearest" if product in NEAREST_PRODUCTS else "bilinear") if chosen.overviews else blocks
+            done = done.unionByName(cog.written(blocks, folder, form, below, tags))
+    return done
+
+
 MOST_TRIALS = 10_000  # rows of a parameter grid; a longer one is refused, never cut
 
 

@@ -19,7 +19,7 @@ MODEL_SCALE, TIEPOINTS, GEO_DIRECTORY, GEO_DOUBLES, GEO_ASCII, NODATA = 33550, 3
 XMP, EXIF, GPS = 700, 34665, 34853
 
 
-def files(spark: SparkSession, path: str, glob: str = "*.{tif,tiff,TIF,TIFF}") -> DataFrame:
+def files(spark: SparkSession, path: str, glob: str = "*.{[tT][iI][fF],[tT][iI][fF][fF]}") -> DataFrame:
     """(path, content) of all files below path."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
 

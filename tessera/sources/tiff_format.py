@@ -239,10 +239,15 @@ class Page:
     error: str | None = None
 
 
+def _number(data: bytes, form: str, at: int) -> int:
+    """A number at an offset; data need only have a length and slices (see sources.ranged)."""
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])[0]
+
+
 def _frame(data: bytes) -> tuple[str, bool]:
     """Byte order, and whether the file is a big one."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    version = struct.unpack_from(f"{order}H", data, 2)[0] if order and len(data) >= 8 else 0
+    version = _number(data, f"{order}H", 2) if order and len(data) >= 8 else 0
     if version not in (42, 43):
         raise ValueError("not a TIFF file")
     return order, version == 43
@@ -252,7 +257,7 @@ def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, t
     """Tags of the directory at an offset, and where its link to the next one is."""
     count_at, entry_at, offset = ("Q", "HHQ8s", "Q") if big else ("H", "HHI4s", "I")
     start = at
-    count = struct.unpack_from(order + count_at, data, at)[0]
+    count = _number(data, order + count_at, at)
     at += struct.calcsize("<" + count_at)
     size = struct.calcsize("<" + entry_at)
     if at + count * size > len(data):
@@ -286,13 +291,13 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
     """
     order, big = _frame(data)
     offset = "Q" if big else "I"
-    at = struct.unpack_from(order + offset, data, 8 if big else 4)[0]
+    at = _number(data, order + offset, 8 if big else 4)
     seen: set[int] = set()
     while at and at not in seen:
         seen.add(at)
         tags, link = _directory(data, at, order, big)
         yield tags
-        at = struct.unpack_from(order + offset, data, link)[0]
+        at = _number(data, order + offset, link)
 
 
 def sub_directory(data: bytes, tags: dict[int, tuple], tag: int) -> dict[int, tuple]:

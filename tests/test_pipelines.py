@@ -1,9 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.plans import pipelines as P
-from tessera.sources import tiff, tiff_format as T
+from tessera.sources import tiff, tiff_format as T, tiff_format as TF
 from tests.test_tiff import folder  # noqa: F401
 
 
@@ -67,3 +69,47 @@ def test_long_grid_is_refused(spark, tmp_path):
     assert len(P.read_grid(spark, f"{tmp_path}/10000.csv")) == 10_000
     with pytest.raises(ValueError, match="10000"):
         P.read_grid(spark, f"{tmp_path}/10001.csv")
+
+
+def test_cog_command(spark, tmp_path):
+    """Types, nodata, georeference, remap, rounding and overviews by product; what can't be written has an error."""
+    rng = np.random.default_rng(2)
+    os.makedirs(tmp_path / "in" / "sub")
+    geo = {33550: ("d", (2.0, 2.0, 0.0)), 33922: ("d", (0.0,) * 6), 42113: ("s", b"-9\0")}
+    dem = rng.integers(-9, 50, (70, 45)).astype(np.int16)
+    real = (rng.random((40, 33)) * 100).astype(np.float32)
+    write = lambda name, pages: (tmp_path / "in" / name).write_bytes(TF.write_tiff(pages))
+    write("dem.TIF", [(dem, TF.Layout(TF.LZW, strip_rows=7, extra=geo))])
+    write("sub/real.tif", [(real, TF.Layout(TF.DEFLATE, 3, (16, 32)))])
+    write("rgb.tif", [(np.zeros((8, 8, 3), np.uint8), TF.Layout())])
+    write("masked.tif", [(np.zeros((8, 8), np.uint8), TF.Layout()), (np.zeros((8, 8), np.uint8), TF.Layout(extra={254: ("I", (4,))}))])
+    (tmp_path / "in" / "cut.tif").write_bytes(TF.write_tiff([(real, TF.Layout())])[:50])
+    done = {r.path.rsplit("/", 1)[-1]: r for r in P.optimize_cog(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", "dem", P.Options(tile=16, decimals=1, nodata_from=-9.0, nodata_to=-5.0)).collect()}
+    assert len(done) == 5 and {k for k, r in done.items() if r.error} == {"rgb.tif", "masked.tif", "cut.tif"}
+    assert sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["dem.TIF", "sub/real.tif"]
+    data = (tmp_path / "out" / "dem.TIF").read_bytes()
+    pages, dirs = list(TF.read_pages(data)), list(TF.directories(data))
+    want = np.where(dem == -9, -5, dem)
+    assert np.array_equal(TF.page_image(pages[0])[:, :, 0], want) and b"".join(dirs[0][42113]) == b"-5\0" and dirs[0][33550] == (2.0, 2.0, 0.0)
+    for page in pages[1:]:
+        want = P.smaller(want[:, :, None], -5.0, "bilinear")[:, :, 0]
+        got = TF.page_image(page)[:, :, 0]
+        assert got.shape == want.shape and np.abs(got - want).max() <= 1  # levels come from unrounded ones
+    assert len(pages) == 4 and max(want.shape) <= 16
+    back = TF.page_image(next(TF.read_pages((tmp_path / "out" / "sub" / "real.tif").read_bytes())))[:, :, 0]
+    assert np.allclose(back, np.rint(real.astype(float) * 10) / 10, atol=1e-5)
+
+
+def test_overviews_of_optimize_follow_the_product(spark):
+    image = np.arange(64 * 64).reshape(64, 64).astype(np.float32)
+    mask = np.where(np.arange(64 * 64).reshape(64, 64) % 3, 255, 0).astype(np.uint8)
+    file = TF.write_tiff([(image, TF.Layout(extra={42113: ("s", b"5\0")})), (mask, TF.Layout(extra={254: ("I", (4,))}))])
+    for product, level in (("scientific", lambda x: P.smaller(x, 5.0, "bilinear")), ("thematic", lambda x: x[::2, ::2])):
+        pages = list(TF.read_pages(P.rewrite(file, P.Options(tile=32).resolved(product))))
+        dirs = list(TF.directories(P.rewrite(file, P.Options(tile=32).resolved(product))))
+        assert [d.get(254, (0,))[0] for d in dirs] == [0, 4, 1, 5]
+        assert np.allclose(TF.page_image(pages[2]), level(image[:, :, None]), atol=1e-3)
+        assert np.array_equal(TF.page_image(pages[3])[:, :, 0], mask[::2, ::2])
+    rgb = TF.write_tiff([(np.zeros((4, 4, 3), np.uint8), TF.Layout())])
+    with pytest.raises(ValueError, match="3 bands"):
+        P.rewrite(rgb, P.Options().resolved("dem"))
