@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import Sent
+from .shared import Sent, kept_by
 
 ITEMS_AT_ONCE = 10_000  # items of one automaton, and their characters; more take more passes over the texts
 CHARACTERS_AT_ONCE = 8_000_000
@@ -124,15 +124,13 @@ def merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
 def matcher(sent: Sent) -> Matcher:
     """This worker's automaton for a block of items; one is kept at a time."""
-    if sent.id not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[sent.id] = Matcher(*sent.value)
-    return _MATCHERS[sent.id]
+    kept = kept_by("decontaminate")
+    if sent.id not in kept:
+        kept.clear()
+        kept[sent.id] = Matcher(*sent.value)
+    return kept[sent.id]
 
 
 def item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[list[tuple]]:

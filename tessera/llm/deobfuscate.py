@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality_ftrl import Ftrl
-from .shared import Sent
+from .shared import Sent, kept_by
 
 BITS = 20
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 WORD_KEPT = 64  # characters of a token that is remembered
 UNLABELLED = -4.0  # the bias where nothing is labelled: a text scores 0.018, as nothing is known to be toxic
 
@@ -246,15 +246,13 @@ class Restorer(dict):
         return np.fromiter(found, np.int64, len(found))
 
 
-_RESTORERS: dict[int, Restorer] = {}
-
-
 def restorer(sent: Sent) -> Restorer:
     """This worker's restorer for a model; one model is kept at a time."""
-    if sent.id not in _RESTORERS:
-        _RESTORERS.clear()
-        _RESTORERS[sent.id] = Restorer(sent.value)
-    return _RESTORERS[sent.id]
+    kept = kept_by("deobfuscate")
+    if sent.id not in kept:
+        kept.clear()
+        kept[sent.id] = Restorer(sent.value)
+    return kept[sent.id]
 
 
 def fit_toxicity(sample: DataFrame, model: np.ndarray, epochs: int = 8, text: str = "text", label: str = "y") -> np.ndarray:

@@ -68,6 +68,17 @@ def local_file(path: str) -> str:
     return str(public_tokenizers.path(os.path.basename(path)))
 
 
+_KEPT: dict[str, dict] = {}  # what this worker keeps from task to task, by operator
+
+
+def kept_by(operator: str) -> dict:
+    """What this worker keeps for an operator; what it keeps for others is dropped, as jobs run one operator after the other."""
+    for name, kept in _KEPT.items():
+        if name != operator:
+            kept.clear()
+    return _KEPT.setdefault(operator, {})
+
+
 class Sent:
     """A broadcast with a number by which workers know it again, so that what they build from it is kept from task to task."""
 

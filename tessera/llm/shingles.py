@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import component_labels
 from .membership import maybe_among
-from .shared import Sent, fresh, looked_up, written
+from .shared import Sent, fresh, kept_by, looked_up, written
 from .simhash import Forest, majority_bits, near_links
 
 BANDS, IN_BAND = 24, 5  # a pair at similarity s shares a band with probability 1 - (1 - s**5)**24: 0.9999 at 0.8
@@ -234,6 +234,7 @@ def _groups(df: DataFrame, key: str, text: str, similarity: float, shingle_words
 
     @F.pandas_udf("fp long, bits long, size long, bands array<bigint>")
     def signed(texts: pd.Series) -> pd.DataFrame:
+        kept_by("shingles")
         sets = [shingle_set(t or "", shingle_words) for t in texts]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
         return pd.DataFrame({"fp": fp, "bits": np.array([majority_bits(s) for s in sets], np.int64), "size": np.array([len(s) for s in sets], np.int64), "bands": [band_keys(s) for s in sets]})

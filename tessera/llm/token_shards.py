@@ -33,7 +33,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import Sent, local_file, new_path, written
+from .shared import Sent, kept_by, local_file, new_path, written
 
 # Fixed values of the seekable layout.
 SEEK_TABLE_FRAME, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -109,12 +109,10 @@ class Encoder:
         return found
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(tokenizer: str) -> Encoder:
     """This worker's encoder."""
-    return _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(local_file(tokenizer)))
+    kept = kept_by("token_shards")
+    return kept.get(tokenizer) or kept.setdefault(tokenizer, Encoder(local_file(tokenizer)))
 
 
 def with_ids(df: DataFrame, tokenizer: str, end_id: int | None, text: str = "text", out: str = "ids") -> DataFrame:
