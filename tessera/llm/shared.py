@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -68,6 +70,18 @@ def local_file(path: str) -> str:
     return str(public_tokenizers.path(os.path.basename(path)))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside hand at most so many rows at a time to Python, so that the texts of a batch stay small on both sides."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(setting))
+    spark.conf.set(setting, min(before, rows) if before > 0 else rows)  # 0 or less: no limit
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 _KEPT: dict[str, dict] = {}  # what this worker keeps from task to task, by operator
 
 

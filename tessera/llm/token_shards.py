@@ -33,7 +33,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import Sent, kept_by, local_file, new_path, written
+from .shared import Sent, batches_of, kept_by, local_file, new_path, written
 
 # Fixed values of the seekable layout.
 SEEK_TABLE_FRAME, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -45,7 +45,8 @@ WIDE = 4  # a file has so many times as many bytes of ids at most, unless one do
 MOST_RANGES = 65_536  # tasks that sort; beyond that their ranges grow and fill several files each
 SAMPLED = 60  # rows of the sample for each range
 
-PIECES_KEPT = 600_000  # pieces whose ids a worker remembers
+PIECES_KEPT = 150_000  # pieces whose ids a worker remembers
+AT_ONCE = 500  # documents handed to a worker at a time
 
 # Texts that the fast path leaves to the library: code points whose case mapping, composition
 # or class could differ between libraries (also two letters below U+0250 whose small form lies
@@ -246,8 +247,8 @@ def _dealt(rows: DataFrame, cuts: list[tuple[bool, int, int]], make) -> DataFram
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = Placer(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 shards = [placer.shard(k, t) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 ids = make(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["shard", "key", "tie", "ids"])
@@ -291,7 +292,8 @@ def _shards(dealt: DataFrame, folder: str, width: int, most: int) -> DataFrame:
             finish()
         yield pa.RecordBatch.from_pydict({n: pa.array([d[i] for d in done], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())))})
 
-    return written(dealt.mapInArrow(write, "shard int, file int, n_docs long, n_tokens long"), "shards")
+    with batches_of(dealt.sparkSession, AT_ONCE):
+        return written(dealt.mapInArrow(write, "shard int, file int, n_docs long, n_tokens long"), "shards")
 
 
 def read_shards(shards: DataFrame, folder: str, key: str = "doc_id", wanted: list[int] | None = None) -> DataFrame:

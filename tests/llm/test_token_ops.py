@@ -2,11 +2,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe_transducer, queries, token_shards
+from tessera.llm.shared import batches_of
 
 ODD = ["", " ", "\n\n", "  a  \n\n b\t c  ", "don't we'll 're 'r 'x  'l 'll 'lx a'", "'s's''s   　x", "<|endoftext|>", "a<|endoftext|> b", "x" * 5000,
        "日本語 テスト１２３ ½ ²", "🙂🙂 hi", "I'M don'T 's t", "'rx 're'r 'v 've", " ' 'a ''a", "aaa" * 900, "İstanbul ΣΑΣ \x1c\x1d x", "é é ﬁ", "a b\u0085c", None]
@@ -162,3 +164,21 @@ def test_a_range_fills_several_files(spark, tmp_path, monkeypatch):
     assert len(files) > 10 and len({f.name[:14] for f in files}) == 2
     sizes = [int(token_shards.ShardReader(folder, *(int(x) for x in f.name.split(".")[0].split("-")[1:])).table[:, 1].sum()) for f in files]
     assert max(sizes) <= 4_000
+
+
+def test_batches_of(spark):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    sizes = spark.range(0, 1000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows])}) for b in batches), "n long")
+    try:
+        spark.conf.set(setting, 400)
+        with batches_of(spark, 100):
+            assert {r.n for r in sizes.collect()} == {100}
+        with batches_of(spark, 5000):  # a smaller setting of the session's stays
+            assert spark.conf.get(setting) == "400"
+        with pytest.raises(ValueError):
+            with batches_of(spark, 100):
+                raise ValueError
+        assert spark.conf.get(setting) == "400"
+    finally:
+        spark.conf.set(setting, before)
