@@ -45,7 +45,7 @@ WIDE = 4  # a file has so many times as many bytes of ids at most, unless one do
 MOST_RANGES = 65_536  # tasks that sort; beyond that their ranges grow and fill several files each
 SAMPLED = 60  # rows of the sample for each range
 
-PIECES_KEPT = 150_000  # pieces whose ids a worker remembers
+PIECES_KEPT = 300_000  # pieces whose ids a worker remembers
 AT_ONCE = 500  # documents handed to a worker at a time
 
 # Texts that the fast path leaves to the library: code points whose case mapping, composition
