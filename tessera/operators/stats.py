@@ -97,11 +97,21 @@ def histogram(px: DataFrame, plan: DataFrame, *keys: str) -> DataFrame:
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", edge(F.col("bin")).alias("left"), edge(F.col("bin") + 1).alias("right"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def pam_plan(px: DataFrame, *keys: str) -> DataFrame:
-    """Bins of the side-car histogram (A05) of float bands: 256 on [minimum, maximum], one bin for a constant band."""
+def pam_plan(px: DataFrame, *keys: str, dtype: Column | None = None) -> DataFrame:
+    """Bins of the side-car histogram (A05) by sample type, which is one for a band (without dtype: a float or signed one).
+
+    Byte: 256 on [0, 256].  Other unsigned types: maximum - minimum, 256 at most, from -0.5 to
+    maximum + 0.5.  Floats and signed integers: 256 on [minimum, maximum].  A constant band that
+    isn't Byte has one bin; bands without valid pixels have none.
+    """
     v = F.when(valid(F.col("value")), F.col("value"))
-    sums = px.groupBy(*keys).agg(F.min(v).alias("lo"), F.max(v).alias("hi")).where("lo is not null")
-    return sums.select(*keys, "lo", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + 1).alias("hi"), F.when(F.col("hi") > F.col("lo"), 256).otherwise(1).alias("bins"))
+    kind = F.lit(None).cast("string") if dtype is None else dtype
+    sums = px.groupBy(*keys).agg(F.min(v).alias("least"), F.max(v).alias("most"), F.max(kind).alias("kind")).where("least is not null")
+    least, most, byte, unsigned = F.col("least"), F.col("most"), F.col("kind") == "Byte", F.col("kind").startswith("UInt")
+    lo = F.when(byte, 0.0).when(unsigned, -0.5).otherwise(least)
+    hi = F.when(byte, 256.0).when(unsigned, most + 0.5).when(most > least, most).otherwise(least + 1)
+    bins = F.when(byte, 256).when(unsigned, F.greatest(F.lit(1.0), F.least(F.lit(256.0), most - least)).cast("int")).when(most > least, 256).otherwise(1)
+    return sums.select(*keys, lo.alias("lo"), hi.alias("hi"), bins.alias("bins"))
 
 
 def density(hist: DataFrame, *keys: str) -> DataFrame:

@@ -72,6 +72,26 @@ def hist_pam(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAM_PLAN = f"WITH {V.PIXELS_SQL}, v AS (SELECT band, value FROM px WHERE {VALID}), plan AS (SELECT band, min(value) AS lo, CASE WHEN max(value) > min(value) THEN max(value) ELSE min(value) + 1 END AS hi, CASE WHEN max(value) > min(value) THEN 256 ELSE 1 END AS bins FROM v GROUP BY band)"
 
 
+#: Sample types of the four bands, in order.
+PAM_TYPES = ["Byte", "UInt32", "Float64", "Int16"]
+
+
+def hist_pam_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A05 by type: quantities as Byte, whole prices as UInt32, discounts as Float64, taxes in hundredths as Int16."""
+    whole = F.when(F.col("band") == 2, F.floor("value").cast("double")).when(F.col("band") == 4, F.floor(F.col("value") * 100).cast("double")).otherwise(F.col("value"))
+    px = V.pixels(spark, sf_dir).withColumn("value", whole)
+    dtype = F.get(F.array(*map(F.lit, PAM_TYPES)), F.col("band") - 1)
+    hist = S.histogram(px, S.pam_plan(px, "band", dtype=dtype), "band")
+    counts = F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct("bin", "count"))), lambda x: x["count"].cast("string")))
+    return hist.groupBy("band").agg(F.count("*").alias("bins"), F.min("left").alias("lo"), F.max("right").alias("hi"), counts.alias("counts"))
+
+
+_PAM_TYPES_PLAN = f"""WITH {V.PIXELS_SQL}, typed AS (SELECT band, CASE band WHEN 2 THEN floor(value) WHEN 4 THEN floor(value * 100) ELSE value END AS value, {PAM_TYPES}[band] AS dtype FROM px WHERE {VALID}),
+plan AS (SELECT band, CASE dtype WHEN 'Byte' THEN 0 WHEN 'UInt32' THEN -0.5 ELSE min(value) END::DOUBLE AS lo,
+  CASE WHEN dtype = 'Byte' THEN 256 WHEN dtype = 'UInt32' THEN max(value) + 0.5 WHEN max(value) > min(value) THEN max(value) ELSE min(value) + 1 END::DOUBLE AS hi,
+  CAST(CASE WHEN dtype = 'Byte' THEN 256 WHEN dtype = 'UInt32' THEN greatest(1, least(256, max(value) - min(value))) WHEN max(value) > min(value) THEN 256 ELSE 1 END AS INT) AS bins FROM typed GROUP BY band, dtype)"""
+
+
 def hist_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.density(_fd(spark, sf_dir), "band").select("band", "bin", F.round("density", 9).alias("density"))
 
@@ -202,6 +222,7 @@ QUERIES = {
     "a04_hist_fd": (hist_fd, _HIST_FD + ' SELECT band, bin, round("left", 6) AS "left", round("right", 6) AS "right", count FROM hist'),
     "a04_hist_byte": (hist_byte, _bins_sql(_BYTE_PLAN, "v") + ' SELECT band, bin, "left", "right", count FROM hist'),
     "a05_hist_pam": (hist_pam, _bins_sql(_PAM_PLAN, "v") + " SELECT band, string_agg(CAST(count AS VARCHAR), '|' ORDER BY bin) AS counts FROM hist GROUP BY band"),
+    "a05_hist_pam_types": (hist_pam_types, _bins_sql(_PAM_TYPES_PLAN, "typed") + """ SELECT band, count(*) AS bins, min("left") AS lo, max("right") AS hi, string_agg(CAST(count AS VARCHAR), '|' ORDER BY bin) AS counts FROM hist GROUP BY band"""),
     "a06_hist_density": (hist_density, _HIST_FD + ' SELECT band, bin, round(count::DOUBLE / sum(count * ("right" - "left")) OVER (PARTITION BY band), 9) AS density FROM hist'),
     "a07_decimal_places": (decimal_places, f"WITH {V.PIXELS_SQL} SELECT band, band_name, max({_PLACES_SQL}) AS decimals FROM px WHERE NOT is_nodata AND isfinite(value) GROUP BY band, band_name"),
     "s10_strided_sample": (strided_sample, f"WITH {V.TILE_PIXELS_SQL} SELECT band, count(*) AS n, round(min(value), 5) AS lo, round(max(value), 5) AS hi FROM tp WHERE row % 4 = 0 GROUP BY band"),

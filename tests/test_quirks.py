@@ -45,6 +45,21 @@ def test_constant_band_has_one_bin(spark):
     assert [(r.bin, r["count"]) for r in S.histogram(df, S.pam_plan(df, "band"), "band").collect()] == [(0, 5)]
 
 
+def test_side_car_bins_follow_the_type(spark):
+    bands = [("Byte", [0, 5, 5, 255]), ("UInt16", [3, 10, 10, 90]), ("UInt32", [7, 4e9, 3e9, 12]), ("UInt16", [4, 4]), ("Int16", [-5, 0, 9]), ("Float32", [0.25, 0.5, 8.0]), ("Byte", [9, 9])]
+    rows = [(i, float(v), False, False, False) for i, (_, values) in enumerate(bands) for v in values]
+    df = px(spark, [*rows, (len(bands), 1.0, True, False, False)])
+    names = F.get(F.array(*[F.lit(t) for t, _ in bands]), F.col("band"))
+    found = {}
+    for r in S.histogram(df, S.pam_plan(df, "band", dtype=names), "band").orderBy("band", "bin").collect():
+        found.setdefault(r.band, []).append((r.left, r.right, r["count"]))
+    assert set(found) == set(range(len(bands)))  # a band without valid pixels has no bins
+    want = [(0, 256, 256), (-0.5, 90.5, 87), (-0.5, 4e9 + 0.5, 256), (-0.5, 4.5, 1), (-5, 9, 256), (0.25, 8, 256), (0, 256, 256)]
+    for i, (lo, hi, n) in enumerate(want):
+        assert (found[i][0][0], found[i][-1][1], len(found[i])) == (lo, hi, n)
+        assert [c for _, _, c in found[i]] == np.histogram(bands[i][1], np.linspace(lo, hi, n + 1))[0].tolist()
+
+
 def test_values_on_edges_lie_right_and_the_maximum_in_the_last_bin(spark):
     values = [0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.25, 4.0]
     df = px(spark, [(1, v, False, False, False) for v in values])
