@@ -26,12 +26,17 @@ RESAMPLINGS = ("bilinear", "nearest")
 def blocks_of(segments: DataFrame, sizes: DataFrame, tile: int, nodata: DataFrame | None = None) -> DataFrame:
     """Level 0 of segments (path, band, row, col, data array<double>) of sizes (path, width, height); nodata: (path, nodata), whose value becomes NaN.
 
-    Segments are cut at block borders, so a block gets only its own samples.
+    Segments are cut at block borders, so a block gets only its own samples.  A block without any is there too, of NaN
+    alone; a file's bands are those up to the highest that its segments name.
     """
     first, last = F.floor(F.col("col") / tile), F.floor((F.col("col") + F.size("data") - 1) / tile)
     cut = segments.withColumn("bx", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     begin = F.greatest(F.col("col"), F.col("bx") * tile)
     cut = cut.select("path", "band", F.floor(F.col("row") / tile).cast("int").alias("by"), "bx", (F.col("row") % tile).alias("r"), (begin - F.col("bx") * tile).alias("c"), F.slice("data", (begin - F.col("col") + 1).cast("int"), F.lit(tile) - (begin - F.col("bx") * tile).cast("int")).alias("data"))
+    grid = segments.groupBy("path").agg(F.max("band").alias("bands")).join(sizes.select("path", "width", "height"), "path")
+    upto = lambda size: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(size) / tile) - 1).cast("int")))
+    grid = grid.withColumn("band", F.explode(F.sequence(F.lit(1), F.col("bands")))).withColumn("by", upto("height")).withColumn("bx", upto("width"))
+    cut = cut.unionByName(grid.select("path", "band", "by", "bx", F.lit(0).alias("r"), F.lit(0).alias("c"), F.array().cast("array<double>").alias("data")))
     cut = cut.join(sizes.select("path", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")), "path")
     cut = cut.withColumn("nodata", F.lit(None).cast("double")) if nodata is None else cut.join(nodata.select("path", F.col("nodata").cast("double")), "path", "left")
 

@@ -43,7 +43,8 @@ def cog_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 64th row of the first directory and of one band; only blocks with such a row are fetched."""
     px = written_mosaic(spark, sf_dir).option("row_step", 64).load().where("ifd = 0 and band = 2")
-    total = F.sum(F.aggregate(F.filter("data", lambda v: v != NODATA), F.lit(0.0), lambda a, x: a + x))
+    px = px.select("row", "block", F.filter("data", lambda v: v != NODATA).alias("v")).where(F.size("v") > 0)
+    total = F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
     return px.groupBy("row").agg(F.count_distinct("block").alias("blocks"), F.round(total, 6).alias("total"))
 
 

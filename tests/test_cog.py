@@ -125,3 +125,22 @@ def test_header_of_a_large_file():
     assert set(tags[T.TILE_COUNTS]) == {99_992}
     small = C.header([(0, 512, 512, begins[:1], sizes[:1])], 1, C.Form("<u1"), {}, 100_000)
     assert small[2] == 42
+
+
+@pytest.mark.parametrize("vectors", [65, 97])
+@pytest.mark.parametrize("name", ["s10_row_stride"])
+def test_mosaic_with_blocks_and_rows_without_values(spark, tmp_path, name, vectors):
+    """The last row of embeddings is not full, and not every band reaches it: blocks without samples are written, and rows without samples are none of the result."""
+    import duckdb
+
+    from tessera.plans import cog_queries
+
+    rows = [(i, RNG.random(64).astype(np.float32).tolist()) for i in range(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    query, sql = cog_queries.QUERIES[name]
+    got = query(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = db.sql(sql)
+        places = [got.columns.index(c) for c in want.columns]
+        assert sorted(tuple(r[i] for i in places[:-1]) + (round(r[places[-1]], 5),) for r in got.collect()) == sorted((*r[:-1], round(r[-1], 5)) for r in want.fetchall())
