@@ -35,7 +35,7 @@ def written_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cog_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every level of the file: samples with a value, and their sum."""
-    px = written_mosaic(spark, sf_dir).load().where("error is null").select(F.col("ifd").alias("level"), "band", "row", F.filter("data", lambda v: v != NODATA).alias("v"))
+    px = written_mosaic(spark, sf_dir).load().where("error is null").select(F.col("ifd").alias("level"), "band", "row", F.filter("data", lambda v: v != NODATA).alias("v")).where(F.size("v") > 0)
     total = F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
     return px.groupBy("level", "band", "row").agg(F.sum(F.size("v")).cast("long").alias("n"), F.round(total, 6).alias("total"))
 
