@@ -67,3 +67,23 @@ def duration(seconds: Column) -> Column:
 def outline(values: Column) -> Column:
     """Every value twice."""
     return F.flatten(F.transform(values, lambda x: F.array(x, x)))
+
+
+def rounded_half_away(x: Column, places: int) -> Column:
+    """x rounded at so many decimal places of its double times a power of ten, halves away from zero; a result of zero keeps its sign, and a number too large for that stays."""
+    scaled = F.abs(x) * F.lit(10.0**places)
+    near = F.rint(scaled)  # halves to even
+    size = F.when(scaled - near == 0.5, near + 1).otherwise(near) / F.lit(10.0**places)
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.when(F.isnan(x) | F.isnan(size) | (size == float("inf")), x).when(negative, -size).otherwise(size)
+
+
+def number_text(x: Column) -> Column:
+    """A double in its shortest digits: plain from 0.0001 to under 1e16, else as 1e+16, and nan, inf, -0.0."""
+    plain = x.cast("string")
+    digits, power = F.regexp_replace(F.substring_index(plain, "E", 1), r"\.0$", ""), F.substring_index(plain, "E", -1).try_cast("int")
+    large = F.concat(digits, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    whole = F.regexp_replace(F.regexp_replace(plain.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+    size = F.abs(x)
+    text = F.when(~plain.contains("E"), plain).when((size >= 1e-4) & (size < 1e16), whole).otherwise(large)
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).otherwise(text)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numbers import number_text
+
 # Fixed values of the public TIFF and GeoTIFF specifications.
 TAG_NAMES = {254: "NewSubfileType", 256: "ImageWidth", 257: "ImageLength", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 273: "StripOffsets", 277: "SamplesPerPixel", 278: "RowsPerStrip", 279: "StripByteCounts", 284: "PlanarConfiguration", 317: "Predictor", 322: "TileWidth", 323: "TileLength", 324: "TileOffsets", 325: "TileByteCounts", 338: "ExtraSamples", 339: "SampleFormat", 33550: "ModelPixelScaleTag", 33922: "ModelTiepointTag", 34735: "GeoKeyDirectoryTag", 34736: "GeoDoubleParamsTag", 34737: "GeoAsciiParamsTag", 42112: "GDAL_METADATA", 42113: "GDAL_NODATA"}
 COMPRESSIONS = {1: "Uncompressed", 5: "LZW", 7: "JPEG", 8: "Deflate", 32773: "PackBits", 34887: "LERC", 50000: "Zstandard"}
@@ -35,12 +37,15 @@ def named(df: DataFrame, names: DataFrame, on: str, name: str, default: str = "U
 def geokeys(directory: Column, doubles: Column, ascii_text: Column) -> Column:
     """The keys of a directory array: a header of four, then (id, location, count, offset) each.
 
-    A value stands in the entry (location 0), in the doubles, or in the text, there without its closing pipe.
+    A value stands in the entry (location 0), in the doubles, or in the text, there without its closing pipe.  Doubles are
+    written in their shortest digits (see functions.numbers.number_text); a value with a null among them is null.
     """
     def key(i: Column) -> Column:
         at = lambda k: F.get(directory, 4 + i * 4 + k)
         loc, n, off = at(1), at(2), at(3)
-        value = F.when(loc == 0, off.cast("string")).when(loc == DOUBLES, F.array_join(F.transform(F.slice(doubles, off + 1, n), lambda x: x.cast("string")), ", ")).when(loc == ASCII, F.regexp_replace(F.substr(ascii_text, off + 1, n), r"\|$", ""))
+        part = F.slice(doubles, off + 1, n)
+        numbers = F.when(~F.exists(part, lambda x: x.isNull()), F.array_join(F.transform(part, number_text), ", "))
+        value = F.when(loc == 0, off.cast("string")).when(loc == DOUBLES, numbers).when(loc == ASCII, F.regexp_replace(F.substr(ascii_text, off + 1, n), r"\|$", ""))
         return F.struct(at(0).alias("id"), loc.alias("location"), n.alias("n"), value.alias("value"))
 
     return F.transform(F.sequence(F.lit(0), F.get(directory, F.lit(3)) - 1), key)

@@ -48,7 +48,7 @@ def geokey_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.table(spark, sf_dir, "customer")
     n = F.length("c_name")
     directory = F.array(*[F.lit(x) for x in (1, 1, 0, 4, 1024, 0, 1)], (F.col("c_custkey") % 4 + 1).cast("int"), F.lit(1026), F.lit(L.ASCII), n + 1, F.lit(0), F.lit(2057), F.lit(L.DOUBLES), F.lit(1), F.lit(1), F.lit(3072), F.lit(0), F.lit(1), (F.col("c_custkey") % 60 + 32601).cast("int"))
-    keys = L.geokeys(directory, F.array(F.lit(0.5), F.round("c_acctbal", 2)), F.concat("c_name", F.lit("|rest|")))
+    keys = L.geokeys(directory, F.array(F.lit(0.5), N.rounded_half_away(F.col("c_acctbal"), 2)), F.concat("c_name", F.lit("|rest|")))
     k = c.select(F.col("c_custkey").alias("file_id"), F.inline(keys))
     meaning = F.when(F.col("id") == 1024, L.looked_up(F.col("value").cast("int"), L.MODEL_TYPES)).when(F.col("id") == 3072, F.concat(F.lit("EPSG:"), F.col("value")))
     return k.select("file_id", "id", L.looked_up(F.col("id"), L.GEOKEYS).alias("name"), "location", "n", "value", meaning.alias("meaning"))

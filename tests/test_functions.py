@@ -64,3 +64,20 @@ def test_config(spark, tmp_path):
         config.preset("nothing")
     config.write_lookup(spark.createDataFrame([("B", 2), ("a", 1), ("A", 5)], "name string, code long"), f"{tmp_path}/l")
     assert {(r.name, r.code) for r in config.read_lookup(spark, f"{tmp_path}/l").collect()} == {("a", 1), ("b", 2)}
+
+
+def test_geokey_numbers_as_sql_writes_them(spark, tmp_path):
+    """Signed zeros, halves whose doubles lie below, large and small numbers, nulls: rounding and digits are DuckDB's."""
+    import duckdb
+
+    from tessera.plans import lookup_queries
+
+    values = [-0.0, 0.0, -0.004, 0.004, -0.005, 1.005, 2.675, -2.675, 1015.015, 0.125, 0.375, 9999999.99, 1e7, -12345678.9, 123456789012345.0, 1e15, 1e16, -1.5e17, 1e300, float("nan"), float("inf"), float("-inf"), None]
+    rows = [(i, f"Customer#{i:09d}", v) for i, v in enumerate(values)] + [(len(values), None, 1.5)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    query, sql = lookup_queries.QUERIES["s07_geokey_decode"]
+    got = query(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+        want = db.sql(sql)
+        assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
