@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import lookup as L, stats as S, structure as T
 from ..sources import tiff, tiff_format as TF, views as V
+from ..sources.folders import kept
 from . import pipelines as P, raster_queries as R
 
 #: Sample types that the files take in turn.
@@ -59,7 +60,7 @@ p AS (SELECT *, value = 7 AS is_nodata FROM px)"""
 
 def optimized_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C05, C06, P39, K02 on files: every type is kept, and georeference, nodata, mask and metadata with it; damaged files have an error."""
-    done = P.rewritten(_content(spark, sf_dir, typed_file), P.Options("ZSTD", 2, tile=16, overviews=False, nodata_from=7.0, nodata_to=5.0))
+    done = kept(P.rewritten(_content(spark, sf_dir, typed_file), P.Options("ZSTD", 2, tile=16, overviews=False, nodata_from=7.0, nodata_to=5.0)), "rewritten")
     good = done.where("error is null")
     d = tiff.ifds(good).where("ifd = 0").select("path", T.dtype_name(F.col("sample_format"), F.col("bits")).alias("dtype"), L.looked_up(F.col("compression"), L.COMPRESSIONS).alias("codec"))
     g = tiff.geo(good).where("ifd = 0").select("path", F.get("directory", F.lit(11)).alias("crs"), F.get("affine", F.lit(1)).alias("pixel"), "nodata")

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import numbers as N, text as X
@@ -299,15 +300,27 @@ def rewrite(data: bytes, options: Options) -> bytes:
 def rewritten(content: DataFrame, options: Options) -> DataFrame:
     """(path, content, error) of files (path, content); each file stays in its task, nothing is shuffled, a file that can't be read has its error."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # many small files share a batch, a large one has its own
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.binary(), pa.string()), strict=True)], names=["path", "content", "error"])
+
         for batch in batches:
-            for path, data in zip(batch["path"], batch["content"], strict=True):
+            for path, data in zip(batch.column(0), batch.column(1), strict=True):
                 try:
-                    yield pd.DataFrame([(path, rewrite(bytes(data), options), None)], columns=["path", "content", "error"])
+                    done = (path.as_py(), rewrite(bytes(data.as_py()), options), None)
                 except (*TF.DAMAGE, NotImplementedError, AttributeError) as e:
-                    yield pd.DataFrame([(path, None, f"{type(e).__name__}: {e}")], columns=["path", "content", "error"])
-
-    return content.select("path", "content").mapInPandas(run, "path string, content binary, error string")
+                    done = (path.as_py(), None, f"{type(e).__name__}: {e}")
+                held.append(done)
+                size += len(done[1] or b"")
+                if len(held) >= tiff.BATCH_ROWS or size >= tiff.BATCH_BYTES:
+                    yield made()
+                    held, size = [], 0
+        if held:
+            yield made()
+
+    return content.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, "path string, content binary, error string")
 
 
 def stored(files: DataFrame, folder: str, base: str = "") -> DataFrame:

@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tiff_format as T
 
 MODEL_SCALE, TIEPOINTS, GEO_DIRECTORY, GEO_DOUBLES, GEO_ASCII, NODATA = 33550, 33922, 34735, 34736, 34737, 42113
 XMP, EXIF, GPS = 700, 34665, 34853
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20  # of a table's rows that leave a task at once
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<tinyint>": pa.list_(pa.int8())}
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.{[tT][iI][fF],[tT][iI][fF][fF]}") -> DataFrame:
@@ -25,15 +28,28 @@ def files(spark: SparkSession, path: str, glob: str = "*.{[tT][iI][fF],[tT][iI][
 
 
 def _table(df: DataFrame, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [(c.split()[0], KINDS[c.split()[1]]) for c in f"path string, {schema}".split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):  # one file at a time: files are large
-                if content is not None:
-                    yield pd.DataFrame([(path, *r) for r in rows(bytes(content))], columns=["path", *names])
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, kind, from_pandas=True) for column, (_, kind) in zip(zip(*held, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
 
-    return df.select("path", "content").mapInPandas(run, f"path string, {schema}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # many small files share a batch, a large one has several
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):  # one file at a time: files are large
+                if not content.is_valid:
+                    continue
+                path = path.as_py()
+                for row in rows(content.as_py()):
+                    held.append((path, *row))
+                    size += sum(v.nbytes if isinstance(v, np.ndarray) else len(v) for v in row if isinstance(v, (np.ndarray, str, list)))
+                    if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield made(held)
+                        held, size = [], 0
+        if held:
+            yield made(held)
+
+    return df.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, f"path string, {schema}")
 
 
 def _walk(data: bytes) -> Iterator[tuple[int, dict[int, tuple] | None, str | None]]:

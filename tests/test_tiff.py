@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,29 @@ def test_tags_of_rationals_bytes_and_xmp(spark):
         xmp[at : at + 4] = struct.pack("<HH", code, kind)
     got = {(r.path, r.code): r.value for r in tiff.tags(spark.createDataFrame([("a", bytes(data)), ("b", bytes(xmp))], "path string, content binary")).collect()}
     assert got["a", 282] == f"{a}/{b}" and got["b", 700] == "<x:xmpmeta/>" and got["b", 34675] == "6 bytes"
+
+
+class _Captured:
+    """Stands for a table of files; keeps what would run on its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+
+
+@pytest.mark.parametrize("step", ["pixels", "rewritten"])
+def test_rows_of_many_small_files_leave_together_and_of_a_large_one_apart(spark, step):
+    """A batch for each file made a small file cost as much as a large one; one for all would hold a large file's samples whole."""
+    from tessera.plans import pipelines
+
+    small, large = T.write_tiff([(np.arange(64, dtype=np.float32).reshape(8, 8), T.Layout())]), T.write_tiff([(RNG.random((3000, 600)), T.Layout(T.NONE))])
+    files = [(str(i), small) for i in range(300)] + [("large", large), ("damaged", large[:40])]
+    table = _Captured()
+    tiff.pixels(table) if step == "pixels" else pipelines.rewritten(table, pipelines.Options("NONE", 1, overviews=False, tile=16))
+    out = list(table.run(iter([pa.RecordBatch.from_arrays([pa.array([f[0] for f in files]), pa.array([f[1] for f in files], pa.binary())], names=["path", "content"])])))
+    assert sum(b.num_rows for b in out) == (300 * 8 + 3000 + 1 if step == "pixels" else 302)
+    assert len(out) < 10
+    assert step != "pixels" or max(b.nbytes for b in out) < 2 * tiff.BATCH_BYTES
+    assert [e for b in out for e in b["error"].to_pylist() if e] != []
