@@ -89,11 +89,10 @@ def georeferenced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories with their kinds and block counts, from files with a mask directory."""
-    content = _content(spark, sf_dir, lambda n, e: rgba_file(e))
-    d = tiff.ifds(content).select("path", "ifd", T.ifd_kind(F.col("ifd"), F.col("subfile")).alias("kind"), "samples", "width", "height", "predictor")
+    content = kept(_content(spark, sf_dir, lambda n, e: rgba_file(e)), "content")
+    d = tiff.ifds(content).select("path", "ifd", T.ifd_kind(F.col("ifd"), F.col("subfile")).alias("kind"), "samples", "width", "height", "predictor", "bytecount")
     b = tiff.blocks(content).groupBy("path", "ifd").agg(F.count("*").alias("blocks"), F.sum("bytecount").alias("stored"))
-    sizes = tiff.ifds(content).select("path", "ifd", "bytecount")
-    rows = d.join(b, ["path", "ifd"]).join(sizes, ["path", "ifd"])
+    rows = d.join(b, ["path", "ifd"])
     return rows.select(F.col("path").cast("long").alias("vec_id"), "ifd", "kind", "samples", "width", "height", "predictor", "blocks", (F.col("stored") == F.col("bytecount")).alias("same_bytes"))
 
 
