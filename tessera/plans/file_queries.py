@@ -98,7 +98,7 @@ def file_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is damaged has rows with an error in every table."""
-    content = _content(spark, sf_dir, typed_file)
+    content = kept(_content(spark, sf_dir, typed_file), "content")
     a = tiff.ifds(content).where("error is not null").groupBy("path").agg(F.count("*").alias("directories"))
     b = tiff.pixels(content).where("error is not null").groupBy("path").agg(F.count("*").alias("pixels"))
     return a.join(b, "path").select(F.col("path").cast("long").alias("vec_id"), "directories", "pixels")
