@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import structure as T
 from ..sources import tiff, tiff_format as TF, views as V
+from ..sources.folders import kept
 
 
 def _files(spark: SparkSession, sf_dir: str, layout: TF.Layout) -> DataFrame:
@@ -26,7 +27,7 @@ def tiff_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tiff_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories of the files, with their block counts."""
-    content = _files(spark, sf_dir, TF.Layout(TF.LZW, tile=(16, 16)))
+    content = kept(_files(spark, sf_dir, TF.Layout(TF.LZW, tile=(16, 16))), "content")
     d = tiff.ifds(content).select(F.col("path").cast("long").alias("vec_id"), "width", "height", T.dtype_name(F.col("sample_format"), F.col("bits")).alias("dtype"), "compression", T.block_size(F.col("width"), F.col("height"), F.col("tile_w"), F.col("tile_h"), F.col("rows_per_strip")).alias("block"))
     n = tiff.tags(content).where("code = 324").select(F.col("path").cast("long").alias("vec_id"), F.col("n").alias("blocks"))
     return d.join(n, "vec_id")
