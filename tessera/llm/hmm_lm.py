@@ -245,6 +245,8 @@ class Lockstep:
         self.at = np.concatenate([[0], np.cumsum(self.live)]).tolist()
         flat = np.concatenate([parts[i] for i in self.order]).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
         step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if self.depth <= 1 << 16:
+            step = step.astype(np.uint16)  # sorted by digits, so in linear time
         self.symbols = flat[np.argsort(step, kind="stable")]
 
     def forward(self, model: Model, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,15 +272,17 @@ def transfers(parts: list[np.ndarray], model: Model) -> np.ndarray:
     """A matrix for each sequence, up to a factor: the probability of its symbols and its last state, by the state of its first symbol."""
     run, k = Lockstep(parts), len(model.first)
     now = np.tile(np.eye(k), (len(parts), 1, 1))
+    moved = np.empty((len(parts) * k, k))
     for t in range(run.depth):
         n = run.live[t]
-        here = now[:n]
+        here, signs = now[:n], model.signs[run.symbols[run.at[t] : run.at[t + 1]], None, :]
         if t:
-            here = (here.reshape(-1, k) @ model.moves).reshape(n, k, k)
-        here = here * model.signs[run.symbols[run.at[t] : run.at[t + 1]], None, :]
+            np.matmul(here.reshape(-1, k), model.moves, out=moved[: n * k])
+            np.multiply(moved[: n * k].reshape(n, k, k), signs, out=here)
+        else:
+            here *= signs
         if t % 8 == 7 or t == run.depth - 1:
             here /= here.sum(axis=(1, 2), keepdims=True)
-        now[:n] = here
     out = np.empty_like(now)
     out[run.order] = now
     return out
