@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality_ftrl import Ftrl
-from .shared import Sent, kept_by
+from .shared import Sent, batches_of, kept_by
 
 BITS = 20
 WORDS_KEPT = 150_000
+COUNTED_AT_ONCE = 250_000  # characters, some 40 bytes each while they are counted
+AT_ONCE = 500  # texts of a batch that are counted
 WORD_KEPT = 64  # characters of a token that is remembered
 UNLABELLED = -4.0  # the bias where nothing is labelled: a text scores 0.018, as nothing is known to be toxic
 
@@ -58,6 +60,7 @@ def count_trigrams(df: DataFrame, text: str = "text") -> DataFrame:
     """(trigram, n) over all whole lower-cased texts; at most N ** 3 rows. Every text is read with a space before and after."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("deobfuscate")
         total = np.zeros(N**3, np.int64)
         for batch in batches:
             texts, held = [], 0
@@ -65,7 +68,7 @@ def count_trigrams(df: DataFrame, text: str = "text") -> DataFrame:
             for i, t in enumerate(values):
                 texts.append(t or "")
                 held += len(texts[-1])
-                if held > 1_000_000 or i + 1 == len(values):
+                if held > COUNTED_AT_ONCE or i + 1 == len(values):
                     raw = ("  " + "  ".join(texts) + "  ").lower().encode("utf-32-le", "surrogatepass")
                     s = _POINTS[np.frombuffer(raw, np.uint32)].astype(np.int64)
                     total += np.bincount((s[:-2] * N + s[1:-1]) * N + s[2:], minlength=N**3)
@@ -80,7 +83,9 @@ def count_trigrams(df: DataFrame, text: str = "text") -> DataFrame:
 def character_model(df: DataFrame, text: str = "text") -> np.ndarray:
     """log10 P(c | a, b), indexed [a, b, c]: trigrams smoothed by bigrams, those by single characters."""
     counts = np.zeros(N**3)
-    for r in count_trigrams(df, text).collect():  # N ** 3 rows at most
+    with batches_of(df.sparkSession, AT_ONCE):
+        found = count_trigrams(df, text).collect()  # N ** 3 rows at most
+    for r in found:
         counts[r.trigram] = r.n
     three = counts.reshape(N, N, N)
     two, one = three.sum(axis=0), three.sum(axis=(0, 1))

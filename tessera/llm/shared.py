@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HOT = 1000  # keys that a lookup broadcasts, at most
@@ -86,13 +89,24 @@ _KEPT: dict[str, dict] = {}  # what this worker keeps from task to task, by oper
 
 
 def kept_by(operator: str) -> dict:
-    """What this worker keeps for an operator; what it keeps for others is dropped, as jobs run one operator after the other."""
-    for name, kept in _KEPT.items():
-        if name != operator:
-            kept.clear()
+    """What this worker keeps for an operator; what it keeps for others is dropped, and its memory given back, as jobs run one operator after the other."""
+    dropped = [kept for name, kept in _KEPT.items() if name != operator and kept]
+    for kept in dropped:
+        kept.clear()
+    if dropped:
+        give_back()
     return _KEPT.setdefault(operator, {})
 
 
+def give_back() -> None:
+    """Free memory that this worker's allocators hold goes back to the system, where the C library can do so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Sent:
     """A broadcast with a number by which workers know it again, so that what they build from it is kept from task to task."""
 

@@ -182,3 +182,38 @@ def test_without_labels(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert {(round(r.score, 3), r.predicted) for r in queries.op5_toxicity(spark, str(tmp_path)).collect()} == {(0.018, 0)}
     assert {r.score for r in queries.op7_quality(spark, str(tmp_path)).collect()} == {0.5}
+
+
+def test_counting_trigrams_drops_what_other_operators_keep():
+    """The first job of the pipeline's first stage ran beside all that the tokenizer of the run before had remembered."""
+    from tessera.llm import deobfuscate, shared
+
+    class Captured:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        def agg(self, *columns):
+            return self
+
+    import pyarrow as pa
+
+    shared.kept_by("token_shards")["pieces"] = {"piece": b"ids"}
+    table = Captured()
+    deobfuscate.count_trigrams(table)
+    texts = ["ab " * 200_000, "", None, "Ünder"]
+    batches = lambda rows: iter([pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])])
+    whole = next(table.run(batches(texts))).to_pydict()
+    assert not shared._KEPT["token_shards"]
+    alone: dict[int, int] = {}
+    for t in texts:
+        for r in next(table.run(batches([t]))).to_pylist():
+            alone[r["trigram"]] = alone.get(r["trigram"], 0) + r["n"]
+    spaces = 0  # between texts of one batch, as before and after one alone
+    assert {k: v for k, v in zip(whole["trigram"], whole["n"]) if k != spaces} == {k: v for k, v in alone.items() if k != spaces}
