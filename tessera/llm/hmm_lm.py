@@ -7,10 +7,10 @@ forward-backward recursion over their whole training texts and give their expect
 which are added up across partitions.  A text's probability comes from the scaled forward
 recursion over the whole text, end included.
 
-A long text's stretches run beside each other.  Each stretch's steps, multiplied up, are one
-states x states matrix; by these matrices the states at every border of the text are carried
-forward and backward first, so what a stretch begins and ends with is what the whole text
-says, and nothing is cut.
+A long text's stretches run beside each other.  The states at every border of the text are
+carried forward and backward first, so what a stretch begins and ends with is what the whole
+text says, and nothing is cut.  Many texts' borders are found beside each other, step by step;
+in very long texts by matrices: each stretch's steps, multiplied up, are one of states x states.
 
 Counts of all words stay in tables.  Only the HEAD commonest words reach every task; the rest
 of a text's words meet their counts in a join, which no common word takes part in.
@@ -21,13 +21,12 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import written
@@ -38,8 +37,11 @@ OWN = 4_096  # of those, words with a symbol of their own
 CLASSES = 512
 STATES = 8
 STRETCH = 512  # symbols of a long text that run one after another, beside its other stretches
-SYMBOLS_AT_ONCE = 262_144  # of the stretches that run in lockstep
-WORDS_HELD = 300_000
+LEVELS = 16  # a text of more stretches takes their matrices, as one step after another would be too many steps
+EVERY = 8  # states are scaled every so many steps
+SYMBOLS_AT_ONCE = 131_072  # of the stretches that run in lockstep
+TEXTS_AT_ONCE = 4_194_304  # symbols of texts whose borders are found, or that are scored, together
+BYTES_AT_ONCE = 16_777_216  # of texts whose words are looked up together
 END = b""  # no word is empty
 
 
@@ -47,7 +49,7 @@ def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased words between the bytes 09-0D and 20; long ones as FF, which is in no text, and a digest of 128 bits."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if words and max(map(len, words)) > WORD_BYTES:
-        words = [w if len(w) <= WORD_BYTES else b"\xff" + hashlib.md5(w, usedforsecurity=False).digest() for w in words]
+        words = [w if len(w) <= WORD_BYTES else digest_of(w) for w in words]
     return words
 
 
@@ -55,12 +57,30 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:2] + word[-2:]) % CLASSES
 
 
-class Classes(dict):
-    """Word -> class, remembered."""
+def digest_of(word: bytes) -> bytes:
+    return b"\xff" + hashlib.md5(word, usedforsecurity=False).digest()
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = class_of(word)
-        return k
+
+def pieces(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts of about BYTES_AT_ONCE."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BYTES_AT_ONCE)) + 1
+    for begin, end in zip([0, *bounds.tolist()], [*bounds.tolist(), len(texts)], strict=True):
+        if begin < end:
+            yield slice(begin, end)
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of texts, one text's after another's, and the place of each word's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = lists.flatten().cast(pa.binary()), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    sizes = pc.binary_length(words).to_numpy()
+    if len(sizes) and not sizes.all():  # beside white space at a text's begin or end
+        words, owner, sizes = words.filter(pa.array(sizes > 0)), owner[sizes > 0], sizes[sizes > 0]
+    if (long := sizes > WORD_BYTES).any():
+        digests = [digest_of(w) for w in words.filter(pa.array(long)).to_pylist()]
+        words = pc.replace_with_mask(words, pa.array(long), pa.array(digests, pa.binary()))
+    return words, owner
 
 
 # --- counts -----------------------------------------------------------------------------
@@ -70,20 +90,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """A written table (word, n, class) of all words, and the end, of texts (text); counts are added up in the tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return made
-
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                held[END] += 1
-                if len(held) > WORDS_HELD:
-                    yield rows()
-        yield rows()
+            for some in pieces(batch.column(0)):
+                texts = batch.column(0)[some]
+                found = pc.value_counts(words_in(texts)[0])
+                word, n = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(texts)])])
+                yield pa.RecordBatch.from_arrays([word, n], names=["word", "n"])
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,33 +188,40 @@ def encoded(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     and the words outside the head with their numbers.
     """
     sent = df.sparkSession.sparkContext.broadcast(vocab)
+    names = ["key", "held_out", "n_tokens", "n_known", "head_log", "own_log", "class_log", "symbols", "rare", "rare_n"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = sent.value
         logs = np.log10(v.counts + 1)
-        place, own = v.head.get, v.own
-        classes = Classes()
+        own, head = v.own, pa.array([w for w, i in v.head.items() if i], pa.binary())  # the end has place 0, the first of these 1
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                at = np.zeros(len(words) + 1, np.int64)  # the end has place 0
-                at[:-1] = np.fromiter(map(place, words, repeat(-1)), np.int64, len(words))
-                unknown = at < 0
-                rare_words = list(compress(words, unknown.tolist()))
-                symbols = np.where(unknown, 0, v.symbols[at])
-                symbols[unknown] = np.fromiter(map(classes.__getitem__, rare_words), np.int64, len(rare_words)) + own
-                rare = Counter(rare_words)
-                if len(classes) > WORDS_HELD:
-                    classes.clear()
-                known = at[at >= 0]
-                in_class = symbols[symbols >= own] - own
-                row = (len(at), int((v.counts[known] > 0).sum()), float(logs[known].sum()), float(logs[known[known < own]].sum()), float(v.class_cost[in_class].sum()), symbols.astype("<u2").tobytes(), list(rare), list(rare.values()))
-                for column, x in zip(out, row, strict=True):
-                    column.append(x)
-            types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            made = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *made], names=["key", "held_out", "n_tokens", "n_known", "head_log", "own_log", "class_log", "symbols", "rare", "rare_n"])
+            for some in pieces(batch.column(0)):
+                words, owner = words_in(batch.column(0)[some])
+                found = pc.fill_null(pc.index_in(words, value_set=head), -2).to_numpy() + 1
+                rare = words.filter(pa.array(found < 0)).dictionary_encode()
+                rare_owner, rare_code, n = owner[found < 0], rare.indices.to_numpy(), some.stop - some.start
+                sizes = np.bincount(owner, minlength=n) + 1
+                stops = np.cumsum(sizes)
+                starts = stops - sizes
+                at = np.zeros(stops[-1], np.int64)
+                at[np.arange(len(words)) + owner] = found
+                known, symbols = at >= 0, v.symbols[at]
+                symbols[~known] = own + np.array([class_of(w) for w in rare.dictionary.to_pylist()], np.int64)[rare_code]
+                log, in_class = np.where(known, logs[at], 0.0), symbols >= own
+                numbers = [
+                    sizes,
+                    np.add.reduceat((known & (v.counts[at] > 0)).astype(np.int64), starts),
+                    np.add.reduceat(log, starts),
+                    np.add.reduceat(np.where(at < own, log, 0.0), starts),
+                    np.add.reduceat(np.where(in_class, v.class_cost[np.where(in_class, symbols - own, 0)], 0.0), starts),
+                ]
+                offsets = np.concatenate([[0], 2 * stops]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(symbols.astype("<u2"))])
+                pairs, times = np.unique(rare_owner * max(1, len(rare.dictionary)) + rare_code, return_counts=True)
+                row, code = np.divmod(pairs, max(1, len(rare.dictionary)))
+                cuts = pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, rare.dictionary.take(pa.array(code))), pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(1)[some], batch.column(2)[some], *map(pa.array, numbers), raw, *lists], names=names)
 
     ddl = f"key {df.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, head_log double, own_log double, class_log double, symbols binary, rare array<binary>, rare_n array<int>"
     return written(df.select("text", "key", "held_out").mapInArrow(encode, ddl).withColumn("row", F.monotonically_increasing_id()), "encoded")
@@ -234,7 +253,11 @@ def start_model(unigram: np.ndarray, states: int = STATES, seed: int = 11) -> Mo
 
 
 class Lockstep:
-    """Sequences side by side, the longest first: at step t the first live[t] of them have a symbol, symbols[at[t] : at[t + 1]]."""
+    """Sequences side by side, the longest first: at step t the first live[t] of them have a symbol, symbols[at[t] : at[t + 1]].
+
+    Arrays are states x sequences, so that every step works along long rows.  States are scaled
+    to a sum of one at every EVERY-th step and at a sequence's last.
+    """
 
     def __init__(self, parts: list[np.ndarray]):
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -242,30 +265,58 @@ class Lockstep:
         sizes = sizes[self.order]
         self.depth = int(sizes[0]) if len(sizes) else 0
         self.live = np.searchsorted(-sizes, -np.arange(self.depth + 1), side="left").tolist()
-        self.at = np.concatenate([[0], np.cumsum(self.live)]).tolist()
-        flat = np.concatenate([parts[i] for i in self.order]).astype(np.int64) if len(parts) else np.zeros(0, np.int64)
-        step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        if self.depth <= 1 << 16:
-            step = step.astype(np.uint16)  # sorted by digits, so in linear time
-        self.symbols = flat[np.argsort(step, kind="stable")]
-
-    def forward(self, model: Model, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of the symbols, scaled states and scales of all steps; entry: expected states at each sequence's first symbol."""
-        signs = model.signs[self.symbols]
-        states, scales, ones = np.empty_like(signs), np.empty(len(signs)), np.ones(signs.shape[1])
-        now = entry[self.order]
+        at = np.concatenate([[0], np.cumsum(self.live)])
+        self.at = at.tolist()
+        if len(sizes) and sizes[0] == sizes[-1]:
+            self.symbols = np.array(parts).T.astype(np.int64).ravel()
+        else:
+            self.symbols = np.empty(self.at[-1], np.int64)
+            for place, i in enumerate(self.order.tolist()):
+                self.symbols[at[: len(parts[i])] + place] = parts[i]
+
+    def forward(self, model: Model, entry: np.ndarray, kept: bool = False) -> tuple:
+        """Log probability and last scaled states of each sequence (in the order of parts); entry: expected states at each one's first symbol.
+
+        kept: also the probabilities of the symbols, divided by the scales, and the scaled states of all steps.
+        """
+        signs, now, logs = np.ascontiguousarray(model.signs.T), entry[self.order].T.copy(), np.zeros(len(entry))
+        moves, ones = np.ascontiguousarray(model.moves.T), np.ones(len(signs))
+        moved = np.empty_like(now)
+        every = signs.take(self.symbols, axis=1) if kept else None
+        states = np.empty_like(every) if kept else None
         for t in range(self.depth):
-            a, b = self.at[t], self.at[t + 1]
-            here = states[a:b]
+            a, b, n, go_on = self.at[t], self.at[t + 1], self.live[t], self.live[t + 1]
+            sign = every[:, a:b] if kept else signs.take(self.symbols[a:b], axis=1)
+            here = states[:, a:b] if kept else now[:, :n]
             if t:
-                np.matmul(now[: b - a], model.moves, out=here)
-                here *= signs[a:b]
+                np.matmul(moves, before[:, :n], out=moved[:, :n])
+                np.multiply(moved[:, :n], sign, out=here)
             else:
-                np.multiply(now, signs[a:b], out=here)
-            np.matmul(here, ones, out=scales[a:b])
-            here /= scales[a:b, None]
-            now = here
-        return signs, states, scales
+                np.multiply(now, sign, out=here)
+            scaled = 0 if t % EVERY == EVERY - 1 else go_on
+            if scaled < n:
+                scale = ones @ here[:, scaled:]
+                here[:, scaled:] /= scale
+                logs[scaled:n] += np.log(scale)
+                if kept:
+                    sign[:, scaled:] /= scale
+                    now[:, go_on:n] = here[:, go_on:]
+            before = here
+        last, log = np.empty(entry.shape), np.empty(len(entry))
+        last[self.order], log[self.order] = now.T, logs
+        return (log, last, every, states) if kept else (log, last)
+
+    def backward(self, model: Model, rest: np.ndarray) -> np.ndarray:
+        """Relative probability of each sequence and what follows, by the state before its first symbol; rest: of what follows, by its last state."""
+        signs, back = np.ascontiguousarray(model.signs.T), rest[self.order].T.copy()
+        for t in range(self.depth - 1, -1, -1):
+            some = back[:, : self.live[t]]
+            np.matmul(model.moves, signs.take(self.symbols[self.at[t] : self.at[t + 1]], axis=1) * some, out=some)
+            if t % EVERY == 0:
+                some /= some.sum(axis=0)
+        out = np.empty(rest.shape)
+        out[self.order] = back.T
+        return out
 
 
 def transfers(parts: list[np.ndarray], model: Model) -> np.ndarray:
@@ -293,54 +344,63 @@ class Stretches:
 
     owner: the text of each; entry: expected states at its first symbol; before: scaled states
     before it, zero for a text's first; back: relative probability of the rest of the text by
-    its last state.
+    its last state.  Not backward: without back, and only very long texts are cut.
     """
 
-    def __init__(self, texts: list[np.ndarray], model: Model, stretch: int | None = None):
+    def __init__(self, texts: list[np.ndarray], model: Model, stretch: int | None = None, backward: bool = True):
         size = stretch or STRETCH
-        self.parts = [t[i : i + size] for t in texts for i in range(0, len(t), size)]
-        counts = np.array([-(-len(t) // size) for t in texts], np.int64)
+        sizes = [max(1, len(t)) if not backward and len(t) <= LEVELS * size else size for t in texts]
+        self.parts = [t[i : i + n] for t, n in zip(texts, sizes, strict=True) for i in range(0, len(t), n)]
+        counts = np.array([-(-len(t) // n) for t, n in zip(texts, sizes, strict=True)], np.int64)
         self.owner = np.repeat(np.arange(len(texts)), counts)
         n, k = len(self.parts), len(model.first)
         self.entry, self.before, self.back = np.tile(model.first, (n, 1)), np.zeros((n, k)), np.ones((n, k))
         self.first = np.ones(n, bool)
         starts = np.cumsum(counts) - counts
-        cut, at_once = np.flatnonzero(np.repeat(counts, counts) > 1).tolist(), max(1, SYMBOLS_AT_ONCE // size)
-        by = {}  # of all stretches of cut texts, many texts' beside each other
+        for text, end in zip(starts.tolist(), (starts + counts).tolist()):
+            self.first[text + 1 : end] = False
+        self._step_by_step(starts[(counts > 1) & (counts <= LEVELS)], counts[(counts > 1) & (counts <= LEVELS)], model, backward)
+        self._by_matrices(starts[counts > LEVELS], counts[counts > LEVELS], model, size)
+
+    def _step_by_step(self, starts: np.ndarray, counts: np.ndarray, model: Model, backward: bool) -> None:
+        """Borders of texts beside each other, one stretch of each after another."""
+        most = int(counts.max(initial=0))
+        for level in range(most - 1):
+            at = starts[counts > level + 1] + level
+            self.before[at + 1] = Lockstep([self.parts[i] for i in at]).forward(model, self.entry[at])[1]
+            self.entry[at + 1] = self.before[at + 1] @ model.moves
+        for level in range(most - 1, 0, -1) if backward else ():
+            at = starts[counts > level] + level
+            self.back[at - 1] = Lockstep([self.parts[i] for i in at]).backward(model, self.back[at])
+
+    def _by_matrices(self, starts: np.ndarray, counts: np.ndarray, model: Model, size: int) -> None:
+        """Borders of very long texts, whose stretches run beside each other."""
+        cut, at_once = [i for a, n in zip(starts.tolist(), counts.tolist()) for i in range(a, a + n)], max(1, SYMBOLS_AT_ONCE // size)
+        by = {}  # of all stretches, many texts' beside each other
         for at in range(0, len(cut), at_once):
             by |= zip(cut[at : at + at_once], transfers([self.parts[i] for i in cut[at : at + at_once]], model))
-        for text in np.flatnonzero(counts > 1).tolist():
-            begin, end = int(starts[text]), int(starts[text] + counts[text])
+        for begin, end in zip(starts.tolist(), (starts + counts).tolist()):
             for i in range(begin, end - 1):
                 after = self.entry[i] @ by[i]
                 self.before[i + 1] = after / after.sum()
                 self.entry[i + 1] = self.before[i + 1] @ model.moves
-                self.first[i + 1] = False
             for i in range(end - 1, begin, -1):
                 rest = model.moves @ (by[i] @ self.back[i])
                 self.back[i - 1] = rest / rest.sum()
 
-    def groups(self) -> Iterator[slice]:
-        """Runs of stretches of about SYMBOLS_AT_ONCE symbols, so memory doesn't grow with a text's length."""
-        begin, held = 0, 0
-        for i, part in enumerate(self.parts):
-            held += len(part)
-            if held >= SYMBOLS_AT_ONCE:
-                yield slice(begin, i + 1)
-                begin, held = i + 1, 0
-        if begin < len(self.parts):
-            yield slice(begin, len(self.parts))
+    def groups(self, symbols: int) -> Iterator[np.ndarray]:
+        """Stretches of about so many symbols and of like lengths, so memory doesn't grow with a text's length."""
+        sizes = np.array([len(p) for p in self.parts], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        group = (np.cumsum(sizes[order]) - sizes[order]) // symbols
+        yield from np.split(order, np.flatnonzero(np.diff(group)) + 1) if len(order) else ()
 
 
 def forward_scores(texts: list[np.ndarray], model: Model, stretch: int | None = None) -> np.ndarray:
     """Natural log probability of each whole sequence."""
-    cut, out = Stretches(texts, model, stretch), np.zeros(len(texts))
-    for some in cut.groups():
-        run = Lockstep(cut.parts[some])
-        scales, logs = run.forward(model, cut.entry[some])[2], np.zeros(some.stop - some.start)
-        for t in range(run.depth):
-            logs[: run.live[t]] += np.log(scales[run.at[t] : run.at[t + 1]])
-        np.add.at(out, cut.owner[some][run.order], logs)
+    cut, out = Stretches(texts, model, stretch, backward=False), np.zeros(len(texts))
+    for some in cut.groups(TEXTS_AT_ONCE):
+        np.add.at(out, cut.owner[some], Lockstep([cut.parts[i] for i in some]).forward(model, cut.entry[some])[0])
     return out
 
 
@@ -353,28 +413,28 @@ class Expected:
     def add(self, texts: list[np.ndarray], model: Model, stretch: int | None = None) -> None:
         """Scaled forward and backward recursion over whole sequences."""
         cut = Stretches(texts, model, stretch)
-        for some in cut.groups():
-            run = Lockstep(cut.parts[some])
-            signs, states, scales = run.forward(model, cut.entry[some])
-            self.log += float(np.log(scales).sum())
-            back = cut.back[some][run.order]
-            signs /= scales[:, None]
+        for some in cut.groups(SYMBOLS_AT_ONCE):
+            run = Lockstep([cut.parts[i] for i in some])
+            log, _, signs, states = run.forward(model, cut.entry[some], kept=True)
+            self.log += float(log.sum())
+            back, moves = cut.back[some][run.order].T.copy(), np.zeros_like(self.moves)
             for t in range(run.depth - 1, -1, -1):
                 a, b, n, go_on = run.at[t], run.at[t + 1], run.live[t], run.live[t + 1]
+                here, step, rest = states[:, a:b], signs[:, a:b], back[:, :n]
                 if go_on < n:  # the last symbol of some: the rest of their texts is scaled to their states
-                    back[go_on:n] /= (states[a + go_on : b] * back[go_on:n]).sum(axis=1, keepdims=True)
-                step = signs[a:b]
-                step *= back[:n]
-                states[a:b] *= back[:n]  # from here on the posterior
+                    rest[:, go_on:] /= (here[:, go_on:] * rest[:, go_on:]).sum(axis=0)
+                step *= rest
+                here *= rest  # from here on the posterior
                 if t:
                     before = run.at[t - 1]
-                    self.moves += states[before : before + n].T @ step
-                    np.matmul(step, model.moves.T, out=back[:n])
+                    moves += states[:, before : before + n] @ step.T
+                    np.matmul(model.moves, step, out=rest)
                 else:
-                    self.moves += cut.before[some][run.order].T @ step
-                    self.first += states[a:b][cut.first[some][run.order]].sum(axis=0)
-            for k, column in enumerate(np.ascontiguousarray(states.T)):
-                self.signs[:, k] += np.bincount(run.symbols, column, len(self.signs))
+                    moves += cut.before[some][run.order].T @ step.T
+                    self.first += here[:, cut.first[some][run.order]].sum(axis=1)
+            self.moves += moves
+            for k, row in enumerate(states):
+                self.signs[:, k] += np.bincount(run.symbols, row, len(self.signs))
 
 
 def expected_counts(table: DataFrame, model: Model) -> Expected:
@@ -389,7 +449,7 @@ def expected_counts(table: DataFrame, model: Model) -> Expected:
             for raw in batch.column(0).to_pylist():
                 pool.append(np.frombuffer(raw, "<u2"))
                 held += len(pool[-1])
-                if held >= SYMBOLS_AT_ONCE:
+                if held >= TEXTS_AT_ONCE:
                     found.add(pool, model)
                     pool, held = [], 0
         found.add(pool, model)

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,49 @@ def test_long_texts_in_stretches(monkeypatch):
         assert all(np.allclose(getattr(found, x), getattr(plain, x), rtol=1e-9) for x in ("first", "moves", "signs", "log"))
 
 
+def test_borders_without_matrices(monkeypatch):
+    """Up to LEVELS stretches a text's borders cost no matrix a symbol, and are those that matrices give."""
+    model, rng = small_model(8, 50), np.random.default_rng(6)
+    texts = [rng.integers(0, 50, n) for n in (1, 100, 101, 250, 16 * 100, 700)]
+    monkeypatch.setattr(H, "LEVELS", 1)
+    by_matrices, scores = H.Stretches(texts, model, 100), H.forward_scores(texts, model, 100)
+    monkeypatch.undo()
+    monkeypatch.setattr(H, "transfers", lambda *_: pytest.fail("matrices of a short text"))
+    found = H.Stretches(texts, model, 100)
+    H.Expected(50, 8).add(texts, model, 100)
+    assert np.allclose(H.forward_scores(texts, model), scores, rtol=1e-12)
+    assert np.array_equal(found.first, by_matrices.first)
+    for x in ("entry", "before", "back"):
+        got, want = getattr(found, x), getattr(by_matrices, x)
+        scaled = lambda v: v / np.maximum(v.sum(axis=1, keepdims=True), 1e-300)
+        assert np.allclose(scaled(got), scaled(want), rtol=1e-10)
+
+
+def test_rare_symbols_do_not_underflow():
+    """Eight steps of symbols as improbable as those of a very large corpus."""
+    model = small_model(4, 6)
+    model.signs[5] = 1e-30
+    found = H.Expected(6, 4)
+    found.add([np.full(1000, 5), np.array([5] * 9 + [1])], model, 64)
+    assert np.isfinite(found.signs).all() and found.signs.sum() == pytest.approx(1010) and (found.moves * model.moves).sum() == pytest.approx(999 + 9)
+
+
+def test_words_of_many_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("aBZ \t\n\x0b\x0c\r\x1c\x85\xa0é İ\0"), rng.integers(0, 20))) for _ in range(500)]
+    texts += [None, "", "  ", "x" * 64 + " Y", "X" * 65, "É" * 33 + "\n"]
+    monkeypatch.setattr(H, "BYTES_AT_ONCE", 100)
+    found = []
+    for some in H.pieces(pa.array(texts)):
+        words, owner = H.words_in(pa.array(texts)[some])
+        lists = [[] for _ in range(some.stop - some.start)]
+        for w, i in zip(words.to_pylist(), owner, strict=True):
+            lists[i].append(w)
+        found += lists
+    assert found == [H.words_of(t) for t in texts]
+    assert list(H.pieces(pa.array([], pa.string()))) == []
+
+
 def test_query_counts_and_base(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF01}/documents.parquet").collect()]
     rows = {r.doc_id: r for r in queries.op4_hmm_scores(spark, SF01).collect()}
