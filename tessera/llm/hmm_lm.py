@@ -41,7 +41,7 @@ LEVELS = 16  # a text of more stretches takes their matrices, as one step after
 EVERY = 8  # states are scaled every so many steps
 SYMBOLS_AT_ONCE = 131_072  # of the stretches that run in lockstep
 TEXTS_AT_ONCE = 4_194_304  # symbols of texts whose borders are found, or that are scored, together
-BYTES_AT_ONCE = 16_777_216  # of texts whose words are looked up together
+BYTES_AT_ONCE = 4_194_304  # of texts whose words are looked up together, and half of those whose words are counted
 END = b""  # no word is empty
 
 
@@ -61,10 +61,10 @@ def digest_of(word: bytes) -> bytes:
     return b"\xff" + hashlib.md5(word, usedforsecurity=False).digest()
 
 
-def pieces(texts: pa.Array) -> Iterator[slice]:
-    """Runs of texts of about BYTES_AT_ONCE."""
+def pieces(texts: pa.Array, at_once: int) -> Iterator[slice]:
+    """Runs of texts of about so many bytes."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    bounds = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // BYTES_AT_ONCE)) + 1
+    bounds = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // at_once)) + 1
     for begin, end in zip([0, *bounds.tolist()], [*bounds.tolist(), len(texts)], strict=True):
         if begin < end:
             yield slice(begin, end)
@@ -91,7 +91,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in pieces(batch.column(0)):
+            for some in pieces(batch.column(0), 2 * BYTES_AT_ONCE):
                 texts = batch.column(0)[some]
                 found = pc.value_counts(words_in(texts)[0])
                 word, n = pa.concat_arrays([found.field("values"), pa.array([END], pa.binary())]), pa.concat_arrays([found.field("counts"), pa.array([len(texts)])])
@@ -195,7 +195,7 @@ def encoded(df: DataFrame, vocab: Vocabulary) -> DataFrame:
         logs = np.log10(v.counts + 1)
         own, head = v.own, pa.array([w for w, i in v.head.items() if i], pa.binary())  # the end has place 0, the first of these 1
         for batch in batches:
-            for some in pieces(batch.column(0)):
+            for some in pieces(batch.column(0), BYTES_AT_ONCE):
                 words, owner = words_in(batch.column(0)[some])
                 found = pc.fill_null(pc.index_in(words, value_set=head), -2).to_numpy() + 1
                 rare = words.filter(pa.array(found < 0)).dictionary_encode()

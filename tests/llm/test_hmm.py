@@ -102,20 +102,19 @@ def test_rare_symbols_do_not_underflow():
     assert np.isfinite(found.signs).all() and found.signs.sum() == pytest.approx(1010) and (found.moves * model.moves).sum() == pytest.approx(999 + 9)
 
 
-def test_words_of_many_texts(monkeypatch):
+def test_words_of_many_texts():
     rng = np.random.default_rng(4)
     texts = ["".join(rng.choice(list("aBZ \t\n\x0b\x0c\r\x1c\x85\xa0é İ\0"), rng.integers(0, 20))) for _ in range(500)]
     texts += [None, "", "  ", "x" * 64 + " Y", "X" * 65, "É" * 33 + "\n"]
-    monkeypatch.setattr(H, "BYTES_AT_ONCE", 100)
     found = []
-    for some in H.pieces(pa.array(texts)):
+    for some in H.pieces(pa.array(texts), 100):
         words, owner = H.words_in(pa.array(texts)[some])
         lists = [[] for _ in range(some.stop - some.start)]
         for w, i in zip(words.to_pylist(), owner, strict=True):
             lists[i].append(w)
         found += lists
     assert found == [H.words_of(t) for t in texts]
-    assert list(H.pieces(pa.array([], pa.string()))) == []
+    assert list(H.pieces(pa.array([], pa.string()), 100)) == []
 
 
 def test_query_counts_and_base(spark):
